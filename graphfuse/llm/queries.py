@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, repeats
+from . import near_dup, packing, repeats, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,10 +27,20 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.document_lengths(token_count.token_blocks(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op8_hierarchical_packing": op8_hierarchical_packing,
+        "op9_separator_scan": op9_separator_scan,
     }
 
 
