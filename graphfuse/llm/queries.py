@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, repeats, token_count
+from . import near_dup, packing, quality_rules, repeats, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ngram_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_ngram_perplexity_rules": op4_ngram_perplexity_rules,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op8_hierarchical_packing": op8_hierarchical_packing,
