@@ -14,13 +14,17 @@ Shape of the job, none of it quadratic in a group of copies:
 3. Every class is held against the smallest class of each of its bands (a
    star).  Confirmed links give components; one component needs no more pairs.
 4. Within a band, pairs of classes of different components remain.  Bands of
-   few classes pair them outright.  Classes of larger bands are sketched anew
-   with bands of ten registers, so that only close ones stay together; there
-   again star first, and then the pairs of different components.
-
-Recall of the first bands at a similarity of exactly 0.75: at least
-1 - (1 - 0.75**4)**32 = 0.999995, of the finer ones 1 - (1 - 0.75**10)**208 =
-0.99999.  Estimates are cut at 0.5, six standard errors below the threshold.
+   few classes pair them outright, larger ones take one more leader.
+5. Classes of large bands that still hold several components are joined
+   exactly: shingles are ordered from rare to common, and two sets can only
+   reach the threshold if they share one of the first shingles of both (prefix
+   and position filters, Chaudhuri et al. 2006, Xiao et al. 2008).  A passage
+   that very many texts share stands last in that order and pairs nobody.
+   Members of a shingle's leading component aren't paired with each other.
+
+Recall of the bands at a similarity of exactly 0.75: at least
+1 - (1 - 0.75**4)**32 = 0.999995.  Estimates are cut at 0.5, six standard
+errors below the threshold.
 """
 
 from __future__ import annotations
@@ -41,10 +45,8 @@ EMPTY = 0xFFFF
 MANTISSA = 10
 BUCKETS = 128
 BAND = 4
-#: The finer sketch: so many salts of 16 buckets each, in bands of ten.
-FINE_SALTS, FINE_BUCKETS, FINE_BAND = 130, 16, 10
-#: Bands of at most so many classes pair all of them; others are sketched anew.
-SMALL = 16
+#: Bands of at most so many classes pair all of them; others go by leaders and prefixes.
+SMALL = 8
 #: Below this estimate no pair can reach the threshold (six standard errors).
 MARGIN = 0.25
 
@@ -102,31 +104,48 @@ def shingle_sets(off: np.ndarray, data: np.ndarray, k: int) -> Iterator[np.ndarr
         yield u[np.concatenate(([True], u[1:] != u[:-1]))] if len(u) else u
 
 
-def fine_bands(u: np.ndarray) -> np.ndarray:
-    """Band keys of the finer sketch of a set: every salt hashes the set anew."""
-    regs = np.empty((FINE_SALTS, FINE_BUCKETS), np.uint16)
-    for k in range(FINE_SALTS):
-        regs[k] = registers(np.sort(textbuf.mix(u ^ textbuf.mix(np.array([k + 1], np.uint64)))), FINE_BUCKETS)
-    # neighbours in a band come from different salts, so that empty buckets of small sets don't meet
-    flat = regs.T.reshape(-1)[: FINE_SALTS * FINE_BUCKETS // FINE_BAND * FINE_BAND].reshape(-1, FINE_BAND).astype(np.uint64)
-    key = np.arange(1, len(flat) + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(FINE_BAND):
-            key = textbuf.mix(key * U(0x9E3779B97F4A7C15) + flat[:, j])
-    return key[(flat != EMPTY).any(axis=1)].view(np.int64)
+def set_batches(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, hashes): full sets of candidates."""
+    for batch in it:
+        ids = batch.column(0)
+        for lo, hi, off, data in textbuf.runs(batch.column(1)):
+            sets = [u.tobytes() for u in shingle_sets(off, data, k)]
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
 
-def set_batches(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, fine, text) to (doc_id, hashes, bands): full sets of candidates."""
+def spread_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, hashes) to one row a shingle: (doc_id, n, t)."""
     for batch in it:
-        ids, fine = batch.column(0), batch.column(1).to_pylist()
-        for lo, hi, off, data in textbuf.runs(batch.column(2)):
-            sets = list(shingle_sets(off, data, k))
-            bands = [fine_bands(u) if fine[lo + i] else None for i, u in enumerate(sets)]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array([u.tobytes() for u in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "hashes", "bands"],
-            )
+        sets = batch.column(1).to_pylist()
+        for lo in range(0, len(sets), 256):
+            part = sets[lo : lo + 256]
+            n = np.array([len(x) // 8 for x in part])
+            at = np.repeat(np.arange(len(part)), n)
+            flat = np.frombuffer(b"".join(part), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)).take(pa.array(at)), pa.array(n[at]), pa.array(flat)], names=["doc_id", "n", "t"])
+
+
+def prefix_batches(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, [(df, t)]) to (t, doc_id, n, pos) for the prefix of each set.
+
+    Shingles that no other set holds come first and are not listed.  Of two
+    sets x, y that reach the threshold, the first common shingle stands in y's
+    first n - ceil(n * percent / 100) + 1.
+    """
+    for batch in it:
+        n = batch.column(1).to_numpy()
+        for i, shared in enumerate(batch.column(2)):
+            v = shared.values
+            df, t = v.field("df").to_numpy(), v.field("t").to_numpy()
+            order = np.lexsort((t, df))
+            m = int(n[i])
+            take = max(0, m - -(-m * percent // 100) + 1 - (m - len(t)))
+            t = t[order[:take]]
+            if len(t):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t), pa.repeat(batch.column(0)[i], len(t)), pa.array(np.full(len(t), m)), pa.array(m - len(order) + np.arange(len(t)))],
+                    names=["t", "doc_id", "n", "pos"],
+                )
 
 
 def estimate_batches(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -185,16 +204,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     coarse = scratch.save(_shared(bands), "coarse")
     rounds = _Rounds(scratch, regs, percent)
 
-    wanted = coarse.groupBy(F.col("rep").alias("doc_id")).agg(F.max(F.col("m") > SMALL).alias("fine"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "fine", "text")
-    sets = scratch.save(texts.mapInArrow(lambda it: set_batches(it, words), "doc_id long, hashes binary, bands array<long>"), "sets")
-    rounds.sets = sets.select("doc_id", "hashes")
-
-    fine = scratch.save(_shared(sets.filter("bands is not null").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))), "fine")
-    rounds.add(_star(coarse).unionByName(_star(fine)))
-    small = coarse.filter(F.col("m") <= SMALL)
-    rounds.add(rounds.across(small).unionByName(rounds.across_star(fine)))
-    rounds.add(rounds.across(fine))
+    texts = docs.join(coarse.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    rounds.sets = scratch.save(texts.mapInArrow(lambda it: set_batches(it, words), "doc_id long, hashes binary"), "sets")
+    rounds.add(_star(coarse))
+    small, large = coarse.filter(F.col("m") <= SMALL), coarse.filter(F.col("m") > SMALL)
+    rounds.add(rounds.across(small).unionByName(rounds.across_star(large)))
+    rounds.add(rounds.across_prefixes(large))
 
     linked = rounds.labels
     member = classes.join(linked, classes.rep == linked.node, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
@@ -264,3 +279,23 @@ class _Rounds:
         x = self._placed(held)
         other = x.groupBy("band").agg(F.max_by("rep", F.struct("component", "rep")).alias("next"), F.max("component").alias("cn"))
         return x.join(other, "band").filter("component <> cn").select(F.col("next").alias("a"), F.col("rep").alias("b"))
+
+    def across_prefixes(self, held: DataFrame) -> DataFrame:
+        """Every pair of different components among the classes of mixed bands that can reach the threshold."""
+        percent, t = self.percent, self.percent / 100
+        who = self.scratch.save(self._placed(held).select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
+        rows = self.scratch.save(self.sets.join(who.select("doc_id"), "doc_id", "left_semi").mapInArrow(spread_batches, "doc_id long, n long, t long"), "spread")
+        common = rows.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+        by_set = rows.join(common, "t").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "t")).alias("shared"))
+        post = by_set.mapInArrow(lambda it: prefix_batches(it, percent), "t long, doc_id long, n long, pos long").join(who, "doc_id")
+        post = self.scratch.save(post, "prefixes")
+        sizes = post.groupBy("t", "component").agg(F.count("*").alias("k"))
+        lead = sizes.groupBy("t").agg(F.max_by("component", F.struct("k", "component")).alias("lead"), F.count("*").alias("kinds")).filter("kinds > 1").select("t", "lead")
+        mixed = post.join(lead, "t")
+        a = mixed.filter("component <> lead").select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+        b = mixed.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+        # so many shingles must be common, and no more can be than stand from here on
+        need = t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
+        can = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        near = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (can >= need) & (F.col("ca") != F.col("cb"))
+        return a.join(b, "t").filter(near).select("a", "b")
