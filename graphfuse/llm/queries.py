@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_dup, packing, quality_classifier, quality_rules, repeats, token_count, toxicity
+from . import decontaminate, language, licenses, near_dup, packing, quality_classifier, quality_rules, repeats, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_bradley_terry_quality": op1_bradley_terry_quality,
+        "op2_cgk_decontamination": op2_cgk_decontamination,
+        "op3_license_digests": op3_license_digests,
         "op4_ngram_perplexity_rules": op4_ngram_perplexity_rules,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
@@ -92,5 +102,6 @@ FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_digests": licenses.oracle_sql(),
         "op6_minhash_near_dedup": OP6_SQL,
     }

@@ -103,6 +103,15 @@ def runs(col: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """The bytes with accented Latin-1 capitals lowered; they are 0xC3 and 0x80 to 0x9E."""
+    if not len(data):
+        return data
+    cap = np.zeros(len(data), bool)
+    cap[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    return data + cap.astype(np.uint8) * np.uint8(0x20)
+
+
 def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and first word of each document.
 

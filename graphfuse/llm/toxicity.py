@@ -115,15 +115,6 @@ def _hash(words: list[str]) -> np.ndarray:
     return textbuf.span_hash(textbuf.prefix(data), e - [len(r) for r in raw], e)
 
 
-def lower_latin(data: np.ndarray) -> np.ndarray:
-    """The bytes with accented Latin-1 capitals lowered; they are 0xC3 and 0x80 to 0x9E."""
-    if not len(data):
-        return data
-    cap = np.zeros(len(data), bool)
-    cap[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    return data + cap.astype(np.uint8) * np.uint8(0x20)
-
-
 @dataclass
 class Lexicon:
     """Pattern weights by byte length, and hashes of the fixed words."""
@@ -153,7 +144,7 @@ class Lexicon:
         for _ in range(8):  # marks around a word aren't part of it
             a += (a < b) & _PUNCT[data[np.minimum(a, len(data) - 1)]]
             b -= (a < b) & _PUNCT[data[b - 1]]
-        c = textbuf.prefix(lower_latin(data), textbuf.BYTE_LOWER)
+        c = textbuf.prefix(textbuf.lower_latin(data), textbuf.BYTE_LOWER)
         symbol, weight = np.zeros(len(s), np.int8), np.zeros(len(s))
         keys, kinds = self.fixed
         h = textbuf.span_hash(c, a, b)
