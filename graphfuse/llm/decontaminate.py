@@ -246,15 +246,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int
 
         return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
 
-    parts: list[DataFrame] = []
-    held: list[tuple[object, str]] = []
-    for r in items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct().orderBy("item_id", "text").toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            parts.append(passed(held))
-            held = []
-    if held or not parts:
-        parts.append(passed(held))
+    usable = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
+    n_blocks = max(1, -(-usable.count() // block))
+    mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    parts = [passed([(r[0], r[1]) for r in usable.filter(mine == k).orderBy("item_id", "text").collect()]) for k in range(n_blocks)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

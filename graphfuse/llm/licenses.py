@@ -82,7 +82,7 @@ def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -
     table = known_digests(spark, known)
     lengths = sorted({r["length"] for r in table.select("length").distinct().collect()})
     x = docs.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    fits = F.filter(F.transform(F.split("lines", "\n"), F.trim), lambda v: F.length(v).isin(lengths))
+    fits = F.filter(F.transform(F.split("lines", "\n"), lambda v: F.trim(v)), lambda v: F.length(v).isin(lengths))
     x = Scratch(spark, "licenses").save(x.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest"), fits.alias("fits")), "canonical")
     whole = x.join(table.select("digest", F.col("license").alias("text_license")), "digest", "left").select("doc_id", "digest", "text_license")
     lines = x.filter(F.size("fits") > 0).select("doc_id", F.col("digest").alias("of"), F.posexplode("fits")).withColumn("digest", F.sha2("col", 256))
@@ -102,7 +102,7 @@ def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
             x = f"replace({x}, {quote(a)}, {quote(b)})"
         return x
 
-    one = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))".replace("\\\\", "\\")
+    one = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
     values = ", ".join(f"({quote(a)}, {quote(t)})" for a, t in known)
     return f"""
 WITH known AS (
