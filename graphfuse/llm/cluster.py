@@ -23,6 +23,9 @@ def ship(spark: SparkSession) -> None:
     needs the code; Spark's own file server hands the archive out.
     """
     textbuf.spark_settings(spark)
+    if int(spark.version.split(".")[0]) >= 4:
+        # a step's shuffle files go when the step has been written
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

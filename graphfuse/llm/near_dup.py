@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     linked = rounds.labels
     member = classes.join(linked, classes.rep == linked.node, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(member, ["n_shingles", "d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _shared(bands: DataFrame) -> DataFrame:

@@ -31,6 +31,9 @@ BITS, ORDER = 6, 4
 SIZE = 1 << BITS
 ALL = SIZE**ORDER
 
+#: Bands of at most so many languages are broadcast.
+MOST_BANDS = 10_000
+
 #: Character classes: 0 is the edge of a text, 1 to 26 letters of either case.
 SHOUT, DIGIT, SPACE, LINE = 27, 28, 29, 30
 #: ASCII marks that share a class, from class 31 on.
@@ -290,6 +293,9 @@ def quality_rules(
     bands = scored.filter(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))
     w = F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), F.lit(least_width))
     bands = bands.select("lang", (F.col("q")[0] - w).alias("low"), (F.col("q")[1] + w).alias("high"))
+    bands = scratch.save(bands, "bands")
+    if bands.count() <= MOST_BANDS:  # one small row a language
+        bands = F.broadcast(bands)
     out = scored.join(bands, "lang", "left")
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return out.select(

@@ -21,9 +21,14 @@ pair) rows by Spark:
 1. Anchors by the name of length h.  Unique ones drop out.
 2. Anchors by the pair (name of length h, name of all bytes that a window over
    the anchor can hold).  Where the pair repeats, each of those windows repeats.
-3. Where it doesn't, the windows themselves, by the pair (name at i, name at
-   i + h), which is the name of length t.  One member of each repeated pair of
-   round 2 takes part, for all of its copies.
+3. Where it doesn't, the windows over an anchor are split into cells of
+   neighbouring starts.  All windows of a cell share t - CELL bytes; cells are
+   ranked by the name of these, and unique ones drop out.
+4. The windows of the cells that are left, by the pair (name at i, name at
+   i + h), which is the name of length t.
+
+One member of each repeated pair of round 2 takes part in rounds 3 and 4, for
+all of its copies.
 
 A group of copies therefore costs one row a copy and round 2, never pairs.
 """
@@ -43,6 +48,8 @@ from .cluster import Scratch, ship
 
 U = np.uint64
 RUN = 1 << 18
+#: Starts of a cell.
+CELL = 16
 
 
 def slide(a: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -95,26 +102,51 @@ def anchor_batches(it: Iterator[pa.RecordBatch], size: int, full: bool) -> Itera
             yield pa.RecordBatch.from_arrays(cols, names=["name", "around", "doc_id", "pos"][: len(cols)])
 
 
+def cell_starts(n: int, pos: np.ndarray, size: int) -> np.ndarray:
+    """First starts of the cells of the windows over anchors at ``pos`` in n bytes.
+
+    Cells are laid from the anchor back, so that equal surroundings of two
+    anchors have equal cells; a cell may hang over the end of its text.
+    """
+    reach = size - size // 2
+    first = (pos[:, None] - np.arange(CELL - 1, reach + CELL, CELL)[None]).reshape(-1)
+    return np.unique(first[(first > -CELL) & (first + size <= n)])
+
+
+def cell_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, pos list) to (doc_id, cell, name): cells by the bytes that its windows share."""
+    for batch in it:
+        off, data = textbuf.utf8(batch.column(1))
+        where = batch.column(2)
+        for i in range(batch.num_rows):
+            text = data[off[i] : off[i + 1]]
+            cell = cell_starts(len(text), where[i].values.to_numpy(), size)
+            if not len(cell):
+                continue
+            lo = np.maximum(cell + CELL - 1, 0)
+            hi = np.minimum(cell + size, len(text))
+            name = textbuf.span_hash(textbuf.prefix(text), lo, hi)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(batch.column(0)[i], len(cell)), pa.array(cell), pa.array(name.view(np.int64))], names=["doc_id", "cell", "name"]
+            )
+
+
 def window_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, pos list) to (doc_id, start, n1, n2) for the windows over those anchors."""
+    """(doc_id, text, cell list) to (doc_id, start, n1, n2) for the windows of those cells."""
     half = size // 2
     for batch in it:
-        ids, where = batch.column(0), batch.column(2).to_pylist()
         off, data = textbuf.utf8(batch.column(1))
+        where = batch.column(2)
         for i in range(batch.num_rows):
             text = data[off[i] : off[i + 1]]
-            n = len(text)
-            mark = np.zeros(n - size + 2, np.int32)
-            p = np.array(where[i], np.int64)
-            np.add.at(mark, np.maximum(p - (size - half), 0), 1)
-            np.add.at(mark, np.minimum(p, n - size) + 1, -1)
-            start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            start = np.unique(where[i].values.to_numpy()[:, None] + np.arange(CELL)[None])
+            start = start[(start >= 0) & (start + size <= len(text))]
             c = textbuf.prefix(text)
             n1, n2 = textbuf.span_hash(c, start, start + half), textbuf.span_hash(c, start + half, start + size)
             for k in range(0, len(start), 1 << 16):
                 part = slice(k, k + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(ids[i], len(start[part])), pa.array(start[part]), pa.array(n1[part].view(np.int64)), pa.array(n2[part].view(np.int64))],
+                    [pa.repeat(batch.column(0)[i], len(start[part])), pa.array(start[part]), pa.array(n1[part].view(np.int64)), pa.array(n2[part].view(np.int64))],
                     names=["doc_id", "start", "n1", "n2"],
                 )
 
@@ -134,6 +166,7 @@ def strip_batches(it: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
     for batch in it:
         off, data = textbuf.utf8(batch.column(1))
         lows, highs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        known = batch.column(1).is_valid().to_pylist()
         n_bytes, n_removed, n_spans, digest, left, runs = [], [], [], [], [], []
         for i in range(batch.num_rows):
             text = data[off[i] : off[i + 1]]
@@ -148,24 +181,24 @@ def strip_batches(it: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
             digest.append(hashlib.sha256(rest).hexdigest())
             if with_text:
                 # a repeat may begin or end within a character: its loose bytes go too
-                left.append(rest.decode("utf-8", "ignore"))
+                left.append(rest.decode("utf-8", "ignore") if known[i] else None)
                 runs.append([{"start": int(a), "stop": int(b)} for a, b in gone])
         cols = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if with_text:
-            cols += [pa.array(left, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), *batch.columns[4:]]
-            names += ["kept_text", "removed", *batch.schema.names[4:]]
+            cols += [pa.array(left, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), batch.column(4)]
+            names += ["kept_text", "removed", "own"]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, with_text: bool = False) -> DataFrame:
     """Remove every byte covered by a ``size``-byte string that also starts elsewhere.
 
     docs: doc_id and text; null text is empty.  Strings never cross documents
     and are judged on the input.  Returns doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256; with_text adds kept_text, removed (runs of byte offsets) and
-    the columns named in ``carry``.  A repeated row counts as a second text.
-    Texts shorter than ``size`` stay as they are.
+    kept_sha256; with_text adds kept_text (null stays null), removed (runs of
+    byte offsets) and own, a struct of all columns of docs but text.  A repeated
+    row counts as a second text.  Texts shorter than ``size`` stay as they are.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -187,18 +220,32 @@ def remove_repeats(docs: DataFrame, size: int = 200, with_text: bool = False, ca
     loose = pairs.groupBy("name").agg(F.min("n").alias("least"), F.count("*").alias("pairs")).filter("least = 1 and pairs > 1").select("name")
     seeds = pairs.join(loose, "name", "left_semi").groupBy("one.doc_id").agg(F.collect_list("one.pos").alias("at"))
     texts = base.join(seeds, "doc_id").select("doc_id", "text", "at")
+    cells = scratch.save(texts.mapInArrow(lambda it: cell_batches(it, size), f"doc_id {kind}, cell long, name long"), "cells")
+    again = cells.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    live = cells.join(again, "name", "left_semi").groupBy("doc_id").agg(F.collect_list("cell").alias("at"))
+    texts = base.join(live, "doc_id").select("doc_id", "text", "at")
     windows = scratch.save(texts.mapInArrow(lambda it: window_batches(it, size), f"doc_id {kind}, start long, n1 long, n2 long"), "windows")
-    again = windows.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1").select("n1", "n2")
+    scratch.drop("cells")
+    again = scratch.save(windows.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1").select("n1", "n2"), "again")
     part = windows.join(again, ["n1", "n2"], "left_semi").select("doc_id", F.col("start").alias("lo"), (F.col("start") + size).alias("hi"))
 
-    # strings that begin in one cell of ``size`` bytes overlap, so a cell needs only its extent
-    spans = whole.unionByName(part).groupBy("doc_id", F.floor(F.col("lo") / size).alias("cell")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    spans = scratch.save(spans.select("doc_id", "lo", "hi"), "spans")
+    def extents(rows: DataFrame) -> DataFrame:
+        # strings that begin in one cell of ``size`` bytes overlap, so a cell needs only its extent
+        cell = rows.groupBy("doc_id", F.floor(F.col("lo") / size).alias("cell"))
+        return cell.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("doc_id", "lo", "hi")
+
+    part = scratch.save(extents(part), "part")
+    scratch.drop("windows", "again")
+    whole = scratch.save(extents(whole), "whole")
+    scratch.drop("anchors", "names", "pairs")
+    spans = whole.unionByName(part)
     by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("s"))
-    full = docs.select("doc_id", "text", *carry).join(by_doc, "doc_id", "left").withColumn("lows", F.transform("s", lambda x: x["lo"])).withColumn("highs", F.transform("s", lambda x: F.least(x["hi"], F.octet_length("text").cast("long"))))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own")] if with_text else []
+    full = docs.select("doc_id", "text", *own).join(by_doc, "doc_id", "left")
+    lows = F.transform("s", lambda x: x["lo"])
+    highs = F.transform("s", lambda x: F.least(x["hi"], F.octet_length("text").cast("long")))
+    full = full.select("doc_id", "text", lows.alias("lows"), highs.alias("highs"), *(["own"] if with_text else []))
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
-        schema += ", kept_text string, removed array<struct<start: long, stop: long>>"
-        schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return full.select("doc_id", "text", "lows", "highs", *carry).mapInArrow(lambda it: strip_batches(it, with_text), schema)
-
+        schema += f", kept_text string, removed array<struct<start: bigint, stop: bigint>>, own {full.schema['own'].dataType.simpleString()}"
+    return full.mapInArrow(lambda it: strip_batches(it, with_text), schema)
