@@ -108,7 +108,7 @@ def search(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     peq: dict[int, int] = defaultdict(int)
     for i, c in enumerate(pattern):
         peq[c] |= 1 << i
-    pv, mv, score, best = full, 0, m, (m + 1, 0)
+    pv, mv, score, best = full, 0, m, (m, 0)
     for j, c in enumerate(text):
         eq = peq.get(c, 0)
         xv = eq | mv
