@@ -8,6 +8,7 @@ id as the last key.  Lanes carry ids only; texts are joined after the fusion.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,18 @@ def _ranked(rows: DataFrame, order: list[Column], limit: int, key: str = "chunk_
     return rows.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= limit)
 
 
+def _against(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows with each query of their namespace.
+
+    Queries are a stated set: they are counted, and sent to the tasks in blocks
+    of about QUERY_BLOCK, one pass over the rows a block.
+    """
+    q = queries.select("query_id", "q_emb", "namespace")
+    n = -(-q.count() // QUERY_BLOCK) or 1
+    parts = [q] if n == 1 else [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(p), "namespace") for p in parts])
+
+
 def allowed(chunks: DataFrame, metadata_filter: str | dict | None) -> DataFrame:
     """The filter stands inside every lane, before its limit."""
     return chunks if metadata_filter is None else chunks.filter(json_contains("metadata", metadata_filter))
@@ -41,7 +54,7 @@ def vector_lane(chunks: DataFrame, queries: DataFrame, metadata_filter: str | di
     generated code, top rows by a group limit ahead of the shuffle.
     """
     c = allowed(chunks, metadata_filter).select(F.col("id").alias("chunk_id"), "namespace", "embedding")
-    pairs = c.join(F.broadcast(queries.limit(QUERY_BLOCK).select("query_id", "q_emb", "namespace")), "namespace")
+    pairs = _against(c, queries)
     d = pairs.select("query_id", "chunk_id", cosine_distance("embedding", "q_emb").alias("distance"))
     return _ranked(d, [F.col("distance").asc_nulls_last()], limit)
 
@@ -182,7 +195,7 @@ def text_lane(
 def seeds(entities: DataFrame, queries: DataFrame, threshold: float = SEED_DISTANCE, limit: int = SEED_LIMIT) -> DataFrame:
     """(query_id, entity_id, distance): nearest entities of the namespace, strictly below the threshold."""
     e = entities.filter(F.col("name_emb").isNotNull()).select(F.col("id").alias("entity_id"), "namespace", "name_emb")
-    pairs = e.join(F.broadcast(queries.limit(QUERY_BLOCK).select("query_id", "q_emb", "namespace")), "namespace")
+    pairs = _against(e, queries)
     near = pairs.select("query_id", "entity_id", cosine_distance("name_emb", "q_emb").alias("distance")).filter(F.col("distance") < threshold)
     return _ranked(near, [F.col("distance").asc()], limit, "entity_id").drop("rk")
 

@@ -64,7 +64,7 @@ def summary(jobs: DataFrame) -> DataFrame:
 def health(jobs: DataFrame, settings: Settings = Settings(), version: str = "0.1.0", schema_version: int = 1) -> DataFrame:
     """One row: version, schema_version, queue_depth, extract_concurrency, last_error."""
     waiting = F.count(F.when(F.col("status").isin(Status.QUEUED.value, Status.RUNNING.value), 1))
-    last = F.max_by("error", "updated_at").filter(F.col("error").isNotNull()) if "error" in jobs.columns else F.lit(None).cast("string")
+    last = F.max_by("error", F.when(F.col("error").isNotNull(), F.col("updated_at"))) if "error" in jobs.columns else F.lit(None).cast("string")
     return jobs.agg(F.lit(version).alias("version"), F.lit(schema_version).alias("schema_version"), waiting.alias("queue_depth"), F.lit(settings.extract_concurrency).alias("extract_concurrency"), last.alias("last_error"))
 
 
