@@ -12,8 +12,8 @@ text opens one as well.  Windows that agree in a table propose that the item
 stands in the text, at the place that lines the two words up.  An exact search
 (Myers 1999, bit-parallel edit distance, free ends) over that place decides.
 With an edit in every twentieth character a window of the walk's reach is
-whole with probability 0.4; an item has dozens of words and three tables, so
-proposals miss it about never.  Items shorter than a walk use a shorter one.
+whole with probability 0.4; an item has dozens of words, two walks and three
+tables each, so proposals miss it about never.  Items shorter than a walk use a shorter one.
 
 Texts and items are compared with ASCII and Latin-1 letters lowered and white space run
 together.  The benchmark's keys are sent to the tasks in blocks of items of
@@ -37,6 +37,8 @@ U = np.uint32
 #: Walks: (steps, steps kept in each table) for items of at least the first number of characters.
 WALKS = ((40, 22), (16, 12))
 TABLES = 3
+#: Independent walks of each kind.
+REPEATS = 2
 #: Items of a block; a block's keys and texts are at most some tens of MB.
 BLOCK_ITEMS = 20_000
 #: Allowed edits as a share of an item's length.
@@ -132,9 +134,9 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
         self.ids, self.texts, self.most = [], [], []
-        self.walks = [Walk(steps, kept, 11 + k) for k, (steps, kept) in enumerate(WALKS)]
-        keys: list[list[np.ndarray]] = [[] for _ in WALKS]
-        where: list[list[np.ndarray]] = [[] for _ in WALKS]
+        self.walks = [Walk(steps, kept, 11 + r * len(WALKS) + k) for r in range(REPEATS) for k, (steps, kept) in enumerate(WALKS)]
+        keys: list[list[np.ndarray]] = [[] for _ in self.walks]
+        where: list[list[np.ndarray]] = [[] for _ in self.walks]
         for item_id, text in items:
             data, _ = normal(np.frombuffer((text or "").encode(), np.uint8))
             data = np.frombuffer(data.tobytes().strip(), np.uint8)
@@ -147,12 +149,13 @@ class Index:
             self.most.append(int(rate * len(data)))
             start = word_starts(data)
             start = start[start <= len(data) - WALKS[k][0]]
-            got = self.walks[k].keys(data, start)
-            keys[k].append(got.reshape(-1))
+            spare = np.concatenate([data, np.zeros(1, np.uint8)])
             pair = np.stack([np.full(len(start), n), start], axis=1)
-            where[k].append(np.concatenate([pair] * TABLES))
+            for w in range(k, len(self.walks), len(WALKS)):
+                keys[w].append(self.walks[w].keys(spare, start).reshape(-1))
+                where[w].append(np.concatenate([pair] * TABLES))
         self.keys, self.where, self.filter = [], [], []
-        for k in range(len(WALKS)):
+        for k in range(len(self.walks)):
             a = np.concatenate(keys[k]) if keys[k] else np.zeros(0, np.uint32)
             b = np.concatenate(where[k]) if where[k] else np.zeros((0, 2), np.int64)
             order = np.argsort(a, kind="stable")

@@ -158,8 +158,8 @@ def estimate_batches(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
         either = ((ra != EMPTY) | (rb != EMPTY)).sum(axis=1)
         agree = ((ra == rb) & (ra != EMPTY)).sum(axis=1)
         j = (agree - either * chance(na, nb)) / np.maximum(either, 1)
-        # few registers say little: sets of under 64 shingles all go to the exact step
-        ok = ((j >= least) | (np.minimum(na, nb) < 64)) & (np.minimum(na, nb) >= (least + MARGIN) * np.maximum(na, nb) - 1e-9)
+        # few registers say little: small sets all go to the exact step
+        ok = ((j >= least) | (np.minimum(na, nb) < BUCKETS)) & (np.minimum(na, nb) >= (least + MARGIN) * np.maximum(na, nb) - 1e-9)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
