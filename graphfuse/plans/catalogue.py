@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import ask, evalx
 from ..functions import jsonx, text, vector
-from ..operators import chunking, fusion, lanes, resolve, tables
+from ..operators import chunking, fusion, ivf, lanes, resolve, tables
 from ..sources import bench_tables as B
 from ..sources import fixture
 from ..streaming import jobs
@@ -642,3 +642,10 @@ def latency_percentile_formula(spark, d):
     e = B.read(spark, d, "events").select("event_type", "value")
     ranked = e.withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
     return ranked.filter(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).select("event_type", F.col("value").alias("p95"))
+
+
+@registered()
+def vector_ivf(spark, d):
+    c = B.chunks(spark, d)
+    centroids = ivf.train(c)
+    return ivf.search(ivf.assign(c, centroids), B.queries(spark, d), centroids, probes=8)

@@ -121,3 +121,19 @@ def test_partitions_do_not_matter(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(seen) == 1
     assert list(itertools.chain(*seen))
+
+
+def test_ivf_recall(spark):
+    from graphfuse.operators import ivf
+
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(12, 16)) * 2
+    rows = [(i, "n", [float(x) for x in centre[i % 12] + rng.normal(size=16)]) for i in range(600)] + [(600, "n", None)]
+    chunks = spark.createDataFrame(rows, "id long, namespace string, embedding array<float>")
+    qs = chunks.filter("id % 50 = 0 and embedding is not null").selectExpr("cast(id as int) query_id", "'q' q", "embedding q_emb", "namespace")
+    c = ivf.train(chunks, 12)
+    index = ivf.assign(chunks, c)
+    assert index.count() == 600
+    exact = {(r.query_id, r.chunk_id) for r in lanes.vector_lane(chunks, qs, limit=10).collect()}
+    found = {(r.query_id, r.chunk_id) for r in ivf.search(index, qs, c, 4, 10).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
