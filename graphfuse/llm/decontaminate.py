@@ -39,8 +39,8 @@ WALKS = ((40, 22), (16, 12))
 TABLES = 3
 #: Independent walks of each kind.
 REPEATS = 2
-#: Items of a block; a block's keys and texts are at most some tens of MB.
-BLOCK_ITEMS = 20_000
+#: Items and bytes of a block, about; keys take some ten times the bytes of the texts.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 #: Allowed edits as a share of an item's length.
 RATE = 0.1
 #: Bits of the first filter in front of the key table.
@@ -250,7 +250,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int
         return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
 
     usable = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
-    n_blocks = max(1, -(-usable.count() // block))
+    size = usable.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    n_blocks = max(1, -(-size["n"] // block), -(-(size["b"] or 0) // BLOCK_BYTES))
     mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     parts = [passed([(r[0], r[1]) for r in usable.filter(mine == k).orderBy("item_id", "text").collect()]) for k in range(n_blocks)]
     out = parts[0]

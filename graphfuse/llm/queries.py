@@ -100,8 +100,26 @@ FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY
 """
 
 
+#: Every window of 200 bytes against every other, and what no repeated one covers.
+OP5_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5(array_slice(b, i + 1, i + 200)) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d)),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+k AS (SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 200) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+r AS MATERIALIZED (SELECT doc_id, run, min(i) AS lo, max(i) + 200 AS hi FROM k GROUP BY 1, 2),
+p AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z FROM r
+  UNION ALL SELECT doc_id, max(hi), 9223372036854775807 FROM r GROUP BY 1
+  UNION ALL SELECT doc_id, 0, 9223372036854775807 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM r)),
+t AS (SELECT doc_id, unhex(string_agg(hex(array_slice(b, a + 1, least(z, octet_length(b)))), '' ORDER BY a)) AS kept FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, octet_length(b) AS n_bytes, octet_length(b) - octet_length(kept) AS n_removed, coalesce(n, 0) AS n_spans, sha256(kept) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM r GROUP BY 1) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_digests": licenses.oracle_sql(),
+        "op5_suffix_array_dedup": OP5_SQL,
         "op6_minhash_near_dedup": OP6_SQL,
     }
