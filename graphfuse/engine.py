@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import ask as asking
 from . import ingest as ingesting
 from . import providers, security
-from .functions import jsonx, text, vector
+from .functions import jsonx, stem, text, vector
 from .operators import fusion, lanes
 from .operators import tables as T
 from .schema import DEFAULT_BUDGET, TABLES, InvalidConfig, NamespaceNotFound, ProviderNotFound, Settings, profile_concurrency
@@ -33,7 +33,7 @@ class Engine:
         self._path = path.rstrip("/")
         if not self.store.versions():
             self.store.commit(replace={"namespaces": self._namespace_rows("default")})
-        register(spark)
+        register(spark, settings)
 
     # namespaces
 
@@ -110,7 +110,7 @@ class Engine:
             return "skipped"
         if add["chunks"].isEmpty():
             raise InvalidConfig("no chunks came from the content")
-        self.store.commit(add=add, batch=batch)
+        self.store.commit(add=self._indexed(add), batch=batch)
         return "completed"
 
     def _saver(self):
@@ -130,7 +130,7 @@ class Engine:
     def ingest_extracted(self, path: str, namespace: str = "default", header: bool = False) -> int:
         """Load a JSON-lines graph; returns the number of records read."""
         n, add = fixture.load(self.spark, path, self.store.tables(), namespace, header)
-        self.store.commit(add=add)
+        self.store.commit(add=self._indexed(add))
         return n
 
     def delete_document(self, document_id: str) -> bool:
@@ -139,7 +139,7 @@ class Engine:
         if ids.isEmpty():
             return False
         out = T.delete_documents(tables, ids)
-        self.store.commit(replace={t: out[t] for t in ("documents", "chunks", "chunk_entities")})
+        self.store.commit(replace={t: out[t] for t in ("documents", "chunks", "chunk_entities", "postings")})
         return True
 
     def delete_namespace(self, name: str) -> None:
@@ -149,15 +149,22 @@ class Engine:
 
     def graph(self) -> fusion.Graph:
         t = self.store.tables()
-        return fusion.Graph(t["chunks"], t["entities"], t["relationships"], t["chunk_entities"])
+        return fusion.Graph(t["chunks"], t["entities"], t["relationships"], t["chunk_entities"], t["postings"])
 
-    def query(self, q: str, filter: dict | str | None = None, top_k: int = 10, namespace: str = "default", hops: int = 1, weights: dict | None = None, mode: str = "hybrid", english: bool = True) -> DataFrame:
+    def _indexed(self, add: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The postings of the chunks that are added."""
+        chunks = add["chunks"]
+        vocab = stem.vocabulary(chunks.select(F.explode(text.simple_tokens("text")).alias("token")))
+        return add | {"postings": lanes.postings(chunks, vocab)}
+
+    def query(self, q: str, filter: dict | str | None = None, top_k: int = 10, namespace: str = "default", hops: int = 1, weights: dict | None = None, mode: str = "hybrid") -> DataFrame:
         """(chunk_id, document_id, text, score, signals) for one question."""
         one = self.spark.createDataFrame([(0, q, namespace)], "query_id int, q string, namespace string").withColumn("q_emb", vector.hash_embed("q", self.settings.embed_dim))
-        return self.query_batch(one, filter, top_k, hops, weights, mode, english).drop("query_id")
+        return self.query_batch(one, filter, top_k, hops, weights, mode).drop("query_id")
 
-    def query_batch(self, queries: DataFrame, filter: dict | str | None = None, top_k: int = 10, hops: int = 1, weights: dict | None = None, mode: str = "hybrid", english: bool = True, batch: bool = False) -> DataFrame:
-        return fusion.retrieve(self.graph(), queries, mode, top_k, hops, weights, filter, english=english, batch=batch)
+    def query_batch(self, queries: DataFrame, filter: dict | str | None = None, top_k: int = 10, hops: int = 1, weights: dict | None = None, mode: str = "hybrid", batch: bool = False) -> DataFrame:
+        """(query_id, …) for a frame of questions (query_id, q, q_emb, namespace)."""
+        return fusion.retrieve(self.graph(), queries, mode, top_k, hops, weights, filter, english=True, batch=batch)
 
     def ask(self, q: str, filter: dict | str | None = None, top_k: int = 10, namespace: str = "default", hops: int = 1, llm_provider: str | None = None) -> dict:
         """{answer, citations, signals, mode_used}; without any provider an error."""
@@ -173,8 +180,18 @@ class Engine:
     def enqueue(self, rows: DataFrame) -> None:
         jobs.enqueue(rows, f"{self._path}/_queue")
 
+    def submit(self, source: str, content: str | bytes | None = None, namespace: str = "default", strategy: str | None = None) -> str:
+        """Put one job in the queue and return its id; without content the source is a path."""
+        import uuid
+
+        job = str(uuid.uuid4())
+        raw = None if content is None else bytearray(content.encode() if isinstance(content, str) else content)
+        one = self.spark.createDataFrame([(job, source, namespace, strategy, raw)], "id string, source string, namespace string, chunk_strategy string, payload binary")
+        self.enqueue(one.withColumn("enqueued_at", F.current_timestamp()))
+        return job
+
     def run_queue(self) -> None:
-        """Work off what is queued, each job once."""
+        """Work off what is queued, each job once; a batch's changes are one commit."""
 
         def handle(batch: DataFrame, batch_id: int) -> None:
             tag = f"queue-{batch_id}"
@@ -183,15 +200,53 @@ class Engine:
             now = F.current_timestamp()
             save = self._saver()
             claimed = save(claim_all(batch, now))
-            src = jobs.to_sources(claimed)
+            src = save(self._with_files(jobs.to_sources(claimed)))
             ok = src.filter("error is null and text is not null").withColumn("seq", F.unix_micros("seq"))
-            add = ingesting.plan(self.spark, ok.select("namespace", "source", "text", "seq"), self.store.tables(), None, None, self.settings, save) if not ok.isEmpty() else {}
+            add: dict[str, DataFrame] = {}
+            for strategy in sorted(r[0] for r in ok.select("chunk_strategy").distinct().collect()):
+                part = ok.filter(F.col("chunk_strategy") == strategy).select("namespace", "source", "text", "seq")
+                held = {t: df if t not in add else df.unionByName(add[t].select(*df.columns) if set(df.columns) <= set(add[t].columns) else _as(add[t], df)) for t, df in self.store.tables().items()}
+                more = self._indexed(ingesting.plan(self.spark, part, held, strategy, None, self.settings, save))
+                add = {t: save(_as(df, self.store.read(t))) if t not in add else add[t].unionByName(save(_as(df, self.store.read(t)))) for t, df in more.items()}
             failed = src.select("id", F.coalesce("error", F.when(F.col("text").isNull(), F.lit("no content"))).alias("why"))
             done = jobs.finish(claimed.drop("error").join(failed, "id"), now, F.col("why")).drop("why")
             self.store.commit(add={**add, "ingest_jobs": done}, batch=tag)
 
         jobs.worker(self.spark, f"{self._path}/_queue", f"{self._path}/_queue_checkpoint", handle).awaitTermination()
 
+    def _with_files(self, src: DataFrame) -> DataFrame:
+        """Texts of the jobs that name a path; a path that isn't there is an error."""
+        named = src.filter("kind = 'path'")
+        paths = [r[0] for r in named.select("source").distinct().collect()]
+        if not paths:
+            return src
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        full = {}
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                full[p] = fs.makeQualified(path).toString()
+        places = self.spark.createDataFrame(list(full.items()), "source string, place string")
+        found = files.decoded(self.spark.read.format("binaryFile").load(sorted(full.values())).select(F.col("path").alias("source"), "content")) if full else None
+        if found is None:
+            read = places.select("source", F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("e"))
+        else:
+            read = places.join(found.select(F.col("source").alias("place"), F.col("text").alias("t"), F.col("error").alias("e")), "place").drop("place")
+        whole = named.drop("text", "error").join(read, "source", "left")
+        whole = whole.withColumns({"text": F.col("t"), "error": F.when(F.col("t").isNull() & F.col("e").isNull(), "no such file").otherwise(F.col("e"))}).drop("t", "e")
+        return src.filter("kind <> 'path'").unionByName(whole)
+
+    def reap(self) -> int:
+        """Requeue or fail running jobs that have gone stale; returns their number."""
+        log = jobs.latest(self.store.read("ingest_jobs"))
+        swept = jobs.reap(log, F.current_timestamp(), self.settings.job_reaper_interval, self.settings.max_attempts)
+        changed = self._saver()(swept.alias("n").join(log.select("id", F.col("status").alias("old")), "id").filter("status <> old").drop("old"))
+        n = changed.count()
+        if n:
+            self.store.commit(add={"ingest_jobs": changed})
+        return n
+
     def status(self, job_id: str | None = None) -> DataFrame:
         """State counts, or the one job's row (none for an unknown id)."""
         log = jobs.latest(self.store.read("ingest_jobs"))
@@ -208,15 +263,42 @@ def claim_all(batch: DataFrame, now) -> DataFrame:
     return whole.withColumns({"status": F.lit("running"), "attempt_count": F.coalesce("attempt_count", F.lit(0)) + 1, "started_at": now, "updated_at": now})
 
 
-def register(spark: SparkSession) -> None:
-    """The scalar functions as temporary SQL functions."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION token_count(t STRING) RETURNS INT RETURN size(filter(split(coalesce(t, ''), '\\\\s+'), w -> w <> ''))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION content_hash(t STRING) RETURNS STRING RETURN sha2(t, 256)")
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION vector_dot(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE "
-        "RETURN aggregate(zip_with(a, b, (x, y) -> cast(x AS DOUBLE) * cast(y AS DOUBLE)), 0D, (s, v) -> s + v)"
-    )
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cosine_distance(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN 1D - vector_dot(a, b) / (sqrt(vector_dot(a, a)) * sqrt(vector_dot(b, b)))")
+def _as(df: DataFrame, like: DataFrame) -> DataFrame:
+    have = set(df.columns)
+    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
+def embed_sql(dim: int) -> str:
+    """``vector.hash_embed`` as the body of a SQL function of ``t``."""
+    digests = ", ".join(f"sha2(concat(encode(t, 'UTF-8'), unhex('{k.to_bytes(4, 'little').hex()}')), 256)" for k in range(-(-dim // 8)))
+    at = lambda k: f"substring(h, i * 8 + {2 * k + 1}, 2)"
+    word = f"cast(cast(conv(concat({at(3)}, {at(2)}, {at(1)}, {at(0)}), 16, 10) AS DOUBLE) / 4294967295D * 2 - 1 AS FLOAT)"
+    raw = f"transform(array(concat({digests})), h -> transform(sequence(0, {dim - 1}), i -> {word}))[0]"
+    norm = "sqrt(aggregate(v, 0D, (s, x) -> s + cast(x AS DOUBLE) * cast(x AS DOUBLE)))"
+    return f"transform(array({raw}), v -> transform(v, x -> cast(cast(x AS DOUBLE) / {norm} AS FLOAT)))[0]"
+
+
+class ChunkText:
+    """Table function: the chunks (ord, text, token_count) of one text."""
+
+    def eval(self, content: str):  # noqa: D102
+        from .operators.chunking import sentence_aware
+
+        for k, c in enumerate(sentence_aware(content or "")):
+            yield k, c, len(c.split())
+
+
+def register(spark: SparkSession, settings: Settings = Settings()) -> None:
+    """The scalar functions, and the chunker, as temporary SQL functions."""
+    put = lambda head, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    put("token_count(t STRING) RETURNS INT", r"size(filter(split(coalesce(t, ''), '\\s+'), w -> w <> ''))")
+    put("content_hash(t STRING) RETURNS STRING", "sha2(t, 256)")
+    put("vector_dot(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE", "aggregate(zip_with(a, b, (x, y) -> cast(x AS DOUBLE) * cast(y AS DOUBLE)), 0D, (s, v) -> s + v)")
+    put("cosine_distance(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE", "1D - vector_dot(a, b) / (sqrt(vector_dot(a, a)) * sqrt(vector_dot(b, b)))")
+    put("name_trigrams(t STRING) RETURNS ARRAY<STRING>", "array_distinct(transform(sequence(1, length(t) + 2), i -> substring(concat('  ', lower(t), '  '), i, 3)))")
+    put("trgm_similarity(a STRING, b STRING) RETURNS DOUBLE", "size(array_intersect(name_trigrams(a), name_trigrams(b))) / size(array_union(name_trigrams(a), name_trigrams(b)))")
+    put("embed(t STRING) RETURNS ARRAY<FLOAT>", embed_sql(settings.embed_dim))
+    spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType="ord int, text string, token_count int"))
 
 
 __all__ = ["Engine", "lanes", "register", "text"]

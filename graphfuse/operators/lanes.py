@@ -23,6 +23,8 @@ from ..schema import LANE_LIMIT, SEED_DISTANCE, SEED_LIMIT
 
 #: Queries whose vectors go to the tasks at once; larger batches take several passes.
 QUERY_BLOCK = 2_000
+#: Query words up to which a stored index is scanned with a pushed-down list.
+MOST_WORDS = 1_000
 
 
 def _ranked(rows: DataFrame, order: list[Column], limit: int, key: str = "chunk_id") -> DataFrame:
@@ -158,6 +160,7 @@ def text_lane(
     if ranker not in ("cover", "tf", "bm25"):
         raise ValueError(f"unknown ranker {ranker!r}")
     own = allowed(chunks, metadata_filter)
+    stored = index is not None
     if index is None:
         vocab = None
         if english:
@@ -168,6 +171,11 @@ def text_lane(
     elif metadata_filter is not None:
         index = index.join(own.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     terms = query_lexemes(queries, english)
+    if stored:
+        # few words: the scan skips files and row groups that hold none of them
+        words = [r[0] for r in terms.select("lexeme").distinct().limit(MOST_WORDS + 1).collect()]
+        if len(words) <= MOST_WORDS:
+            index = index.filter(F.col("lexeme").isin(words))
     hits = index.join(terms, ["namespace", "lexeme"])
     if ranker == "bm25":
         size = own.select(F.col("id").alias("chunk_id"), "namespace", F.size(simple_tokens("text")).alias("len"))

@@ -37,7 +37,8 @@ def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     """Documents go, with their chunks and the mentions of those."""
     gone = ids.select(F.col("id"))
     chunks = tables["chunks"].join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-    return tables | {
+    index = {"postings": tables["postings"].join(chunks, "chunk_id", "left_anti")} if "postings" in tables else {}
+    return tables | index | {
         "documents": tables["documents"].join(gone, "id", "left_anti"),
         "chunks": tables["chunks"].join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_anti"),
         "chunk_entities": tables["chunk_entities"].join(chunks, "chunk_id", "left_anti"),

@@ -23,12 +23,16 @@ TABLES: dict[str, T.StructType] = {
     "entities": _table(id=_S, namespace=_S, name=_S, kind=_S, name_emb=_VEC, description=_S, properties=_S),
     "relationships": _table(id=_S, namespace=_S, src_id=_S, dst_id=_S, kind=_S, description=_S, weight=_D),
     "chunk_entities": _table(chunk_id=_S, entity_id=_S, confidence=_D, classification=_S),
+    "postings": _table(namespace=_S, lexeme=_S, chunk_id=_S, tf=_L, positions=T.ArrayType(_I)),
     "ingest_jobs": _table(
         id=_S, status=_S, source=_S, namespace=_S, chunk_strategy=_S, error=_S, attempt_count=_I, payload=T.BinaryType(),
         enqueued_at=_TS, started_at=_TS, finished_at=_TS, updated_at=_TS,
     ),
 }
 
+#: Order of a table's files, so that their statistics let scans skip most of them.
+SORTED: dict[str, tuple[str, ...]] = {"postings": ("namespace", "lexeme"), "chunks": ("namespace", "document_id"), "chunk_entities": ("entity_id",)}
+
 #: Columns that a table may hold only once; null parts never conflict.
 UNIQUE: dict[str, tuple[str, ...]] = {
     "namespaces": ("name",),

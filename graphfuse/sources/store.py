@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES
+from ..schema import SORTED, TABLES
 
 
 class Store:
@@ -60,6 +60,8 @@ class Store:
                 schema = TABLES[t]
                 have = set(df.columns)
                 whole = df.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+                if t in SORTED:
+                    whole = whole.repartitionByRange(*SORTED[t]).sortWithinPartitions(*SORTED[t])
                 whole.write.parquet(f"{self.path}/{name}/{t}")
                 tables[t] = [*(tables.get(t, []) if keep else []), f"{name}/{t}"]
         version = (self.versions() or [0])[-1] + 1

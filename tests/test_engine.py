@@ -156,3 +156,62 @@ def test_job_states(spark):
 def test_plan_keeps_the_first_of_equal_contents(spark, engine):
     src = spark.createDataFrame([("n", "late", "same", 2), ("n", "early", "same", 1)], "namespace string, source string, text string, seq long")
     assert [r.source for r in ingest.new_documents(src, engine.store.read("documents").select("namespace", "content_hash")).collect()] == ["early"]
+
+
+def test_paths_in_the_queue(engine, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("# Head\n" + "A file of words. " * 20)
+    a = engine.submit(str(tmp_path / "in" / "a.txt"), strategy="hierarchy")
+    b = engine.submit(str(tmp_path / "in" / "nowhere.txt"))
+    c = engine.submit("inline", "Plain words here.", strategy="fixed_overlap")
+    engine.run_queue()
+    state = {k: engine.status(k).first() for k in (a, b, c)}
+    assert [state[k].status for k in (a, b, c)] == ["completed", "failed", "completed"] and state[b].error == "no such file"
+    assert engine.store.read("documents").count() == 2
+    assert {r.chunk_id for r in engine.query("files", mode="bm25").collect()} == {r.id for r in engine.store.read("chunks").filter("text like '%file%'").collect()}
+
+
+def test_reaper_over_the_store(engine, spark):
+    old = datetime(2020, 1, 1)
+    rows = [("a", "running", 1, old), ("b", "running", 3, old), ("c", "completed", 1, old)]
+    engine.store.commit(add={"ingest_jobs": spark.createDataFrame(rows, "id string, status string, attempt_count int, updated_at timestamp")})
+    assert engine.reap() == 2 and engine.reap() == 0
+    assert dict(map(tuple, engine.status().collect())) == {"queued": 1, "running": 0, "completed": 1, "failed": 1}
+
+
+def test_sql_functions(engine, spark):
+    r = spark.sql("SELECT token_count(' a  b ') n, trgm_similarity('Acme', 'ACME') s, cosine_distance(embed('x'), embed('x')) d, size(embed('x')) k").first()
+    assert r.n == 2 and r.s == 1.0 and abs(r.d) < 1e-6 and r.k == 64
+    from graphfuse.functions.vector import hash_embed
+
+    both = spark.range(1).select(F.expr("embed('é')").alias("a"), hash_embed(F.lit("é"), 64).alias("b")).first()
+    assert both.a == pytest.approx(both.b)
+    got = spark.sql("SELECT d.id, c.ord, c.text FROM (SELECT 1 id, 'One. Two.' t) d, LATERAL chunk_text(d.t) c").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "One. Two.")]
+
+
+def test_index_is_read_by_word(engine):
+    engine.ingest_text("a", "Alpha beta gamma.")
+    engine.ingest_text("b", "Delta epsilon.")
+    plan = engine.query("alphas", mode="bm25")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(lexeme,alpha)" in plan or "In(lexeme" in plan or "lexeme IN" in plan or "lexeme#" in plan
+    assert engine.query("alphas", mode="bm25").count() == 1
+
+
+def test_onnx_encoder():
+    import numpy as np
+
+    from graphfuse.functions.onnx import Encoder
+
+    class Tok:
+        def enable_truncation(self, n): ...
+        def enable_padding(self): ...
+        def encode_batch(self, texts):
+            n = max(map(len, texts))
+            return [type("E", (), {"ids": [ord(c) for c in t.ljust(n)], "attention_mask": [1] * n}) for t in texts]
+
+    run = lambda feed: np.repeat(feed["input_ids"][:, :, None], 4, axis=2).astype(np.float32)
+    v = Encoder("", "", 4, run=run, tokenizer=Tok())(["ab", "c"])
+    assert v.shape == (2, 4) and np.allclose(np.linalg.norm(v, axis=1), 1)
+    with pytest.raises(InvalidConfig):
+        Encoder("", "", 5, run=run, tokenizer=Tok())(["ab"])
