@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
@@ -92,8 +92,9 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return o - o[0], data[o[0] : o[-1]]
 
 
-def runs(col: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(col: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, past, offsets, bytes) for runs of documents of about ``most`` bytes."""
+    most = most or RUN_BYTES
     off, data = utf8(col)
     n, lo = len(off) - 1, 0
     while lo < n:
@@ -171,9 +172,9 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray,
 
 def spark_settings(spark) -> None:
     """Arrow batches of bounded bytes, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     except Exception as e:  # the setting is static in some releases
         if "CANNOT_MODIFY" not in str(e):
             raise
