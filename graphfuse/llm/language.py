@@ -33,7 +33,7 @@ _letters: np.ndarray | None = None
 def letter_table() -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _letters
 
 
@@ -42,7 +42,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     if not text:
         return None
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    ink = letter_table()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    ink = letter_table()[c]
     if not ink.any():
         return None
     c = np.where(ink, c, _U(32))

@@ -115,7 +115,7 @@ def test_held_out_rule(spark):
 
 
 def test_model_edges(docs, spark):
-    rows = EDGES + [(20, "stupid idiot"), (21, "ok"), (22, "!!!"), (23, "123 456")]
+    rows = EDGES + [(20, "stupid idiot"), (21, "ok"), (22, "!!!"), (23, "123 456"), (24, "\U0001F44D\U0001F600")]
     df = docs(rows, extra=True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(20, None, None), (21, 1, 0), (None, 0, 1), (1, 0, 1), (1, 0, 1)], none.schema)
@@ -125,7 +125,7 @@ def test_model_edges(docs, spark):
             assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
             assert f(docs([]), labels).count() == 0
     lang = {r.doc_id: r for r in language.identify(df).collect()}
-    assert {lang[k].lang_pred for k in (1, 2, 3, 22, 23)} == {"und"} and lang[9].lang_pred == "en"
+    assert {lang[k].lang_pred for k in (1, 2, 3, 22, 23, 24)} == {"und"} and lang[9].lang_pred == "en"
     assert language.identify(docs([])).count() == 0
     assert language.identify(docs([(1, "abc", None), (2, "def", None)])).count() == 2
 
