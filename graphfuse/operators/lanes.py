@@ -107,13 +107,17 @@ def vector_lane_batch(chunks: DataFrame, queries: DataFrame, metadata_filter: st
     return _ranked(out, [F.col("distance").asc_nulls_last()], limit)
 
 
-def postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def postings(chunks: DataFrame, vocabulary: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
     """(namespace, lexeme, chunk_id, tf, positions) of every chunk's text.
 
     Without a vocabulary lexemes are the plain words; with one (token, lexeme)
     words are mapped and those it lacks drop out, their places still counting.
+    only: words to index; others leave before they become rows.
     """
-    words = chunks.select("namespace", F.col("id").alias("chunk_id"), F.posexplode(simple_tokens("text")).alias("pos", "token"))
+    placed = F.transform(simple_tokens("text"), lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+    if only is not None:
+        placed = F.filter(placed, lambda x: x["token"].isin(only)) if only else F.filter(placed, lambda x: F.lit(False))
+    words = chunks.select("namespace", F.col("id").alias("chunk_id"), F.explode(placed).alias("x")).select("namespace", "chunk_id", "x.pos", "x.token")
     words = words.withColumnRenamed("token", "lexeme") if vocabulary is None else words.join(vocabulary, "token")
     return words.groupBy("namespace", "lexeme", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
@@ -160,22 +164,25 @@ def text_lane(
     if ranker not in ("cover", "tf", "bm25"):
         raise ValueError(f"unknown ranker {ranker!r}")
     own = allowed(chunks, metadata_filter)
-    stored = index is not None
-    if index is None:
-        vocab = None
-        if english:
-            from ..functions.stem import vocabulary
-
-            vocab = vocabulary(own.select(F.explode(simple_tokens("text")).alias("token")))
-        index = postings(own, vocab)
-    elif metadata_filter is not None:
-        index = index.join(own.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     terms = query_lexemes(queries, english)
-    if stored:
-        # few words: the scan skips files and row groups that hold none of them
-        words = [r[0] for r in terms.select("lexeme").distinct().limit(MOST_WORDS + 1).collect()]
-        if len(words) <= MOST_WORDS:
+    words: list[str] | None = [r[0] for r in terms.select("lexeme").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        words = None
+    if index is not None:
+        if metadata_filter is not None:
+            index = index.join(own.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+        if words is not None:
+            # few words: the scan skips files and row groups that hold none of them
             index = index.filter(F.col("lexeme").isin(words))
+    elif english:
+        from ..functions.stem import vocabulary
+
+        vocab = vocabulary(own.select(F.explode(F.array_distinct(simple_tokens("text"))).alias("token")))
+        if words is not None:
+            vocab = vocab.filter(F.col("lexeme").isin(words))
+        index = postings(own, vocab)
+    else:
+        index = postings(own, None, words)
     hits = index.join(terms, ["namespace", "lexeme"])
     if ranker == "bm25":
         size = own.select(F.col("id").alias("chunk_id"), "namespace", F.size(simple_tokens("text")).alias("len"))
