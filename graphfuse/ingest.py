@@ -15,6 +15,7 @@ from .operators.resolve import canonical, merge_decision
 from .operators.tables import first_of, new_rows
 from .providers import Mock, Provider
 from .schema import Settings
+from .session import cut
 
 
 def new_documents(sources: DataFrame, stored: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def link(found: DataFrame, ids: DataFrame, namespace: DataFrame) -> DataFrame:
     return rel.join(a, ["chunk_id", "src"]).join(b, ["chunk_id", "dst"]).join(namespace, "chunk_id")
 
 
-def plan(spark: SparkSession, sources: DataFrame, tables: dict[str, DataFrame], strategy: str = "auto", provider: Provider | None = None, settings: Settings = Settings(), save=lambda df: df.checkpoint()) -> dict[str, DataFrame]:
+def plan(spark: SparkSession, sources: DataFrame, tables: dict[str, DataFrame], strategy: str = "auto", provider: Provider | None = None, settings: Settings = Settings(), save=cut) -> dict[str, DataFrame]:
     """Rows that an ingest of ``sources`` adds to each table.
 
     Nothing is written here: the caller commits all tables in one step, so a

@@ -20,6 +20,7 @@ from ..functions.jsonx import json_contains
 from ..functions.text import simple_tokens
 from ..functions.vector import cosine_distance
 from ..schema import LANE_LIMIT, SEED_DISTANCE, SEED_LIMIT
+from ..session import cut
 
 #: Queries whose vectors go to the tasks at once; larger batches take several passes.
 QUERY_BLOCK = 2_000
@@ -235,7 +236,7 @@ def walk(start: DataFrame, relationships: DataFrame, hops: int) -> DataFrame:
         step = front.join(edges, front.entity_id == edges.src).groupBy("query_id", F.col("dst").alias("entity_id")).agg(F.sum("cnt").alias("cnt"))
         front = step.select("query_id", "entity_id", F.lit(d).alias("d"), "cnt")
         if d > 4 and d % 4 == 0 and d < hops:
-            front = front.checkpoint()
+            front = cut(front)
         out = out.unionByName(front)
     return out
 

@@ -460,21 +460,12 @@ SELECT id, id AS canonical FROM names UNION ALL SELECT id + 1, id FROM names""")
 def resolve_canonical(spark, d):
     p = _part_names(spark, d).select((F.col("id") * 2).alias("id"), "name")
     both = p.unionByName(p.select((F.col("id") + 1).alias("id"), F.upper("name").alias("name"))).withColumn("name_emb", vector.name_vector("name"))
-    return resolve.canonical(both, save=_shared(spark))
+    return resolve.canonical(both)
 
 
 @registered()
 def resolve_canonical_loose(spark, d):
-    return resolve.canonical(_supplier_names(spark, d), 0.7, None, save=_shared(spark))
-
-
-def _shared(spark: SparkSession):
-    """checkpoint() into the session's shared folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphfuse-checkpoint-"))
-    return lambda df: df.checkpoint()
+    return resolve.canonical(_supplier_names(spark, d), 0.7, None)
 
 
 @registered("""

@@ -51,6 +51,19 @@ def test_walk_counts_with_loops_and_parallel_edges(spark):
         assert got == want
 
 
+def test_long_walks_are_cut_and_counted(spark):
+    edges = [("A", "B"), ("B", "C"), ("C", "A"), ("C", "D"), ("D", "D")]
+    names = sorted({x for e in edges for x in e})
+    m = np.zeros((4, 4), int)
+    for a, b in edges:
+        for s, d in {(a, b), (b, a)}:
+            m[names.index(s), names.index(d)] += 1
+    start = spark.createDataFrame([(1, "A")], "query_id int, entity_id string")
+    got = {(r.entity_id, r.d): r.cnt for r in lanes.walk(start, spark.createDataFrame(edges, "src_id string, dst_id string"), 10).collect()}
+    for d in (8, 9, 10):
+        assert [got.get((n, d), 0) for n in names] == np.linalg.matrix_power(m, d)[0].tolist()
+
+
 def test_score_is_sum_of_signals_and_falls(spark):
     rows = ask(spark, graph(spark), "chunk", hops=1)
     assert all(abs(r.score - sum(s.w / (60 + s.rk) for s in r.signals)) < 1e-9 for r in rows)
