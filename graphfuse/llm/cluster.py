@@ -83,22 +83,23 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al. 2014): each is
     one grouped minimum and one join, edges never outgrow their first number by
     more than the nodes, and the number of rounds is logarithmic in practice.
-    Hot nodes are pre-aggregated before the shuffle.
+    Minima are pre-aggregated before the shuffle and written before they are
+    joined, so that Spark can split the edges of a hot node over tasks.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{tag}-0")
     before = None
     for step in range(1, 200):
         # large star: every larger neighbour of u is linked with u's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{tag}-low")
+        large = scratch.save(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{tag}-large")
         # small star: smaller neighbours and u itself are linked with the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-low2")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = scratch.save(small, f"{tag}-{step}")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{tag}-{step - 1}")
+        scratch.drop(f"{tag}-{step - 1}", f"{tag}-low", f"{tag}-low2", f"{tag}-large")
         e = now
         if state == before:
             break

@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
         .filter(F.col("x.r") != empty)
         .select("rep", F.xxhash64("x.i", "x.r").alias("band"))
     )
-    coarse = scratch.save(_shared(bands), "coarse")
+    coarse = scratch.save(_shared(bands, scratch), "coarse")
     rounds = _Rounds(scratch, regs, percent)
 
     texts = docs.join(coarse.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
@@ -217,9 +217,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _shared(bands: DataFrame) -> DataFrame:
-    """(band, rep, m, lead) for bands held by at least two classes."""
-    size = bands.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).filter("m > 1")
+def _shared(bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, rep, m, lead) for bands held by at least two classes.
+
+    Grouped tables are written before they are joined, here and below: Spark
+    can then split a hot key's rows over tasks.
+    """
+    size = scratch.save(bands.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).filter("m > 1"), "sizes")
     return bands.join(size, "band")
 
 
@@ -236,7 +240,7 @@ class _Rounds:
         self.edges: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.labels: DataFrame
-        self.n = 0
+        self.n = self.steps = 0
 
     def add(self, pairs: DataFrame) -> None:
         self.n += 1
@@ -265,7 +269,9 @@ class _Rounds:
     def _placed(self, held: DataFrame) -> DataFrame:
         """Members of bands that still hold more than one component."""
         x = held.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = x.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band")
+        self.steps += 1
+        x = self.scratch.save(x, f"held-{self.steps}")
+        mixed = self.scratch.save(x.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band"), f"mixed-{self.steps}")
         return x.join(mixed, "band", "left_semi")
 
     def across(self, held: DataFrame) -> DataFrame:
@@ -277,7 +283,7 @@ class _Rounds:
     def across_star(self, held: DataFrame) -> DataFrame:
         """A band's classes against one more leader: the largest id that isn't with the first."""
         x = self._placed(held)
-        other = x.groupBy("band").agg(F.max_by("rep", F.struct("component", "rep")).alias("next"), F.max("component").alias("cn"))
+        other = self.scratch.save(x.groupBy("band").agg(F.max_by("rep", F.struct("component", "rep")).alias("next"), F.max("component").alias("cn")), "others")
         return x.join(other, "band").filter("component <> cn").select(F.col("next").alias("a"), F.col("rep").alias("b"))
 
     def across_prefixes(self, held: DataFrame) -> DataFrame:
@@ -285,12 +291,13 @@ class _Rounds:
         percent, t = self.percent, self.percent / 100
         who = self.scratch.save(self._placed(held).select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
         rows = self.scratch.save(self.sets.join(who.select("doc_id"), "doc_id", "left_semi").mapInArrow(spread_batches, "doc_id long, n long, t long"), "spread")
-        common = rows.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+        common = self.scratch.save(rows.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"), "common")
         by_set = rows.join(common, "t").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "t")).alias("shared"))
         post = by_set.mapInArrow(lambda it: prefix_batches(it, percent), "t long, doc_id long, n long, pos long").join(who, "doc_id")
         post = self.scratch.save(post, "prefixes")
         sizes = post.groupBy("t", "component").agg(F.count("*").alias("k"))
         lead = sizes.groupBy("t").agg(F.max_by("component", F.struct("k", "component")).alias("lead"), F.count("*").alias("kinds")).filter("kinds > 1").select("t", "lead")
+        lead = self.scratch.save(lead, "leads")
         mixed = post.join(lead, "t")
         a = mixed.filter("component <> lead").select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
         b = mixed.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
