@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each linked group stays, once."""
-    return _only(docs, near_dup.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id"])
+    """The document of the smallest id of each linked group stays, a repeated row once."""
+    return _only(docs, near_dup.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
