@@ -217,11 +217,13 @@ def remove_repeats(docs: DataFrame, size: int = 200, with_text: bool = False) ->
     whole = left.join(pairs.filter("n > 1").select("name", "around"), ["name", "around"], "left_semi").select(
         "doc_id", F.greatest(F.col("pos") - (size - half), F.lit(0)).alias("lo"), (F.col("pos") + size).alias("hi")
     )
-    loose = pairs.groupBy("name").agg(F.min("n").alias("least"), F.count("*").alias("pairs")).filter("least = 1 and pairs > 1").select("name")
+    # grouped tables are written before they are joined, so that Spark can split a hot name's rows
+    loose = pairs.groupBy("name").agg(F.min("n").alias("least"), F.count("*").alias("pairs")).filter("least = 1 and pairs > 1")
+    loose = scratch.save(loose.select("name"), "loose")
     seeds = pairs.join(loose, "name", "left_semi").groupBy("one.doc_id").agg(F.collect_list("one.pos").alias("at"))
     texts = base.join(seeds, "doc_id").select("doc_id", "text", "at")
     cells = scratch.save(texts.mapInArrow(lambda it: cell_batches(it, size), f"doc_id {kind}, cell long, name long"), "cells")
-    again = cells.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    again = scratch.save(cells.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "live")
     live = cells.join(again, "name", "left_semi").groupBy("doc_id").agg(F.collect_list("cell").alias("at"))
     texts = base.join(live, "doc_id").select("doc_id", "text", "at")
     windows = scratch.save(texts.mapInArrow(lambda it: window_batches(it, size), f"doc_id {kind}, start long, n1 long, n2 long"), "windows")
