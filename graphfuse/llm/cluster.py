@@ -87,21 +87,22 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     joined, so that Spark can split the edges of a hot node over tasks.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{tag}-0")
-    before = None
     for step in range(1, 200):
         # large star: every larger neighbour of u is linked with u's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{tag}-low")
-        large = scratch.save(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{tag}-large")
-        # small star: smaller neighbours and u itself are linked with the smallest
-        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-low2")
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # small star: smaller neighbours and u itself are linked with the smallest; no node is hot here
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = scratch.save(small, f"{tag}-{step}")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{tag}-{step - 1}", f"{tag}-low", f"{tag}-low2", f"{tag}-large")
+        scratch.drop(f"{tag}-{step - 1}", f"{tag}-low")
         e = now
-        if state == before:
+        # done when all are stars: no node has two centres, and no centre has one
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leaf")).unionAll(e.select(F.col("v").alias("x"), F.lit(0).alias("leaf")).distinct())
+        if ends.groupBy("x").agg(F.sum("leaf").alias("k"), F.min("leaf").alias("low")).filter("k > 1 or (k = 1 and low = 0)").isEmpty():
             break
-        before = state
+    else:
+        raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -98,3 +98,25 @@ def test_sql_twin(spark, sf_dir):
     from graphfuse.llm.queries import queries
 
     same(queries()["op6_minhash_near_dedup"](spark, sf_dir), duck(sf_dir), OP6_SQL)
+
+
+def test_components(spark):
+    from graphfuse.llm.cluster import Scratch, components
+
+    rng = random.Random(6)
+    chain = list(range(120))
+    rng.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(50)] + [(7, 7), (chain[0], chain[1])]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()))
+    assert got == {n: top(n) for e in edges for n in e if e[0] != e[1]}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").count() == 0
