@@ -8,7 +8,8 @@ their outputs have small Hamming distance.  Bit sampling then gives hash keys:
 each table keeps the outputs of some of the steps.
 
 Every word of an item opens a window over the rest of the item; every word of a
-text opens one as well.  Windows that agree in a table propose that the item
+text opens one as well, whether white space, a mark or the edge of the text
+stands before it (``starts``).  Windows that agree in a table propose that the item
 stands in the text, at the place that lines the two words up.  An exact search
 (Myers 1999, bit-parallel edit distance, free ends) over that place decides.
 With an edit in every twentieth character a window of the walk's reach is
@@ -59,11 +60,42 @@ def normal(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def word_starts(data: np.ndarray) -> np.ndarray:
-    space = data == 32
-    begin = ~space
-    begin[1:] &= space[:-1]
-    return np.flatnonzero(begin)
+#: Kinds of bytes: white space, marks, letters and digits, scripts without spaces, rest of a character.
+GAP, MARK, LETTER, DENSE, REST = range(5)
+#: A word opens windows at all its characters from this one on.
+LONG_WORD = 16
+
+
+def _kinds() -> np.ndarray:
+    kind = np.full(256, MARK, np.uint8)
+    kind[32] = GAP
+    for a, z in ((48, 58), (65, 91), (97, 123), (0xC3, 0xE0)):
+        kind[a:z] = LETTER
+    kind[0x80:0xC0] = REST
+    kind[0xE0:] = DENSE
+    return kind
+
+
+_KIND = _kinds()
+
+
+def starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where windows open in normal text whose documents begin at ``ends``.
+
+    A character opens one where it begins a document, where its kind isn't that
+    of the one before, everywhere in scripts of three and four bytes (they may
+    have no spaces, and their marks are among them), and everywhere far inside a
+    run of one kind.  So a part of a text opens the windows it opens by itself,
+    but for those of its first run where that goes on to the left.
+    """
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    kind = _KIND[data[at]]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = kind[1:] != kind[:-1]
+    edge = np.searchsorted(at, ends)
+    fresh[edge[edge < len(at)]] = True
+    run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    return at[(kind != GAP) & (fresh | (kind == DENSE) | (np.arange(len(at)) - run >= LONG_WORD))]
 
 
 class Walk:
@@ -147,7 +179,7 @@ class Index:
             self.ids.append(item_id)
             self.texts.append(data.tobytes())
             self.most.append(int(rate * len(data)))
-            start = word_starts(data)
+            start = starts(data, np.zeros(1, np.int64))
             start = start[start <= len(data) - WALKS[k][0]]
             spare = np.concatenate([data, np.zeros(1, np.uint8)])
             pair = np.stack([np.full(len(start), n), start], axis=1)
@@ -165,10 +197,10 @@ class Index:
             f[a >> U(32 - FILTER_BITS)] = True
             self.filter.append(f)
 
-    def proposals(self, data: np.ndarray) -> set[tuple[int, int]]:
-        """(item, about where it begins in units of 16 characters) of one run of normal text."""
-        found: set[tuple[int, int]] = set()
-        start = word_starts(data)
+    def proposals(self, data: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item, document, about where it begins in units of 16 characters) of one run of normal text."""
+        found: set[tuple[int, int, int]] = set()
+        start = starts(data, ends)
         spare = np.concatenate([data, np.zeros(WALKS[0][0] + 1, np.uint8)])
         for k, walk in enumerate(self.walks):
             own = self.keys[k]
@@ -180,8 +212,9 @@ class Index:
                     continue
                 lo, hi = np.searchsorted(own, got[hit], "left"), np.searchsorted(own, got[hit], "right")
                 for i in np.flatnonzero(hi > lo):
+                    doc = int(np.searchsorted(ends, start[hit[i]], "right")) - 1
                     for n, q in self.where[k][lo[i] : hi[i]]:
-                        found.add((int(n), int(start[hit[i]] - q) >> 4))
+                        found.add((int(n), doc, int(start[hit[i]] - q) >> 4))
         return found
 
 
@@ -192,24 +225,21 @@ def leaks(index: Index, text: np.ndarray, off: np.ndarray) -> Iterator[tuple[int
     # a boundary takes the place of the joint space of two documents
     raw = data.tobytes()
     best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-    for n, cell in index.proposals(data):
+    for n, doc, cell in index.proposals(data, ends):
         m, most = len(index.texts[n]), index.most[n]
-        for doc in {int(np.searchsorted(ends, np.clip(cell * 16 + d, 0, max(len(data) - 1, 0)), "right")) - 1 for d in (0, 15, m // 2)}:
-            if not 0 <= doc < len(off) - 1:
-                continue
-            lo = max(int(ends[doc]), cell * 16 - most)
-            hi = min(int(ends[doc + 1]), cell * 16 + 16 + m + most)
-            if hi - lo < m - most:
-                continue
-            got = search(index.texts[n], raw[lo:hi], most)
-            if got is None:
-                continue
-            edits, end = got
-            back = search(index.texts[n][::-1], raw[lo : lo + end][::-1], edits)
-            begin = lo + end - (back[1] if back else m)
-            key = (doc, n, (lo + end) // max(m // 2, 1))
-            if key not in best or edits < best[key][0]:
-                best[key] = (edits, begin, lo + end)
+        lo = max(int(ends[doc]), cell * 16 - most)
+        hi = min(int(ends[doc + 1]), cell * 16 + 16 + m + most)
+        if hi - lo < m - most:
+            continue
+        got = search(index.texts[n], raw[lo:hi], most)
+        if got is None:
+            continue
+        edits, end = got
+        back = search(index.texts[n][::-1], raw[lo : lo + end][::-1], edits)
+        begin = lo + end - (back[1] if back else m)
+        key = (doc, n, (lo + end) // max(m // 2, 1))
+        if key not in best or edits < best[key][0]:
+            best[key] = (edits, begin, lo + end)
     seen: dict[tuple[int, int], int] = {}
     for (doc, n, _), (edits, begin, end) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1], x[1][2])):
         if (doc, n) in seen and begin < seen[doc, n]:

@@ -142,3 +142,26 @@ def test_pipeline_edges(docs, spark, sf_dir):
             assert out.columns == d.columns, name
             out.collect()
         P.STAGES[-1][1](spark, d, sf_dir).collect()
+
+
+def found(index, texts):
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    return [(r[0], r[1]) for r in D.leaks(index, np.frombuffer(b"".join(raw), np.uint8), off)]
+
+
+def test_windows_open_at_every_boundary():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    short = [(i, (" ".join(word() for _ in range(20)))[:42].strip() + "x") for i in range(20)]
+    index = D.Index(short)
+    for i, t in short:
+        for texts in (["some text", t], [t[:3], "", t + " y"], [f'"{t}"', "x"], [f"so ({t}), yes"], [f"«{t}»"], [f"¿{t}?"], [f"“{t}”"]):
+            assert [n for _, n in found(index, texts)] == [i], texts
+    script = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(40))
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(40))
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(150))
+    index = D.Index([(0, script), (1, thai), (2, letters)])
+    assert found(index, ["見" * 9 + script + "見" * 9]) == [(0, 0)]
+    assert found(index, ["กข" * 9 + thai + "กข" * 9]) == [(0, 1)]
+    assert found(index, ["xyz" + letters + "xyz"]) == [(0, 2)]
