@@ -13,8 +13,13 @@ stands before it (``starts``).  Windows that agree in a table propose that the i
 stands in the text, at the place that lines the two words up.  An exact search
 (Myers 1999, bit-parallel edit distance, free ends) over that place decides.
 With an edit in every twentieth character a window of the walk's reach is
-whole with probability 0.4; an item has dozens of words, two walks and three
-tables each, so proposals miss it about never.  Items shorter than a walk use a shorter one.
+whole with probability 0.4; an item of ``SHORT`` bytes or more has dozens of
+words, two walks and three tables each, so proposals miss it about never.
+
+Shorter items have too few windows for that.  They are cut into one piece more
+than they may have edits, one of which stands unchanged in every leak; every
+place of the text is looked up among the pieces, so none is missed.  A
+vectorised edit distance of an item's first 64 bytes thins these proposals out.
 
 Texts and items are compared with ASCII and Latin-1 letters lowered and white space run
 together.  The benchmark's keys are sent to the tasks in blocks of items of
@@ -35,11 +40,15 @@ from . import textbuf
 from .cluster import ship
 
 U = np.uint32
-#: Walks: (steps, steps kept in each table) for items of at least the first number of characters.
-WALKS = ((40, 22), (16, 12))
+#: Steps of a walk, and steps kept in each table.
+STEPS, KEPT = 40, 22
 TABLES = 3
-#: Independent walks of each kind.
+#: Independent walks.
 REPEATS = 2
+#: Items of fewer bytes are proposed by exact pieces of at most ``PIECE`` bytes.
+SHORT, PIECE = 128, 8
+#: Proposals that are thinned out at once.
+AT_ONCE = 1 << 16
 #: Items and bytes of a block, about; keys take some ten times the bytes of the texts.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 #: Allowed edits as a share of an item's length.
@@ -128,10 +137,6 @@ class Walk:
         return out
 
 
-def _walk_for(n: int) -> int | None:
-    return next((k for k, (steps, _) in enumerate(WALKS) if n >= steps), None)
-
-
 def search(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     """(edits, end) of the best place of the pattern in the text, None beyond ``most`` edits.
 
@@ -161,31 +166,114 @@ def search(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+class Pieces:
+    """Exact proposals of short items."""
+
+    def __init__(self, items: list[tuple[int, bytes, int]]):
+        """items: (item, normal text, most edits)."""
+        self.item = np.array([n for n, _, _ in items], np.int64)
+        self.most = np.array([k for _, _, k in items], np.int64)
+        self.width = np.array([min(64, len(t)) for _, t, _ in items], np.int64)
+        self.masks = np.zeros((len(items), 256), np.uint64)
+        rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, (_, t, k) in enumerate(items):
+            step = max(1, len(t) // (k + 1))
+            size = min(PIECE, step)
+            for p in range(0, min(step * (k + 1), len(t)), step):
+                rows[size].append((int.from_bytes(t[p : p + size], "little"), i, p))
+            for j in range(self.width[i]):
+                self.masks[i, t[j]] |= np.uint64(1 << j)
+        self.tables = []
+        for size in sorted(rows):
+            code, i, p = zip(*rows[size], strict=True)
+            order = np.argsort(np.array(code, np.uint64), kind="stable")
+            keys = np.array(code, np.uint64)[order]
+            f = np.zeros(1 << FILTER_BITS, bool)
+            f[self._slot(keys)] = True
+            self.tables.append((size, keys, np.array(i)[order], np.array(p)[order], f))
+
+    @staticmethod
+    def _slot(code: np.ndarray) -> np.ndarray:
+        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+    def proposals(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, document, about where it begins) of one run of normal text."""
+        n = len(data)
+        spare = np.concatenate([data, np.zeros(PIECE, np.uint8)])
+        code, got = np.zeros(n, np.uint64), 0
+        found = [np.zeros((0, 3), np.int64)]
+        for size, keys, item, place, f in self.tables:
+            for j in range(got, size):
+                code |= spare[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+            got = size
+            at = np.flatnonzero(f[self._slot(code)])
+            lo, hi = np.searchsorted(keys, code[at], "left"), np.searchsorted(keys, code[at], "right")
+            many = hi - lo
+            at = np.repeat(at, many)
+            row = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+            found.append(np.stack([item[row], np.searchsorted(ends, at, "right") - 1, at - place[row]], axis=1))
+        rows = np.concatenate(found)
+        order = np.lexsort(rows.T)
+        rows = rows[order]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        rows = rows[fresh]
+        for k in range(0, len(rows), AT_ONCE):
+            part = rows[k : k + AT_ONCE]
+            for i, doc, begin in part[self._near(data, part)].tolist():
+                yield int(self.item[i]), doc, begin
+
+    def _near(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether the first bytes of the item stand about there with at most its edits (64-bit words of ``search``)."""
+        i, begin = rows[:, 0], rows[:, 2] - self.most[rows[:, 0]]
+        most, width = self.most[i], self.width[i]
+        top = np.uint64(1) << (width - 1).astype(np.uint64)
+        pv, mv = np.full(len(i), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(i), np.uint64)
+        score = width.copy()
+        best = score.copy()
+        for j in range(int((width + 2 * most).max(initial=0))):
+            at = begin + j
+            eq = self.masks[i, data[np.clip(at, 0, len(data) - 1)]]
+            eq[(at < 0) | (at >= len(data))] = 0
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
+            np.minimum(best, score, out=best)
+            ph, mh = ph << np.uint64(1), mh << np.uint64(1)
+            pv, mv = mh | ~(xv | ph), ph & xv
+        return best <= most
+
+
 class Index:
     """Keys of a block of items."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
         self.ids, self.texts, self.most = [], [], []
-        self.walks = [Walk(steps, kept, 11 + r * len(WALKS) + k) for r in range(REPEATS) for k, (steps, kept) in enumerate(WALKS)]
+        self.walks = [Walk(STEPS, KEPT, 11 + 2 * r) for r in range(REPEATS)]
         keys: list[list[np.ndarray]] = [[] for _ in self.walks]
         where: list[list[np.ndarray]] = [[] for _ in self.walks]
+        short = []
         for item_id, text in items:
             data, _ = normal(np.frombuffer((text or "").encode(), np.uint8))
             data = np.frombuffer(data.tobytes().strip(), np.uint8)
-            k = _walk_for(len(data))
-            if k is None:
-                continue  # too short to tell a leak from ordinary text
+            if not len(data):
+                continue  # nothing that a text could hold
             n = len(self.ids)
             self.ids.append(item_id)
             self.texts.append(data.tobytes())
             self.most.append(int(rate * len(data)))
+            if len(data) < SHORT:
+                short.append((n, self.texts[n], self.most[n]))
+                continue
             start = starts(data, np.zeros(1, np.int64))
-            start = start[start <= len(data) - WALKS[k][0]]
+            start = start[start <= len(data) - STEPS]
             spare = np.concatenate([data, np.zeros(1, np.uint8)])
             pair = np.stack([np.full(len(start), n), start], axis=1)
-            for w in range(k, len(self.walks), len(WALKS)):
-                keys[w].append(self.walks[w].keys(spare, start).reshape(-1))
+            for w, walk in enumerate(self.walks):
+                keys[w].append(walk.keys(spare, start).reshape(-1))
                 where[w].append(np.concatenate([pair] * TABLES))
+        self.pieces = Pieces(short)
         self.keys, self.where, self.filter = [], [], []
         for k in range(len(self.walks)):
             a = np.concatenate(keys[k]) if keys[k] else np.zeros(0, np.uint32)
@@ -198,10 +286,10 @@ class Index:
             self.filter.append(f)
 
     def proposals(self, data: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, document, about where it begins in units of 16 characters) of one run of normal text."""
+        """(item, document, about where it begins in units of 16 characters) of one run of normal text, items of SHORT bytes or more."""
         found: set[tuple[int, int, int]] = set()
         start = starts(data, ends)
-        spare = np.concatenate([data, np.zeros(WALKS[0][0] + 1, np.uint8)])
+        spare = np.concatenate([data, np.zeros(STEPS + 1, np.uint8)])
         for k, walk in enumerate(self.walks):
             own = self.keys[k]
             if not len(own) or not len(start):
@@ -225,10 +313,12 @@ def leaks(index: Index, text: np.ndarray, off: np.ndarray) -> Iterator[tuple[int
     # a boundary takes the place of the joint space of two documents
     raw = data.tobytes()
     best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-    for n, doc, cell in index.proposals(data, ends):
+    cells = [(n, doc, cell * 16, 16) for n, doc, cell in index.proposals(data, ends)]
+    places = [(n, doc, place, 0) for n, doc, place in index.pieces.proposals(data, ends)]
+    for n, doc, place, slack in cells + places:
         m, most = len(index.texts[n]), index.most[n]
-        lo = max(int(ends[doc]), cell * 16 - most)
-        hi = min(int(ends[doc + 1]), cell * 16 + 16 + m + most)
+        lo = max(int(ends[doc]), place - most)
+        hi = min(int(ends[doc + 1]), place + slack + m + most)
         if hi - lo < m - most:
             continue
         got = search(index.texts[n], raw[lo:hi], most)
@@ -253,8 +343,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int
 
     items: item_id and text.  An item leaks into a text that holds it with at
     most ``rate`` times its length edits, anywhere.  Null and empty texts hold
-    nothing; null items and items of under 16 characters are passed over.  Items
-    come to the driver a block at a time.
+    nothing; null and empty items are passed over.  An item of under ten bytes is
+    held where it stands unchanged, be it inside a word.  Items come to the driver
+    a block at a time.
     """
     spark = docs.sparkSession
     ship(spark)

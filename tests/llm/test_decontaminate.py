@@ -165,3 +165,19 @@ def test_windows_open_at_every_boundary():
     assert found(index, ["見" * 9 + script + "見" * 9]) == [(0, 0)]
     assert found(index, ["กข" * 9 + thai + "กข" * 9]) == [(0, 1)]
     assert found(index, ["xyz" + letters + "xyz"]) == [(0, 2)]
+
+
+def test_recall_by_length():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    for size, least in ((5, 1), (9, 1), (12, 1), (15, 1), (18, 1), (30, 1), (45, 1), (60, 1), (80, 1), (127, 1), (128, 0.95), (170, 0.95)):
+        known = [(i, prose(60)[:size].replace(" ", "z", 1).strip().ljust(size, "q")) for i in range(20)]
+        index = D.Index(known)
+        hits = 0
+        for i, t in known * 3:
+            x = f"{prose(20)} {spoiled(rng, t, int(0.1 * size))} {prose(20)}"
+            hits += (0, i) in found(index, [x])
+        assert hits >= least * 60, (size, hits)
+    assert found(D.Index([(1, "tiny")]), ["no", "a TINY", "mytiny|tiny"]) == [(1, 1), (2, 1), (2, 1)]
+    assert found(D.Index([(1, "  "), (2, "")]), ["a  b", ""]) == []
