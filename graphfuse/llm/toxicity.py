@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,12 +103,46 @@ def clause_score(symbols: list[int], weights: list[float]) -> float:
     return total * (1.25 if late else 1.0)
 
 
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+#: Whether a code point is a letter of _WORD; there are none beyond.
+_LETTER = np.array([chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x32400)] + [False])
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;:,|\n"]] = True
 
 
+def prepared(texts: pa.Array) -> pa.Array:
+    """Lowered texts with one kind of apostrophe, as learning and scoring read them."""
+    return pc.replace_substring(pc.utf8_lower(texts), "’", "'")
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is of a letter, as _WORD has them."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    out = _LETTER[data]
+    high = lead[data[lead] >= 0x80]
+    if len(high):
+        spare = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        size = 2 + (data[high] >= 0xE0).astype(np.int64) + (data[high] >= 0xF0)
+        point = spare[high] & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            point[more] = point[more] << 6 | spare[high[more] + k] & 0x3F
+        own = _LETTER[np.minimum(point, len(_LETTER) - 1)]
+        for k in range(4):
+            out[high[size > k] + k] = own[size > k]
+    return out
+
+
+def spans(ink: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``ink``, cut at the edges of documents."""
+    n = len(ink)
+    fresh, last = np.ones(n, bool), np.ones(n, bool)
+    fresh[1:], last[:-1] = ~ink[:-1], ~ink[1:]
+    cut = off[(off > 0) & (off < n)]
+    fresh[cut] = True
+    last[cut - 1] = True
+    return np.flatnonzero(ink & fresh), np.flatnonzero(ink & last) + 1
+
+
 def _hash(words: list[str]) -> np.ndarray:
     raw = [w.encode() for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -137,28 +172,34 @@ class Lexicon:
 
     def clauses(self, off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, float]]:
         """(document, score) of every clause of a run that holds an insult or a threat."""
-        s, e, first = textbuf.words(off, data)
+        letter = letters(data)
+        runs = spans(letter, off)
+        # runs that an apostrophe joins are one word; each of them can be an insult
+        ink = letter.copy()
+        joint = np.flatnonzero((data[1:-1] == 0x27) & letter[:-2] & letter[2:]) + 1
+        ink[joint[~np.isin(joint, off) & ~np.isin(joint + 1, off)]] = True
+        s, e = spans(ink, off)
         if not len(s):
             return
-        a, b = s.copy(), e.copy()
-        for _ in range(8):  # marks around a word aren't part of it
-            a += (a < b) & _PUNCT[data[np.minimum(a, len(data) - 1)]]
-            b -= (a < b) & _PUNCT[data[b - 1]]
+        first = np.searchsorted(s, off)
         c = textbuf.prefix(textbuf.lower_latin(data), textbuf.BYTE_LOWER)
         symbol, weight = np.zeros(len(s), np.int8), np.zeros(len(s))
+        word = np.searchsorted(s, runs[0], "right") - 1
         keys, kinds = self.fixed
-        h = textbuf.span_hash(c, a, b)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        known = keys[at] == h
-        symbol[known] = kinds[at[known]]
+        for own, a, b in ((word, *runs), (np.arange(len(s)), s, e)):
+            h = textbuf.span_hash(c, a, b)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            known = keys[at] == h
+            symbol[own[known]] = kinds[at[known]]
         weight[symbol == THREAT] = 1.0
+        a, b = runs
         for n, hashes, values in self.by_length:
             long = np.flatnonzero(b - a >= n)
             h = textbuf.span_hash(c, a[long], a[long] + n)
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[at] == h
-            symbol[long[hit]] = INSULT
-            weight[long[hit]] = np.maximum(weight[long[hit]], values[at[hit]])
+            symbol[word[long[hit]]] = INSULT
+            np.maximum.at(weight, word[long[hit]], values[at[hit]])
         strong = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
         if not len(strong):
             return
@@ -166,7 +207,7 @@ class Lexicon:
         stops = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_STOP[data], out=stops[1:])
         nxt = np.append(s[1:], len(data))
-        ends = stops[nxt] > stops[np.maximum(b, a)]
+        ends = stops[nxt] > stops[e]
         ends[first[1:][first[1:] > 0] - 1] = True
         clause = np.zeros(len(s), np.int64)
         clause[1:] = np.cumsum(ends[:-1])
@@ -190,12 +231,12 @@ def document_features(lexicon: Lexicon, off: np.ndarray, data: np.ndarray) -> np
     return np.stack([np.ones(len(total)), np.log1p(total[:, 0]), total[:, 1], np.log1p(total[:, 2])], axis=1)
 
 
-_WORD = re.compile(r"[^\W\d_][^\W\d_'’]*")
+_WORD = re.compile(r"[^\W\d_][^\W\d_'’]*")  # what ``letters`` marks: training and scoring cut alike
 
 
 def _beginnings(text: str | None) -> set[str]:
     out = set()
-    for w in set(_WORD.findall((text or "").lower())):
+    for w in set(_WORD.findall(text or "")):
         for n in range(SHORTEST, min(len(w), LONGEST) + 1):
             out.add(w[:n])
     return out
@@ -205,7 +246,7 @@ def _pattern_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) to (pattern, bad, good): documents of each label that hold it."""
     bad, good = Counter(), Counter()
     for batch in it:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for label, text in zip(batch.column(0).to_pylist(), prepared(batch.column(1)).to_pylist(), strict=True):
             own = bad if label == 1 else good
             own.update(_beginnings(text))
             own[""] += 1
@@ -249,7 +290,7 @@ class Model:
 
 def _calibration_batches(it: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        for lo, hi, off, data in textbuf.runs(batch.column(1)):
+        for lo, hi, off, data in textbuf.runs(prepared(batch.column(1))):
             x = document_features(lexicon, off, data)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x[:, k]) for k in range(1, 4))], names=["label", "a", "b", "c"])
 
@@ -277,7 +318,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for lo, hi, off, data in textbuf.runs(batch.column(2)):
+            for lo, hi, off, data in textbuf.runs(prepared(batch.column(2))):
                 x = document_features(model.lexicon, off, data)
                 p = sigmoid(x @ model.weights)
                 yield pa.RecordBatch.from_arrays(

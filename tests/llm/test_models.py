@@ -160,3 +160,28 @@ def test_grammar():
     text = b"He is NOT an IDIOT!! you idiot" + b"pidiot idio"
     found = list(lex.clauses(off, np.frombuffer(text, np.uint8)))
     assert [d for d, _ in found] == [0, 0] and found[0][1] < found[1][1]
+
+
+def test_scoring_cuts_words_as_training_does():
+    import pyarrow as pa
+
+    from graphfuse.llm import textbuf
+
+    lex = toxicity.Lexicon({"idiot": 3.0, "stupid": 3.0, "дурак": 3.0})
+
+    def features(*texts):
+        return [toxicity.document_features(lex, off, data)[:, 1:].tolist() for _, _, off, data in textbuf.runs(toxicity.prepared(pa.array(texts)))][0]
+
+    plain = features("idiot")[0]
+    assert plain[1] == 3.0
+    spelt = ["¡idiota!", "«idiot»", "“idiot”", "‘idiot’", "x/idiot", "**********idiot", "l'idiot", "l’idiot", "IDIOT", "ДУРАК", "1idiot", "日idiot"[1:], "…idiot…"]
+    assert all(f == plain for f in features(*spelt)), dict(zip(spelt, features(*spelt)))
+    assert features("stupid/idiot") == features("stupid idiot") and features("stupid/idiot")[0][1] == 6.0
+    assert features("you,idiot") == features("you, idiot") and features("you/idiot") == features("you idiot") and features("you/idiot")[0] != plain
+    assert features("don’t idiot") == features("don't idiot") == features("not/idiot") != [plain]
+    assert features("id", "iot", "pidiot", None, "") == [[0, 0, 0]] * 5
+    text = "Ünï ²x3y d'où “né” _a_b 日本語 ½ привет\U00010400z o'"
+    low = toxicity.prepared(pa.array([text]))
+    _, _, off, data = next(textbuf.runs(low))
+    s, e = toxicity.spans(toxicity.letters(data), off)
+    assert [data[a:b].tobytes().decode() for a, b in zip(s, e)] == toxicity._WORD.findall(low[0].as_py())
