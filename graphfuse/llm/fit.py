@@ -37,6 +37,13 @@ def bounded(rows: DataFrame, label: str, most: int) -> DataFrame:
     return keyed.filter(cond).drop("_key")
 
 
+def label_weights(rows: DataFrame, sample: DataFrame, label: str) -> dict[object, float]:
+    """The weight of a sampled row of each label that restores the shares of ``rows``; 1 on average."""
+    n, own = (dict(map(tuple, d.groupBy(label).count().collect())) for d in (rows, sample))
+    scale = sum(own.values()) / max(1, sum(n[k] for k in own))
+    return {k: n[k] / own[k] * scale for k in own}
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

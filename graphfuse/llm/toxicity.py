@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 from .cluster import ship
-from .fit import bounded, held_out, logistic, sigmoid
+from .fit import bounded, held_out, label_weights, logistic, sigmoid
 
 #: At most so many labelled documents of each label are fitted on.
 SAMPLE = 4_000
@@ -298,7 +298,8 @@ def _calibration_batches(it: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iter
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn patterns and calibration from labelled rows that aren't held out.
 
-    The bounded sample of ids (2 * sample at most) is broadcast to the texts.
+    The bounded sample of ids (2 * sample at most) is broadcast to the texts.  The
+    calibration weighs its rows so that labels count as in all learnable rows.
     """
     ship(docs.sparkSession)
     marked = labels.select("doc_id", F.col("toxic").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
@@ -308,7 +309,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     t = rows.mapInArrow(lambda it: _calibration_batches(it, lexicon), "label int, a double, b double, c double").toArrow().sort_by([(c, "ascending") for c in ("label", "a", "b", "c")])
     x = np.stack([np.ones(t.num_rows), *(t[c].to_numpy() for c in "abc")], axis=1)
     y = t["label"].to_numpy().astype(float)
-    return Model(lexicon, logistic(x, y, ridge=0.1) if len(y) else np.array([-3.0, 1.0, 0.5, 0.0]))
+    by_label = label_weights(marked, ids, "label")
+    weight = np.array([by_label[k] for k in t["label"].to_pylist()])
+    return Model(lexicon, logistic(x, y, ridge=0.1, weight=weight) if len(y) else np.array([-3.0, 1.0, 0.5, 0.0]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -185,3 +185,25 @@ def test_scoring_cuts_words_as_training_does():
     _, _, off, data = next(textbuf.runs(low))
     s, e = toxicity.spans(toxicity.letters(data), off)
     assert [data[a:b].tobytes().decode() for a, b in zip(s, e)] == toxicity._WORD.findall(low[0].as_py())
+
+
+def shares(spark, docs):
+    """1,500 labelled documents, one in ten toxic and bad, most of them but not all to be told by a word."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        words = [rng.choice("the man saw a dog in that old house by river".split()) for _ in range(60)]
+        if rng.random() < (0.7 if toxic else 0.005):
+            words.insert(30, "idiot")
+        if rng.random() < (0.7 if toxic else 0.1):
+            words = [w.upper() + "!!" for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not toxic), int(toxic)))
+    return docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_does_not_depend_on_the_size_of_the_sample(docs, spark):
+    df, labels = shares(spark, docs)
+    mean = [toxicity.toxicity(df, labels, n).agg(F.avg(F.log(F.col("score") / (1 - F.col("score"))))).first()[0] for n in (4000, 100)]
+    assert abs(mean[0] - mean[1]) < 0.7
