@@ -4,8 +4,9 @@ A document's score is linear in features of its whole text.  The weights are
 learnt from preference pairs, a document marked good against one marked bad:
 P(good beats bad) = sigmoid(score difference), so the loss is logistic on the
 difference of the features (Bradley & Terry 1952).  The threshold is the
-quantile of the scores at the share of bad documents among the labelled ones;
-it is mapped to CUT on the 0 to 1 scale.
+quantile of the scores at the share of bad documents among the labelled ones,
+both taken over all rows that may be learnt from, also those that the weights
+aren't fitted on; it is mapped to CUT on the 0 to 1 scale.
 """
 
 from __future__ import annotations
@@ -107,6 +108,16 @@ def _feature_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in raw], pa.binary())], names=["doc_id", "raw"])
 
 
+def threshold(margins: DataFrame) -> float:
+    """The quantile of ``margin`` at the share of label 0, over all rows of (label, margin)."""
+    n, bad = margins.agg(F.count("*"), F.count_if(F.col("label") == 0)).first()
+    k = bad / n * (n - 1)
+    # the two rows around the quantile; half a rank keeps rounding from moving them
+    at = [(min(int(k) + i, n - 1) + 0.5) / n for i in (0, 1)]
+    low, high = margins.agg(F.percentile_approx("margin", at, 100_000)).first()[0]
+    return low + (k - int(k)) * (high - low)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
@@ -116,14 +127,24 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """
     spark = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "quality-classifier")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    feats = Scratch(spark, "quality-classifier").save(docs.select("doc_id", "text").mapInArrow(_feature_batches, f"doc_id {kind}, raw binary"), "features")
+    feats = scratch.save(docs.select("doc_id", "text").mapInArrow(_feature_batches, f"doc_id {kind}, raw binary"), "features")
     marked = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
     rows = feats.join(bounded(marked, "label", sample), "doc_id").select("doc_id", "label", "raw").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     width = text_features(np.zeros(2, np.int64), np.zeros(0, np.uint8)).shape[1]
     raw = np.frombuffer(b"".join(rows["raw"].to_pylist()), np.float32).reshape(-1, width)
     model = bradley_terry(raw, rows["label"].to_numpy()) if len(raw) else Model(np.zeros(width * 5), np.ones(width * 5), np.zeros(width * 5), 0.0)
 
+    def margins(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.margin(x), pa.float64())], names=["label", "margin"])
+
+    if len(set(rows["label"].to_pylist())) == 2:
+        every = feats.join(marked, "doc_id").select(F.col("label").cast("int").alias("label"), "raw")
+        model.threshold = threshold(scratch.save(every.mapInArrow(margins, "label int, margin double"), "margins"))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:

@@ -207,3 +207,13 @@ def test_toxicity_does_not_depend_on_the_size_of_the_sample(docs, spark):
     df, labels = shares(spark, docs)
     mean = [toxicity.toxicity(df, labels, n).agg(F.avg(F.log(F.col("score") / (1 - F.col("score"))))).first()[0] for n in (4000, 100)]
     assert abs(mean[0] - mean[1]) < 0.7
+
+
+def test_quality_threshold_covers_all_labelled_rows(docs, spark):
+    df, labels = shares(spark, docs)
+    for n in (20_000, 100):
+        got = quality_classifier.classify(df, labels, n).filter("not held_out")
+        assert abs(got.agg(F.avg(1 - F.col("predicted"))).first()[0] - 0.1) < 0.03
+    values = np.random.default_rng(1).normal(size=700)
+    m = spark.createDataFrame([(int(i >= 91), float(v)) for i, v in enumerate(values)], "label int, margin double")
+    assert math.isclose(quality_classifier.threshold(m), np.quantile(values, 91 / 700))
