@@ -70,7 +70,7 @@ def anchors(off: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, n
     none = np.zeros(0, np.int64)
     if n < size:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    c = textbuf.prefix(data)
+    c = textbuf.prefix(data, sure=False)
     at = np.arange(n - half + 1)
     name = textbuf.span_hash(c, at, at + half)
     low = slide(name, size - half + 1, True)  # of the window that begins at i
@@ -125,7 +125,7 @@ def cell_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 continue
             lo = np.maximum(cell + CELL - 1, 0)
             hi = np.minimum(cell + size, len(text))
-            name = textbuf.span_hash(textbuf.prefix(text), lo, hi)
+            name = textbuf.span_hash(textbuf.prefix(text, sure=False), lo, hi)
             yield pa.RecordBatch.from_arrays(
                 [pa.repeat(batch.column(0)[i], len(cell)), pa.array(cell), pa.array(name.view(np.int64))], names=["doc_id", "cell", "name"]
             )
@@ -141,7 +141,7 @@ def window_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             text = data[off[i] : off[i + 1]]
             start = np.unique(where[i].values.to_numpy()[:, None] + np.arange(CELL)[None])
             start = start[(start >= 0) & (start + size <= len(text))]
-            c = textbuf.prefix(text)
+            c = textbuf.prefix(text, sure=False)
             n1, n2 = textbuf.span_hash(c, start, start + half), textbuf.span_hash(c, start + half, start + size)
             for k in range(0, len(start), 1 << 16):
                 part = slice(k, k + (1 << 16))

@@ -58,21 +58,67 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
-def prefix(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """C with C[i] the polynomial fingerprint of data[:i] (length n + 1)."""
+#: The second fingerprint works modulo this prime; a polynomial modulo 2**64 alone has strings that always collide.
+PRIME = (1 << 31) - 1
+_B2 = 1_220_703_125
+_byte2 = mix(np.arange(1001, 1257, dtype=np.uint64)) % _U(PRIME)
+_byte2_lower = _byte2[LOWER]
+_pow2 = np.ones(1, np.uint64)
+_inv2 = np.ones(1, np.uint64)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Congruent to x modulo PRIME and below 2**32, for x below 2**63."""
+    return (x & _U(PRIME)) + (x >> _U(31))
+
+
+def _table2(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    have = 1
+    while have < size:
+        more = min(have, size - have)
+        out[have : have + more] = out[:more] * _U(pow(base, have, PRIME)) % _U(PRIME)
+        have += more
+    return out
+
+
+def powers2(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the second base and of its inverse modulo PRIME for i <= n."""
+    global _pow2, _inv2
+    if len(_pow2) <= n:
+        size = max(n + 1, RUN_BYTES + 1)
+        _pow2, _inv2 = _table2(_B2, size), _table2(pow(_B2, -1, PRIME), size)
+    return _pow2, _inv2
+
+
+def prefix(data: np.ndarray, table: np.ndarray = BYTE, sure: bool = True) -> np.ndarray:
+    """C with C[..., i] the polynomial fingerprints of data[:i]; ``sure`` has two rows, the second modulo PRIME.
+
+    One row is enough for strings under a thousand bytes.
+    """
     n = len(data)
     p, _ = powers(n)
-    c = np.zeros(n + 1, np.uint64)
+    c = np.zeros((2 if sure else 1, n + 1), np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(table[data] * p[:n], out=c[1:])
+        np.cumsum(table[data] * p[:n], out=c[0, 1:])
+    if not sure:
+        return c[0]
+    p2, _ = powers2(n)
+    np.cumsum(_fold((_byte2_lower if table is BYTE_LOWER else _byte2)[data] * p2[:n]), out=c[1, 1:])
     return c
 
 
 def span_hash(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Fingerprints of data[s:e], equal for equal bytes wherever they stand."""
-    _, inv = powers(len(c) - 1)
+    _, inv = powers(c.shape[-1] - 1)
+    one = c if c.ndim == 1 else c[0]
     with np.errstate(over="ignore"):
-        return mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64) * _U(0xA24BAED4963EE407))
+        h = mix((one[e] - one[s]) * inv[s] + (e - s).astype(np.uint64) * _U(0xA24BAED4963EE407))
+        if c.ndim == 1:
+            return h
+        _, inv2 = powers2(c.shape[-1] - 1)
+        two = (c[1][e] - c[1][s]) % _U(PRIME) * inv2[s] % _U(PRIME)
+        return mix(h ^ two * _U(0x9FB21C651E98DF25))
 
 
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
