@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textbuf
 from .cluster import Scratch, ship
 from .fit import bounded, held_out, logistic, sigmoid
-from .quality_rules import CONTROL, DIGIT, LINE, SHOUT, SIZE, base_counts, by_document, codes
+from .quality_rules import base_counts, by_document
 
 #: At most so many labelled documents of each label are fitted on.
 SAMPLE = 20_000
@@ -30,21 +30,37 @@ SAMPLE = 20_000
 PARTNERS = 8
 CUT = 0.3
 
-#: Groups of character classes whose share of the words is a feature.
-GROUPS = ((SHOUT,), (DIGIT,), (LINE,), (31, 32), (33,), (38,), (39, 40), (34, 35, 36, 37, 41), (CONTROL,))
+#: Groups of ASCII characters whose share of the words is a feature.
+MARKS = ("0123456789", "\n\v\f\r", ".,", "!?", "[]<>|", "#*$%&", "'\"`-_:;(){}/\\=+~^@")
 #: Each raw feature is taken as it is and through these steps, so that a linear score can bend.
 STEPS = (0.05, 0.2, 0.5)
 
 
+def _group_table() -> np.ndarray:
+    """Group of each byte: 1 to 7 as in MARKS, 8 for control characters, 0 for the rest."""
+    out = np.zeros(256, np.uint8)
+    out[:32] = out[127] = 8
+    out[[9, 32]] = 0
+    for k, group in enumerate(MARKS):
+        out[[ord(c) for c in group]] = k + 1
+    return out
+
+
+_GROUP = _group_table()
+
+
 def text_features(off: np.ndarray, data: np.ndarray) -> np.ndarray:
     """One row of raw features, from 0 to about 1, for each document of a run."""
     n_words, word_chars, n_symbols, n_dup, n_rep = base_counts(off, data)
     s, e, first = textbuf.words(off, data)
     h = textbuf.span_hash(textbuf.prefix(data, textbuf.BYTE_LOWER), s, e)
     w = np.maximum(n_words, 1)
-    code, at = codes(off, data)
-    cls = (code & np.uint32(SIZE - 1)).astype(np.uint8)
-    shares = [by_document(np.isin(cls, g), at) / (5 * w) for g in GROUPS]
+    group = _GROUP[data]
+    up = (data >= 65) & (data <= 90)
+    shout = up.copy()
+    shout[1:] &= up[:-1]  # capitals behind a capital
+    shout[off[:-1][off[:-1] < len(data)]] = False
+    shares = [by_document(x, off) / (5 * w) for x in (shout, *(group == k for k in range(1, 9)))]
     owner = np.repeat(np.arange(len(w)), n_words)
     echo = np.zeros(len(h), bool)
     if len(h) > 1:

@@ -1,16 +1,31 @@
 """Quality rules: counting rules and an n-gram perplexity band for each language.
 
 The language model is an interpolated modified Kneser-Ney model (Chen & Goodman
-1998) of order four over 64 character classes.  Characters, not words: a word
-model of a web corpus grows with the corpus and can't be held by each task,
-while 64**4 entries bound this one whatever the corpus is.  N-grams are counted
-over the whole of every text: a task counts into a table of its own, Spark adds
-the tables up.  An n-gram's hash is its four class numbers in 24 bits, which no
-two n-grams share; the model is kept as arrays sorted by that hash.
-
-A document's log perplexity is the mean negative log probability of its
-characters.  Documents outside their language's band (fences around the
-quartiles of all documents of that language) are rejected.
+1998) over words.  Counts come from the whole of every text, and what is counted
+grows with the corpus; the model itself is a few sorted arrays whose size is
+bounded by its thresholds, so every task can hold it:
+
+* *Vocabulary*: words of at least ``LEAST`` of all tokens, at most 1 / LEAST,
+  held as sorted 64-bit hashes.  All other words share the unknown word, whose
+  probability is spread over their number.
+* *One word*: the continuation count of a word, how many different words stand
+  before it.
+* *Two words*: a pair counts by how many different words stand before it as
+  well.  This is the middle order of a three-word model whose top order is
+  pruned: a passage that stands in thousands of copies teaches the model each of
+  its pairs once, so copies don't become predictable by being copies.  Pairs are
+  told apart among words of at least ``FREQUENT`` of all tokens and kept as sorted
+  64-bit keys from ``EVIDENCE`` different words on.
+
+Spark counts by sorted blocks: a task sorts and sums the keys of its texts and
+sends each shard its part as one block of differences; a shard merges its
+blocks.  A shard holds about ``SHARD`` tokens, so shards grow in number, not in
+size, and no key's group is larger than the vocabulary.
+
+In scripts of three and four bytes, which may have no spaces, every character is
+a word of the model.  A document's log perplexity is the mean negative log
+probability of its words.  Documents outside their language's band (fences
+around the quartiles of that language) are rejected.
 """
 
 from __future__ import annotations
@@ -20,162 +35,338 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbuf
 from .cluster import Scratch, ship
 
 U = np.uint64
-BITS, ORDER = 6, 4
-SIZE = 1 << BITS
-ALL = SIZE**ORDER
+
+#: Shares of all tokens from which a word is in the vocabulary, and in pairs.
+LEAST, FREQUENT = 5e-7, 1e-5
+#: A pair is kept from so many different words before it on, and from LEAST of all evidence.
+EVIDENCE = 3
+#: Tokens of a shard, about, and keys that a task holds before it sends them.
+SHARD, HELD = 1 << 21, 1 << 22
 
 #: Bands of at most so many languages are broadcast.
 MOST_BANDS = 10_000
+#: Steps of log perplexity that quartiles are exact to.
+STEP = 1e-4
+
+#: What a counted row says.
+WORD, PAIR, CONTEXT, REPEATED = range(4)
+
+
+# ---- sorted blocks of keys -------------------------------------------------------
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, without the planes that are all zero."""
+    top = int(x.max()) if len(x) else 0
+    k = max(1, -(-top.bit_length() // 8))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order with the sums of their counts."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+class Blocks:
+    """Keys of a task, summed, cut by shard and sent as blocks."""
+
+    def __init__(self, kind: int, shards: int, group: int, counted: bool):
+        self.kind, self.shards, self.group, self.counted = kind, shards, U(group), counted
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, c = summed(keys)
+        self.keys.append(k)
+        self.counts.append(c)
+        self.n += len(k)
+        if self.n >= HELD:
+            self._shrink()
+            if self.n >= HELD // 2:
+                yield from self.flush()
+
+    def _shrink(self) -> None:
+        k, c = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        self.keys, self.counts, self.n = [k], [c], len(k)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        self._shrink()
+        k, c = self.keys[0], self.counts[0]
+        # keys of one group (all but the lowest ``group`` bits) meet in one shard
+        shard = textbuf.mix((k >> self.group) + U(1)) % U(self.shards)
+        order = np.argsort(shard, kind="stable")
+        k, c = k[order], c[order]
+        at = np.searchsorted(shard[order], np.arange(self.shards + 1, dtype=np.uint64))
+        for i in np.flatnonzero(np.diff(at)):
+            own = k[at[i] : at[i + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.kind], pa.int32()), pa.array([i], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([pack(np.diff(own, prepend=U(0)))], pa.binary()), pa.array([pack(c[at[i] : at[i + 1]]) if self.counted else None], pa.binary())],
+                names=["kind", "shard", "n", "keys", "counts"],
+            )
+        self.keys, self.counts, self.n = [], [], 0
+
+
+BLOCK = "kind int, shard long, n long, keys binary, counts binary"
+COUNTED = "kind int, key long, n long"
+
+
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(keys), 1 << 16):
+        a, b = keys[k : k + (1 << 16)], n[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.int64))], names=["kind", "key", "n"])
+
+
+def merge_batches(it: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
+    """Blocks in the order of (kind, shard) to what ``finish`` makes of each shard's sums."""
+    now, held = None, []
+    for batch in it:
+        for i in range(batch.num_rows):
+            at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            if at != now and held:
+                yield from finish(now[0], *_merged(held))
+                held = []
+            now = at
+            n = batch.column(2)[i].as_py()
+            keys = np.cumsum(unpack(batch.column(3)[i].as_py(), n), dtype=np.uint64)
+            raw = batch.column(4)[i].as_py()
+            held.append((keys, unpack(raw, n).astype(np.int64) if raw is not None else np.ones(n, np.int64)))
+    if held:
+        yield from finish(now[0], *_merged(held))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+
+
+def counted(texts: DataFrame, emit, finish) -> DataFrame:
+    """(kind, key, n) rows of the merged shards; ``emit`` makes blocks of text batches."""
+    blocks = texts.mapInArrow(emit, BLOCK).repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+    return blocks.mapInArrow(lambda it: merge_batches(it, finish), COUNTED)
+
+
+# ---- words and their probabilities -----------------------------------------------
 
-#: Character classes: 0 is the edge of a text, 1 to 26 letters of either case.
-SHOUT, DIGIT, SPACE, LINE = 27, 28, 29, 30
-#: ASCII marks that share a class, from class 31 on.
-MARKS = (".", ",", "!?", "'\"`", "-_", ":;", "(){}", "[]<>|", "#*", "$%&", "/\\=+~^@")
-#: Accented letters with a class of their own, from class 43 on.
-ACCENTS = "éèêçàäöüßñíó"
-CONTROL, LATIN1, LATIN, MIDDLE, HIGH, ASTRAL = 42, 55, 56, 57, 58, 59
-
-
-def _class_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class by first byte, and by second byte of the pairs that begin with 0xC3."""
-    one = np.full(256, CONTROL, np.uint8)
-    for i in range(26):
-        one[[65 + i, 97 + i]] = 1 + i
-    one[48:58] = DIGIT
-    one[[32, 9]] = SPACE
-    one[[10, 11, 12, 13]] = LINE
-    for k, group in enumerate(MARKS):
-        one[[ord(c) for c in group]] = 31 + k
-    one[0xC2:0xC4] = LATIN1
-    one[0xC4:0xCC] = LATIN
-    one[0xCC:0xE0] = MIDDLE
-    one[0xE0:0xF0] = HIGH
-    one[0xF0:] = ASTRAL
-    two = np.full(256, LATIN1, np.uint8)
-    for k, c in enumerate(ACCENTS):
-        two[c.encode()[1]] = 43 + k
-        if len(up := c.upper()) == 1:
-            two[up.encode()[1]] = 43 + k
-    return one, two
-
-
-_ONE, _TWO = _class_tables()
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-
-
-def codes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram hash that ends at each character of a run, and first character of each document."""
-    n = len(data)
-    lead = (data & 0xC0) != 0x80
-    cls = _ONE[data]
-    pair = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
-    cls[pair] = _TWO[data[pair + 1]]
-    up = _UPPER[data]
-    loud = np.flatnonzero(up[1:] & up[:-1]) + 1
-    cls[loud] = SHOUT
-    first = np.zeros(len(off), np.int64)
-    at = np.zeros(n + 1, np.int64)
-    np.cumsum(lead, out=at[1:])
-    first[:] = at[off]
-    c = cls[lead].astype(np.uint32)
-    code = c.copy()
-    for back in range(1, ORDER):
-        code[back:] |= c[:-back] << np.uint32(BITS * back)
-    # before a document's first characters stands the edge class
-    begin = first[:-1][np.diff(first) > 0]
-    for k in range(ORDER - 1):
-        own = begin[begin + k < len(c)] + k
-        limit = np.repeat(first[1:][np.diff(first) > 0], 1)[begin + k < len(c)]
-        own = own[own < limit]
-        code[own] &= np.uint32((1 << (BITS * (k + 1))) - 1)
-    return code, first
-
-
-def count_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(ALL, np.uint32)
+
+def tokens(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the model's words of a run, lower case, and first word of each document."""
+    s, e, first = textbuf.words(off, data)
+    wide = np.flatnonzero(data >= 0xE0)
+    if len(wide):
+        # characters of three and four bytes are words of their own
+        after = wide + 3 + (data[wide] >= 0xF0)
+        s = np.union1d(s, np.concatenate([wide, after[after < len(data)]]))
+        s = s[~textbuf.WS[data[s]]]
+        own_end = np.append(s[1:], len(data))
+        stop = np.sort(np.concatenate([e, own_end]))
+        e = stop[np.searchsorted(stop, s, "right")]
+        first = np.searchsorted(s, off)
+    return textbuf.span_hash(textbuf.prefix(data, textbuf.BYTE_LOWER), s, e), first
+
+
+def word_batches(it: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    blocks = Blocks(WORD, shards, 0, True)
     for batch in it:
         for _, _, off, data in textbuf.runs(batch.column(0)):
-            if counts.max(initial=0) > 1 << 31:
-                yield from _table(counts)
-                counts[:] = 0
-            np.add.at(counts, codes(off, data)[0], np.uint32(1))
-    yield from _table(counts)
+            yield from blocks.add(tokens(off, data)[0])
+    yield from blocks.flush()
+
+
+def finish_words(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Words that stand at least twice; tokens and kinds of words as sums under CONTEXT."""
+    often = n > 1
+    yield from _rows(WORD, keys[often], n[often])
+    yield from _rows(CONTEXT, np.array([0, 1], np.uint64), np.array([n.sum(), len(keys)]))
 
 
-def _table(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    at = np.flatnonzero(counts)
-    for k in range(0, len(at), 1 << 16):
-        part = at[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["code", "n"])
+@dataclass
+class Vocabulary:
+    """Sorted word hashes.  A word's number is its place; then come the unknown word and the edge of a text."""
+
+    hashes: np.ndarray
+    frequent: np.ndarray  # by number: whether the word is told apart in pairs
+    unknown_kinds: int
+
+    @property
+    def size(self) -> int:
+        return len(self.hashes) + 2
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        n = len(self.hashes)
+        if not n:
+            return np.full(len(h), 0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), n - 1)
+        return np.where(self.hashes[at] == h, at, n)
+
+    def sequence(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, word before, first word of each document) of a run; before a text stands the edge."""
+        h, first = tokens(off, data)
+        word = self.numbers(h)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[first[:-1][np.diff(first) > 0]] = len(self.hashes) + 1
+        return word, before, first
+
+    def pair_keys(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words stand behind a frequent word (or the edge), and the keys of those pairs; other words count as unknown."""
+        at = np.flatnonzero(self.frequent[before])
+        w = np.where(self.frequent[word[at]], word[at], len(self.hashes))
+        return at, before[at].astype(np.uint64) * U(self.size) + w.astype(np.uint64)
+
+
+def pair_batches(it: Iterator[pa.RecordBatch], vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of (word, word before) and of (pair, word before it), each key once a task."""
+    v = vocabulary.value
+    bits = max(1, v.size.bit_length())
+    words, pairs = Blocks(WORD, shards, bits, False), Blocks(PAIR, shards, bits, False)
+    edge = v.size - 1
+    for batch in it:
+        for _, _, off, data in textbuf.runs(batch.column(0)):
+            word, before, first = v.sequence(off, data)
+            if not len(word):
+                continue
+            whole = np.flatnonzero(np.diff(first) > 0)
+            # each text ends in the edge
+            last = first[1:][whole] - 1
+            before2 = np.empty_like(before)
+            before2[1:] = before[:-1]
+            before2[first[:-1][whole]] = edge
+            word, before, before2 = (np.concatenate(x) for x in ((word, np.full(len(last), edge)), (before, word[last]), (before2, before[last])))
+            yield from words.add(word.astype(np.uint64) << U(bits) | before.astype(np.uint64))
+            at, key = v.pair_keys(word, before)
+            yield from pairs.add(key << U(bits) | before2[at].astype(np.uint64))
+    yield from words.flush()
+    yield from pairs.flush()
+
+
+def finish_pairs(kind: int, keys: np.ndarray, n: np.ndarray, bits: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Different words before each word and before each pair; sums of the latter by context, and how many have 1 to 4."""
+    own, c = summed(keys >> U(bits))
+    if kind == WORD:
+        yield from _rows(WORD, own, c)
+        return
+    often = c >= EVIDENCE
+    yield from _rows(PAIR, own[often], c[often])
+    yield from _rows(CONTEXT, *summed(own // U(size), c))
+    yield from _rows(REPEATED, np.arange(1, 5, dtype=np.uint64), np.bincount(np.minimum(c, 5), minlength=6)[1:5])
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """What modified Kneser-Ney takes from counts of 0, 1, 2 and more."""
+    n1, n2, n3, n4 = (max(1.0, float(x)) for x in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.95, 1.9, 2.8])
 
 
 @dataclass
 class Model:
-    """For each order 1 to 4: n-gram hashes in rising order with their discounted
-    probabilities, and context hashes with the weight left to the order below."""
-
-    grams: list[np.ndarray]
-    probs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
-
-    def dense(self) -> np.ndarray:
-        """log P(last character | the three before), indexed by n-gram hash."""
-        p = np.full(SIZE, 1 / SIZE, np.float32)
-        for k in range(ORDER):
-            w = np.ones(SIZE**k, np.float32)
-            w[self.contexts[k]] = self.weights[k]
-            # a longer context's lower order drops its first character
-            lower = p.reshape(-1, SIZE)
-            p = (w.reshape(-1, len(lower), 1) * lower[None]).reshape(-1)
-            p[self.grams[k]] += self.probs[k]
-        return np.log(p, out=p)
-
-    def prob(self, code: int) -> float:
-        """P of one n-gram by binary search in the sorted arrays (reference path)."""
-        p = 1 / SIZE
-        for k in range(ORDER):
-            g = code & (SIZE ** (k + 1) - 1)
-            c = g >> BITS
-            i = np.searchsorted(self.contexts[k], c)
-            w = float(self.weights[k][i]) if i < len(self.contexts[k]) and self.contexts[k][i] == c else 1.0
-            j = np.searchsorted(self.grams[k], g)
-            own = float(self.probs[k][j]) if j < len(self.grams[k]) and self.grams[k][j] == g else 0.0
-            p = own + w * p
-        return p
-
-
-def kneser_ney(code: np.ndarray, n: np.ndarray) -> Model:
-    """Modified Kneser-Ney from four-gram counts (code rising)."""
-    levels = [(code.astype(np.int64), n.astype(np.float64))]
-    for k in range(ORDER - 1, 0, -1):
-        # a lower order counts in how many different contexts an n-gram continues
-        g, c = np.unique(levels[0][0] & (SIZE**k - 1), return_counts=True)
-        levels.insert(0, (g, c.astype(np.float64)))
-    out = Model([], [], [], [])
-    for g, c in levels:
-        t = [max(1.0, float((c == r).sum())) for r in (1, 2, 3, 4)]
-        y = t[0] / (t[0] + 2 * t[1])
-        d = np.clip([0, 1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], [0, 0.1, 0.1, 0.1], [0, 0.95, 1.9, 2.8])
-        cut = d[np.minimum(c, 3).astype(int)]
-        ctx, at = np.unique(g >> BITS, return_inverse=True)
-        total = np.bincount(at, c)
-        out.grams.append(g)
-        out.probs.append(((c - cut) / total[at]).astype(np.float32))
-        out.contexts.append(ctx)
-        out.weights.append((np.bincount(at, cut) / total).astype(np.float32))
-    return out
-
-
-_dense: tuple[object, np.ndarray] | None = None
+    """Sorted arrays: the vocabulary with P of each word, pairs with their discounted
+    probabilities, and by context the weight left to the word alone."""
+
+    vocabulary: Vocabulary
+    alone: np.ndarray
+    pairs: np.ndarray
+    probs: np.ndarray
+    left: np.ndarray
+
+    def log_probs(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(word | word before); an unknown word is one of its number."""
+        v = self.vocabulary
+        p = self.left[before] * self.alone[word]
+        if len(self.pairs):
+            at, key = v.pair_keys(word, before)
+            i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            # an infrequent word is no pair's unknown word: that pair's share is spread over all by ``left``
+            known = (self.pairs[i] == key) & v.frequent[word[at]]
+            p[at[known]] += self.probs[i[known]]
+        out = np.log(p)
+        out[word == v.size - 2] -= np.log(max(1, v.unknown_kinds))
+        return out
+
+
+def kneser_ney(vocabulary: Vocabulary, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, evidence: np.ndarray, repeated: np.ndarray) -> Model:
+    """The model from continuation counts by word, evidence by context, kept pairs (rising) and their evidence."""
+    n = vocabulary.size
+    d = discounts(*(np.count_nonzero(words == r) for r in (1, 2, 3, 4)))
+    alone = (words - d[np.minimum(words, 3)]) / max(1, words.sum())
+    alone += (1 - alone.sum()) / n
+    size = U(n)
+    # pairs with the unknown word are left to the word alone: behind it stand words of many kinds
+    known = vocabulary.frequent[(pairs % size).astype(np.int64)] if len(pairs) else np.zeros(0, bool)
+    pairs, evidence = pairs[known], evidence[known]
+    context = (pairs // size).astype(np.int64)
+    d = discounts(*repeated)
+    probs = (evidence - d[np.minimum(evidence, 3)]) / np.maximum(1, contexts[context])
+    left = 1 - np.bincount(context, probs, minlength=n)
+    return Model(vocabulary, alone, pairs, probs, left)
+
+
+def train(docs: DataFrame, scratch: Scratch | None = None, least: float = LEAST, frequent: float = FREQUENT) -> Model:
+    """The model of all texts of ``docs``.
+
+    To the driver come at most 1 / least words and 1 / least pairs, and a count
+    for each frequent word.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = scratch or Scratch(spark, "quality")
+    texts = docs.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, size // (6 * SHARD))  # a word and its space are some six bytes
+    seen = scratch.save(counted(texts, lambda it: word_batches(it, shards), finish_words), "words")
+    total = {r["key"]: r["n"] for r in seen.filter(F.col("kind") == CONTEXT).groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    n_tokens, n_kinds = total.get(0, 0), total.get(1, 0)
+    top = seen.filter((F.col("kind") == WORD) & (F.col("n") >= max(2.0, least * n_tokens))).select("key", "n").toArrow()
+    hashes, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(hashes)
+    often = np.append(n[order] >= max(2.0, frequent * n_tokens), [False, True])
+    vocabulary = Vocabulary(hashes[order], often, n_kinds - len(order))
+    scratch.drop("words")
+
+    shared = spark.sparkContext.broadcast(vocabulary)  # at most 1 / least words
+    bits, n_words = max(1, vocabulary.size.bit_length()), vocabulary.size
+    seen = scratch.save(counted(texts, lambda it: pair_batches(it, shared, shards), lambda kind, keys, c: finish_pairs(kind, keys, c, bits, n_words)), "pairs")
+
+    def by_key(kind: int, length: int) -> np.ndarray:
+        t = seen.filter(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(length, np.int64)
+        out[t["key"].to_numpy()] = t["n"].to_numpy()
+        return out
+
+    contexts = by_key(CONTEXT, n_words)
+    bar = max(EVIDENCE, least * contexts.sum())
+    kept = seen.filter((F.col("kind") == PAIR) & (F.col("n") >= bar)).select("key", "n").toArrow()
+    pairs, evidence = kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy()
+    order = np.argsort(pairs)
+    model = kneser_ney(vocabulary, by_key(WORD, n_words), contexts, pairs[order], evidence[order], by_key(REPEATED, 5)[1:])
+    scratch.drop("pairs")
+    return model
+
+
+# ---- counting rules --------------------------------------------------------------
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -232,71 +423,69 @@ def base_counts(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def score_batches(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """(doc_id, lang, text) to the counts and the log perplexity."""
-    global _dense
-    if _dense is None or _dense[0] != model.id:
-        _dense = (model.id, model.value.dense())
-    log_p = _dense[1]
+    m: Model = model.value
     for batch in it:
         for lo, hi, off, data in textbuf.runs(batch.column(2), 1 << 19):
             counts = base_counts(off, data)
-            code, first = codes(off, data)
-            chars = np.diff(first)
-            ppl = -by_document(log_p[code].astype(np.float64), first) / np.maximum(chars, 1)
+            word, before, first = m.vocabulary.sequence(off, data)
+            n = np.diff(first)
+            ppl = -by_document(m.log_probs(word, before), first) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(np.asarray(x, np.int64)) for x in counts), pa.array(np.where(chars > 0, ppl, np.nan))],
+                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(np.asarray(x, np.int64)) for x in counts), pa.array(np.where(n > 0, ppl, np.nan))],
                 names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
             )
 
 
-class _Bounded:
-    """A broadcast model with the id that keeps its dense form apart from others'."""
+def bands(scored: DataFrame, below: float, above: float, least_width: float) -> DataFrame:
+    """(lang, low, high) from the documents of each language, copies of one text counted once.
+
+    Quartiles are exact to STEP: documents are counted by steps of log perplexity
+    first, so a language is a bounded histogram however many documents it has.
+    """
+    step = F.round(F.col("log_perplexity") / STEP).cast("long")
+    apart = scored.select("lang", step.alias("step"), "n_words", "word_chars").distinct()
+    hist = apart.groupBy("lang", "step").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("step"))
+    hist = hist.withColumn("upto", upto).withColumn("all", F.sum("n").over(W.partitionBy("lang")))
 
-    def __init__(self, spark, model: Model, key: str):
-        self._b, self.id = spark.sparkContext.broadcast(model), key
+    def quartile(share: float) -> Column:
+        return F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("step"))) * STEP
 
-    @property
-    def value(self) -> Model:
-        return self._b.value
+    q = hist.groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
 
+    def width(fence: float) -> Column:
+        return F.greatest(fence * (F.col("q3") - F.col("q1")), F.lit(least_width))
 
-def train(docs: DataFrame) -> Model:
-    """The model of all texts of ``docs``.  At most 64**4 rows come to the driver."""
-    counted = docs.select("text").mapInArrow(count_batches, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    t = counted.toArrow()
-    code, n = t["code"].to_numpy(), t["n"].to_numpy()
-    order = np.argsort(code)
-    return kneser_ney(code[order], n[order])
+    return q.select("lang", (F.col("q1") - width(below)).alias("low"), (F.col("q3") + width(above)).alias("high"))
 
 
-def quality_rules(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, fence: float = 4.0, least_width: float = 0.4
-) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, below: float = 8.0, above: float = 2.0, least_width: float = 0.3) -> DataFrame:
     """Counts, perplexity and verdict of every document of (doc_id, text, lang).
 
-    The band of a language is [q1 - w, q3 + w] of the log perplexity of its
-    documents that pass the counting rules, w the larger of ``fence`` quartile
-    distances and ``least_width``.  A null language has a band of its own.  Null
-    and empty texts have no words and fail the counting rules.
+    The band of a language reaches from ``below`` quartile distances under the
+    lower quartile of the log perplexity of its documents that pass the counting
+    rules to ``above`` of them over the upper one (``least_width`` at least, where
+    copies leave next to no distance).  It is wider below: a good text that many
+    near copies share is easier to foretell, and which copy stays isn't for this
+    rule to say.  A null language has a band
+    of its own, apart from any that is named.  Null and empty texts have no words
+    and fail the counting rules.  One row a row of ``docs``.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "quality")
-    model = _Bounded(spark, train(docs), scratch.top)
+    model = spark.sparkContext.broadcast(train(docs, scratch))  # at most 1 / LEAST words and pairs
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
+    scored = docs.select("doc_id", "lang", "text").mapInArrow(
         lambda it: score_batches(it, model),
         f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double",
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = scratch.save(scored.withColumn("base_failed", failed), "scored")
-    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
-    bands = scored.filter(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))
-    w = F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), F.lit(least_width))
-    bands = bands.select("lang", (F.col("q")[0] - w).alias("low"), (F.col("q")[1] + w).alias("high"))
-    bands = scratch.save(bands, "bands")
-    if bands.count() <= MOST_BANDS:  # one small row a language
-        bands = F.broadcast(bands)
-    out = scored.join(bands, "lang", "left")
+    own = scratch.save(bands(scored.filter(~F.col("base_failed")), below, above, least_width), "bands").withColumnRenamed("lang", "_lang")
+    if own.count() <= MOST_BANDS:  # one small row a language
+        own = F.broadcast(own)
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

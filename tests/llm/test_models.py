@@ -42,20 +42,114 @@ def test_counting_rules(docs):
     assert quality_rules.quality_rules(docs([(1, "a b", None), (1, "a b", None)])).count() == 2
 
 
-def test_kneser_ney_sums_to_one_and_matches_its_arrays():
-    rng = np.random.default_rng(2)
-    code, n = np.unique((rng.integers(0, 6, (4000, 4)) * np.array([1 << 18, 1 << 12, 1 << 6, 1])).sum(axis=1), return_counts=True)
-    m = quality_rules.kneser_ney(code, n)
-    p = np.exp(m.dense().astype(np.float64))
-    for c in rng.integers(0, 1 << 18, 50):
-        assert abs(p[c * 64 : c * 64 + 64].sum() - 1) < 1e-3
-    for g in [*code[:30], *rng.integers(0, 1 << 24, 30)]:
-        assert math.isclose(p[g], m.prob(int(g)), rel_tol=1e-3)
-
-
-def test_grams_stay_in_their_text():
-    a, _ = quality_rules.codes(np.array([0, 2, 2, 5]), np.frombuffer(b"abcde", np.uint8))
-    assert a.tolist() == [1, 64 + 2, 3, 3 * 64 + 4, (3 * 64 + 4) * 64 + 5]
+def brute_model(texts, evidence=quality_rules.EVIDENCE):
+    """P(word | word before) of the language model by dictionaries; None stands for the edge, "?" for unknown words."""
+    seqs = [[w.lower() for w in re.findall("[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    n = Counter(w for s in seqs for w in s)
+    vocab = {w for w in n if n[w] >= 2}
+    kinds = len(n) - len(vocab)
+    seqs = [[None, None, *(w if w in vocab else "?" for w in s), None] for s in seqs if s]
+    three = {tuple(s[i - 2 : i + 1]) for s in seqs for i in range(2, len(s))}
+    cont = Counter(w for v, w in {(v, w) for _, v, w in three})
+    size = len(vocab) + 2
+    d1 = quality_rules.discounts(*(sum(c == r for c in cont.values()) for r in (1, 2, 3, 4)))
+    total = sum(cont.values())
+    alone = {w: (cont[w] - d1[min(cont[w], 3)]) / total for w in [*vocab, "?", None]}
+    rest = 1 - sum(alone.values())
+    alone = {w: p + rest / size for w, p in alone.items()}
+    pairs = Counter((v, w) for _, v, w in three if v != "?")
+    d2 = quality_rules.discounts(*(sum(c == r for c in pairs.values()) for r in (1, 2, 3, 4)))
+    context = Counter()
+    for (v, _), c in pairs.items():
+        context[v] += c
+    own = {(v, w): (c - d2[min(c, 3)]) / context[v] for (v, w), c in pairs.items() if c >= evidence and w != "?"}
+    left = Counter()
+    for (v, _), p in own.items():
+        left[v] += p
+
+    def log_p(v, w):
+        w = w if w is None or w in vocab else "?"
+        v = v if v is None or v in vocab else "?"
+        return math.log((1 - left[v]) * alone[w] + own.get((v, w), 0)) - (math.log(max(1, kinds)) if w == "?" else 0)
+
+    return log_p, [*vocab, "?", None]
+
+
+def model_texts(seed, n=120):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(40)] + ["The", "the", "of", "é#", "a"]
+    return [" ".join(rng.choice(words[: rng.choice((6, 20, 45))]) + ("x%d" % rng.randrange(400) if rng.random() < 0.1 else "") for _ in range(rng.randrange(40))) for _ in range(n)] + ["", None, "one"]
+
+
+@pytest.mark.parametrize("held", [quality_rules.HELD, 64])
+def test_model_is_the_one_of_a_plain_count(docs, monkeypatch, held):
+    texts = model_texts(2)
+    monkeypatch.setattr(quality_rules, "HELD", held)
+    monkeypatch.setattr(quality_rules, "SHARD", 100)
+    m = quality_rules.train(docs(list(enumerate(texts))).repartition(5))
+    assert (np.diff(m.vocabulary.hashes.astype(object)) > 0).all() and (np.diff(m.pairs.astype(object)) > 0).all() and len(m.pairs)
+    log_p, _ = brute_model(texts)
+    for t in texts:
+        if not t:
+            continue
+        data = np.frombuffer(t.encode(), np.uint8)
+        word, before, _ = m.vocabulary.sequence(np.array([0, len(data)]), data)
+        w = t.lower().split()
+        assert np.allclose(m.log_probs(word, before), [log_p(a, b) for a, b in zip([None, *w], w)], atol=1e-9)
+    # the probabilities of all words behind any word sum up to one
+    n = m.vocabulary.size
+    for before in range(n):
+        p = np.exp(m.log_probs(np.arange(n), np.full(n, before)))
+        p[n - 2] *= max(1, m.vocabulary.unknown_kinds)
+        assert abs(p.sum() - 1) < 1e-9
+
+
+def test_blocks_of_keys():
+    rng = np.random.default_rng(1)
+    for top in (1, 2**8, 2**33, 2**64 - 1):
+        keys = np.unique(rng.integers(0, top, 500, dtype=np.uint64, endpoint=True))
+        step = np.diff(keys, prepend=np.uint64(0))
+        assert (np.cumsum(quality_rules.unpack(quality_rules.pack(step), len(keys)), dtype=np.uint64) == keys).all()
+    out = [b for x in (keys, keys[:9]) for b in quality_rules.Blocks(7, 4, 3, True).add(x)]
+    assert out == []
+
+
+def test_model_words():
+    words = lambda t: quality_rules.tokens(np.array([0, len(t.encode())]), np.frombuffer(t.encode(), np.uint8))
+    h, first = words("Ab 日本x ab 日\U00020000")
+    assert first.tolist() == [0, 7] and h[0] == h[4] and h[1] == h[5] and len(set(h.tolist())) == 5
+
+
+def test_copies_teach_a_pair_once(docs):
+    texts = model_texts(3)
+    m = quality_rules.train(docs(list(enumerate(texts))))
+    copied = quality_rules.train(docs(list(enumerate(texts + texts[:1] * 300))))
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    run = np.array([0, len(data)]), data
+    assert abs(m.log_probs(*m.vocabulary.sequence(*run)[:2]).mean() - copied.log_probs(*copied.vocabulary.sequence(*run)[:2]).mean()) < 0.3
+
+
+def test_bands_tell_languages_apart(docs):
+    """Null has a band apart from the language of that name, and unspaced scripts are read by character."""
+    rng = random.Random(4)
+    common = [chr(0x4E00 + k) for k in range(60)]
+    prose = lambda: " ".join("".join(rng.choice(common) for _ in range(6)) for _ in range(60))
+    noise = " ".join("".join(chr(rng.randrange(0x5000, 0x9000)) for _ in range(6)) for _ in range(60))
+    kana = " ".join("".join(chr(rng.randrange(0x3041, 0x3096)) for _ in range(6)) for _ in range(60))
+    rows = [(i, prose(), "zh") for i in range(80)] + [(900, noise, "zh"), (901, kana, "zh"), (902, noise, None), (903, prose(), "und"), (904, kana, "und")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs(rows)).collect()}
+    assert not got[900].kept and not got[901].kept and got[902].kept
+    assert sum(got[i].kept for i in range(80)) >= 78
+    assert got[902].low != got[903].low
+
+
+def test_the_band_decides(big):
+    """Most of the bad documents that pass the counting rules fall to the band, hardly any good one."""
+    documents, labels = big
+    rows = quality_rules.quality_rules(documents).join(labels, "doc_id").filter("not base_failed").collect()
+    share = {q: np.mean([not r.kept for r in rows if r.quality == q]) for q in (0, 1)}
+    assert share[0] > 0.4 and share[1] < 0.02, share
+    assert all(r.kept == (r.low <= r.log_perplexity <= r.high) for r in rows)
 
 
 def test_perplexity_rejects_the_odd_one_out(docs):
