@@ -54,7 +54,7 @@ SHARD, HELD = 1 << 21, 1 << 22
 #: Bands of at most so many languages are broadcast.
 MOST_BANDS = 10_000
 #: Steps of log perplexity that quartiles are exact to.
-STEP = 1e-4
+STEP = 1e-3
 
 #: What a counted row says.
 WORD, PAIR, CONTEXT, REPEATED = range(4)

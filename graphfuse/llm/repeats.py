@@ -92,14 +92,15 @@ def anchors(off: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 def anchor_batches(it: Iterator[pa.RecordBatch], size: int, full: bool) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, text) to one row an anchor: its name, and if ``full`` its surroundings and place."""
     for batch in it:
-        ids = batch.column(0)
-        for lo, hi, off, data in textbuf.runs(batch.column(1), RUN):
+        for lo, hi, off, data in textbuf.runs(batch.column(2), RUN):
             doc, pos, name, around = anchors(off, data, size)
             cols = [pa.array(name.view(np.int64))]
             if full:
-                cols += [pa.array(around.view(np.int64)), ids.slice(lo, hi - lo).take(pa.array(doc)), pa.array(pos)]
-            yield pa.RecordBatch.from_arrays(cols, names=["name", "around", "doc_id", "pos"][: len(cols)])
+                own = pa.array(doc)
+                cols += [pa.array(around.view(np.int64)), *(batch.column(k).slice(lo, hi - lo).take(own) for k in (0, 1)), pa.array(pos)]
+            yield pa.RecordBatch.from_arrays(cols, names=["name", "around", "k1", "k2", "pos"][: len(cols)])
 
 
 def cell_starts(n: int, pos: np.ndarray, size: int) -> np.ndarray:
@@ -113,11 +114,15 @@ def cell_starts(n: int, pos: np.ndarray, size: int) -> np.ndarray:
     return np.unique(first[(first > -CELL) & (first + size <= n)])
 
 
+def _same(batch: pa.RecordBatch, i: int, n: int) -> list[pa.Array]:
+    return [pa.repeat(batch.column(k)[i], n) for k in (0, 1)]
+
+
 def cell_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, pos list) to (doc_id, cell, name): cells by the bytes that its windows share."""
+    """(k1, k2, text, pos list) to (k1, k2, cell, name): cells by the bytes that its windows share."""
     for batch in it:
-        off, data = textbuf.utf8(batch.column(1))
-        where = batch.column(2)
+        off, data = textbuf.utf8(batch.column(2))
+        where = batch.column(3)
         for i in range(batch.num_rows):
             text = data[off[i] : off[i + 1]]
             cell = cell_starts(len(text), where[i].values.to_numpy(), size)
@@ -127,16 +132,16 @@ def cell_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             hi = np.minimum(cell + size, len(text))
             name = textbuf.span_hash(textbuf.prefix(text, sure=False), lo, hi)
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(batch.column(0)[i], len(cell)), pa.array(cell), pa.array(name.view(np.int64))], names=["doc_id", "cell", "name"]
+                [*_same(batch, i, len(cell)), pa.array(cell), pa.array(name.view(np.int64))], names=["k1", "k2", "cell", "name"]
             )
 
 
 def window_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, cell list) to (doc_id, start, n1, n2) for the windows of those cells."""
+    """(k1, k2, text, cell list) to (k1, k2, start, n1, n2) for the windows of those cells."""
     half = size // 2
     for batch in it:
-        off, data = textbuf.utf8(batch.column(1))
-        where = batch.column(2)
+        off, data = textbuf.utf8(batch.column(2))
+        where = batch.column(3)
         for i in range(batch.num_rows):
             text = data[off[i] : off[i + 1]]
             start = np.unique(where[i].values.to_numpy()[:, None] + np.arange(CELL)[None])
@@ -146,8 +151,8 @@ def window_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             for k in range(0, len(start), 1 << 16):
                 part = slice(k, k + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch.column(0)[i], len(start[part])), pa.array(start[part]), pa.array(n1[part].view(np.int64)), pa.array(n2[part].view(np.int64))],
-                    names=["doc_id", "start", "n1", "n2"],
+                    [*_same(batch, i, len(start[part])), pa.array(start[part]), pa.array(n1[part].view(np.int64)), pa.array(n2[part].view(np.int64))],
+                    names=["k1", "k2", "start", "n1", "n2"],
                 )
 
 
@@ -191,63 +196,80 @@ def strip_batches(it: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """The rows with a key (k1, k2) that rows share only if they are of one id and one text.
+
+    Where every id is known and has one text the id itself does, with a constant
+    beside it that costs nothing to shuffle; else both parts are 64-bit hashes, of the
+    id and of the text.
+    """
+    text = F.xxhash64("text")
+    by_id = docs.select("doc_id", text.alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z"))
+    if by_id.filter("doc_id is null or a <> z").isEmpty():
+        return docs.withColumns({"k1": F.col("doc_id"), "k2": F.lit(0).cast("long")})
+    return docs.withColumns({"k1": F.xxhash64("doc_id"), "k2": text})
+
+
 def remove_repeats(docs: DataFrame, size: int = 200, with_text: bool = False) -> DataFrame:
     """Remove every byte covered by a ``size``-byte string that also starts elsewhere.
 
     docs: doc_id and text; null text is empty.  Strings never cross documents
     and are judged on the input.  Returns doc_id, n_bytes, n_removed, n_spans,
     kept_sha256; with_text adds kept_text (null stays null), removed (runs of
-    byte offsets) and own, a struct of all columns of docs but text.  A repeated
-    row counts as a second text.  Texts shorter than ``size`` stay as they are.
+    byte offsets) and own, a struct of all columns of docs but text.  One row a row
+    of docs, whose ids may be null or stand before several texts; a repeated row
+    counts as a second text.  Texts shorter than ``size`` stay as they are.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "repeats")
     half = size // 2
-    base = docs.select(F.col("doc_id"), F.col("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own")] if with_text else []
+    rows = with_keys(docs.select("doc_id", "text", *own))
+    key = ["k1", "k2"]
+    base = rows.select(*key, "text")
+    of_key = f"k1 {base.schema['k1'].dataType.simpleString()}, k2 long"
     names = base.mapInArrow(lambda it: anchor_batches(it, size, False), "name long")
     twice = scratch.save(names.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
-    rows = base.mapInArrow(lambda it: anchor_batches(it, size, True), f"name long, around long, doc_id {kind}, pos long")
-    left = scratch.save(rows.join(twice, "name", "left_semi"), "anchors")
+    found = base.mapInArrow(lambda it: anchor_batches(it, size, True), f"name long, around long, {of_key}, pos long")
+    left = scratch.save(found.join(twice, "name", "left_semi"), "anchors")
 
     pairs = scratch.save(
-        left.groupBy("name", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("one")), "pairs"
+        left.groupBy("name", "around").agg(F.count("*").alias("n"), F.min(F.struct(*key, "pos")).alias("one")), "pairs"
     )
     whole = left.join(pairs.filter("n > 1").select("name", "around"), ["name", "around"], "left_semi").select(
-        "doc_id", F.greatest(F.col("pos") - (size - half), F.lit(0)).alias("lo"), (F.col("pos") + size).alias("hi")
+        *key, F.greatest(F.col("pos") - (size - half), F.lit(0)).alias("lo"), (F.col("pos") + size).alias("hi")
     )
     # grouped tables are written before they are joined, so that Spark can split a hot name's rows
     loose = pairs.groupBy("name").agg(F.min("n").alias("least"), F.count("*").alias("pairs")).filter("least = 1 and pairs > 1")
     loose = scratch.save(loose.select("name"), "loose")
-    seeds = pairs.join(loose, "name", "left_semi").groupBy("one.doc_id").agg(F.collect_list("one.pos").alias("at"))
-    texts = base.join(seeds, "doc_id").select("doc_id", "text", "at")
-    cells = scratch.save(texts.mapInArrow(lambda it: cell_batches(it, size), f"doc_id {kind}, cell long, name long"), "cells")
+    seeds = pairs.join(loose, "name", "left_semi").groupBy("one.k1", "one.k2").agg(F.collect_list("one.pos").alias("at"))
+    texts = base.join(seeds, key).select(*key, "text", "at")
+    cells = scratch.save(texts.mapInArrow(lambda it: cell_batches(it, size), f"{of_key}, cell long, name long"), "cells")
     again = scratch.save(cells.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "live")
-    live = cells.join(again, "name", "left_semi").groupBy("doc_id").agg(F.collect_list("cell").alias("at"))
-    texts = base.join(live, "doc_id").select("doc_id", "text", "at")
-    windows = scratch.save(texts.mapInArrow(lambda it: window_batches(it, size), f"doc_id {kind}, start long, n1 long, n2 long"), "windows")
+    live = cells.join(again, "name", "left_semi").groupBy(*key).agg(F.collect_list("cell").alias("at"))
+    texts = base.join(live, key).select(*key, "text", "at")
+    windows = scratch.save(texts.mapInArrow(lambda it: window_batches(it, size), f"{of_key}, start long, n1 long, n2 long"), "windows")
     scratch.drop("cells")
     again = scratch.save(windows.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1").select("n1", "n2"), "again")
-    part = windows.join(again, ["n1", "n2"], "left_semi").select("doc_id", F.col("start").alias("lo"), (F.col("start") + size).alias("hi"))
+    part = windows.join(again, ["n1", "n2"], "left_semi").select(*key, F.col("start").alias("lo"), (F.col("start") + size).alias("hi"))
 
-    def extents(rows: DataFrame) -> DataFrame:
+    def extents(spans: DataFrame) -> DataFrame:
         # strings that begin in one cell of ``size`` bytes overlap, so a cell needs only its extent
-        cell = rows.groupBy("doc_id", F.floor(F.col("lo") / size).alias("cell"))
-        return cell.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("doc_id", "lo", "hi")
+        cell = spans.groupBy(*key, F.floor(F.col("lo") / size).alias("cell"))
+        return cell.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*key, "lo", "hi")
 
     part = scratch.save(extents(part), "part")
     scratch.drop("windows", "again")
     whole = scratch.save(extents(whole), "whole")
     scratch.drop("anchors", "names", "pairs")
     spans = whole.unionByName(part)
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("s"))
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own")] if with_text else []
-    full = docs.select("doc_id", "text", *own).join(by_doc, "doc_id", "left")
+    by_doc = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("s"))
+    full = rows.join(by_doc, key, "left")
     lows = F.transform("s", lambda x: x["lo"])
     highs = F.transform("s", lambda x: F.least(x["hi"], F.octet_length("text").cast("long")))
     full = full.select("doc_id", "text", lows.alias("lows"), highs.alias("highs"), *(["own"] if with_text else []))
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"doc_id {full.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         schema += f", kept_text string, removed array<struct<start: bigint, stop: bigint>>, own {full.schema['own'].dataType.simpleString()}"
     return full.mapInArrow(lambda it: strip_batches(it, with_text), schema)

@@ -77,3 +77,24 @@ def test_anchors_are_chosen_by_content():
     doc, pos, name, _ = repeats.anchors(np.array([0, 5000]), x, 200)
     gaps = np.diff(pos)
     assert gaps.max() <= 101 and len(pos) < 5000 / 25  # every window holds one, and few are needed
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_ids_that_repeat_or_are_null(docs, spark, seed):
+    """Spans belong to a row, whatever its id."""
+    rng = random.Random(seed)
+    rows = corpus(seed)
+    mixed = [(rng.choice([None, 1, 2, i]), t) for i, t in rows] + [(1, "short"), (1, None), (None, None), (2, "")]
+    mixed += [mixed[0], mixed[0]]
+    assert got(docs(mixed, extra=True), 200) == brute(mixed, 200)
+    named = spark.createDataFrame([(None if i is None else f"id {i}", t) for i, t in mixed], "doc_id string, text string")
+    assert [r[1:] for r in got(named, 200)] == [r[1:] for r in sorted(((None if i is None else f"id {i}", *x) for i, *x in brute(mixed, 200)), key=str)]
+
+
+def test_the_pipeline_stage_keeps_rows_of_one_id_apart(docs, spark, sf_dir):
+    import corpus_pipeline as P
+
+    s = "".join(chr(33 + (i * 7 + i * i) % 90) for i in range(260))
+    rows = [(1, "one " + s), (1, "two"), (None, s + " three"), (None, None)]
+    out = P.repeated_strings(spark, docs(rows, extra=True), sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in out) == [("1", "one "), ("1", "two"), ("None", ""), ("None", " three")]
