@@ -18,9 +18,10 @@ Shape of the job, none of it quadratic in a group of copies:
 5. Classes of large bands that still hold several components are joined
    exactly: shingles are ordered from rare to common, and two sets can only
    reach the threshold if they share one of the first shingles of both (prefix
-   and position filters, Chaudhuri et al. 2006, Xiao et al. 2008).  A passage
-   that very many texts share stands last in that order and pairs nobody.
-   Members of a shingle's leading component aren't paired with each other.
+   and position filters, Chaudhuri et al. 2006, Xiao et al. 2008).  Pairs are
+   ordered by size, for which the smaller set needs a shorter prefix.  A passage
+   or template that very many texts share stands last in that order and pairs
+   nobody.  Members of a shingle's leading component aren't paired with each other.
 
 Recall of the bands at a similarity of exactly 0.75: at least
 1 - (1 - 0.75**4)**32 = 0.999995.  Estimates are cut at 0.5, six standard
@@ -126,11 +127,13 @@ def spread_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_batches(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, [(df, t)]) to (t, doc_id, n, pos) for the prefix of each set.
+    """(doc_id, n, [(df, t)]) to (t, doc_id, n, pos, short) for the prefix of each set.
 
     Shingles that no other set holds come first and are not listed.  Of two
-    sets x, y that reach the threshold, the first common shingle stands in y's
-    first n - ceil(n * percent / 100) + 1.
+    sets x, y that reach the threshold, |x| <= |y|, the common part has at least
+    2p / (1 + p) of x and p of y (p the threshold), so the first common shingle
+    stands in the first |y| - ceil(p |y|) + 1 of y and is ``short`` in x: among
+    its first |x| - ceil(2p / (1 + p) |x|) + 1.
     """
     for batch in it:
         n = batch.column(1).to_numpy()
@@ -139,12 +142,14 @@ def prefix_batches(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             df, t = v.field("df").to_numpy(), v.field("t").to_numpy()
             order = np.lexsort((t, df))
             m = int(n[i])
-            take = max(0, m - -(-m * percent // 100) + 1 - (m - len(t)))
+            alone = m - len(t)
+            take = max(0, m - -(-m * percent // 100) + 1 - alone)
+            short = m - -(-2 * percent * m // (100 + percent)) + 1 - alone
             t = t[order[:take]]
             if len(t):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t), pa.repeat(batch.column(0)[i], len(t)), pa.array(np.full(len(t), m)), pa.array(m - len(order) + np.arange(len(t)))],
-                    names=["t", "doc_id", "n", "pos"],
+                    [pa.array(t), pa.repeat(batch.column(0)[i], len(t)), pa.array(np.full(len(t), m)), pa.array(alone + np.arange(len(t))), pa.array(np.arange(len(t)) < short)],
+                    names=["t", "doc_id", "n", "pos", "short"],
                 )
 
 
@@ -179,15 +184,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
 
     Null and empty texts have no shingles and are linked with nothing; texts of
     fewer words than a shingle are one shingle.  A repeated row is returned as
-    often as it stands.  Columns other than the two named are ignored.
+    often as it stands.  Ids are of any type that has an order; rows of one id are
+    one document, linked where one of them is, and a row without an id is linked
+    to the smallest id that is known among its equals.  Columns other than the two
+    named are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near-dup")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     sig = scratch.save(
-        docs.mapInArrow(lambda it: sketch_batches(it, words), "doc_id long, n_shingles long, d1 long, d2 long, regs binary"), "sig"
+        docs.mapInArrow(lambda it: sketch_batches(it, words), f"doc_id {kind}, n_shingles long, d1 long, d2 long, regs binary"), "sig"
     )
     classes = scratch.save(
         sig.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs")), "classes"
@@ -202,10 +211,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
         .select("rep", F.xxhash64("x.i", "x.r").alias("band"))
     )
     coarse = scratch.save(_shared(bands, scratch), "coarse")
-    rounds = _Rounds(scratch, regs, percent)
+    rounds = _Rounds(scratch, regs, percent, kind)
 
     texts = docs.join(coarse.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
-    rounds.sets = scratch.save(texts.mapInArrow(lambda it: set_batches(it, words), "doc_id long, hashes binary"), "sets")
+    rounds.sets = scratch.save(texts.mapInArrow(lambda it: set_batches(it, words), f"doc_id {kind}, hashes binary"), "sets")
     rounds.add(_star(coarse))
     small, large = coarse.filter(F.col("m") <= SMALL), coarse.filter(F.col("m") > SMALL)
     rounds.add(rounds.across(small).unionByName(rounds.across_star(large)))
@@ -234,8 +243,8 @@ def _star(held: DataFrame) -> DataFrame:
 class _Rounds:
     """Pairs are tested in rounds; each leaves the components known so far."""
 
-    def __init__(self, scratch: Scratch, regs: DataFrame, percent: int):
-        self.scratch, self.regs, self.percent = scratch, regs, percent
+    def __init__(self, scratch: Scratch, regs: DataFrame, percent: int, kind: str):
+        self.scratch, self.regs, self.percent, self.kind = scratch, regs, percent, kind
         self.sets: DataFrame
         self.edges: DataFrame | None = None
         self.tested: DataFrame | None = None
@@ -254,7 +263,7 @@ class _Rounds:
             .select("a", "b", "na", "nb", "ra", "rb")
         )
         least = self.percent / 100 - MARGIN
-        likely = self.scratch.save(pairs.mapInArrow(lambda it: estimate_batches(it, least), "a long, b long"), f"likely-{self.n}")
+        likely = self.scratch.save(pairs.mapInArrow(lambda it: estimate_batches(it, least), f"a {self.kind}, b {self.kind}"), f"likely-{self.n}")
         self.tested = likely if self.tested is None else self.tested.unionByName(likely)
         s, percent = self.sets, self.percent
         full = (
@@ -262,7 +271,7 @@ class _Rounds:
             .join(s.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
             .select("a", "b", "ha", "hb")
         )
-        new = self.scratch.save(full.mapInArrow(lambda it: verify_batches(it, percent), "a long, b long"), f"links-{self.n}")
+        new = self.scratch.save(full.mapInArrow(lambda it: verify_batches(it, percent), f"a {self.kind}, b {self.kind}"), f"links-{self.n}")
         self.edges = new if self.edges is None else self.edges.unionByName(new)
         self.labels = self.scratch.save(components(self.edges, self.scratch, f"cc-{self.n}"), f"labels-{self.n}")
 
@@ -290,19 +299,31 @@ class _Rounds:
         """Every pair of different components among the classes of mixed bands that can reach the threshold."""
         percent, t = self.percent, self.percent / 100
         who = self.scratch.save(self._placed(held).select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
-        rows = self.scratch.save(self.sets.join(who.select("doc_id"), "doc_id", "left_semi").mapInArrow(spread_batches, "doc_id long, n long, t long"), "spread")
+        rows = self.scratch.save(self.sets.join(who.select("doc_id"), "doc_id", "left_semi").mapInArrow(spread_batches, f"doc_id {self.kind}, n long, t long"), "spread")
         common = self.scratch.save(rows.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"), "common")
         by_set = rows.join(common, "t").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "t")).alias("shared"))
-        post = by_set.mapInArrow(lambda it: prefix_batches(it, percent), "t long, doc_id long, n long, pos long").join(who, "doc_id")
+        post = by_set.mapInArrow(lambda it: prefix_batches(it, percent), f"t long, doc_id {self.kind}, n long, pos long, short boolean").join(who, "doc_id")
         post = self.scratch.save(post, "prefixes")
         sizes = post.groupBy("t", "component").agg(F.count("*").alias("k"))
         lead = sizes.groupBy("t").agg(F.max_by("component", F.struct("k", "component")).alias("lead"), F.count("*").alias("kinds")).filter("kinds > 1").select("t", "lead")
         lead = self.scratch.save(lead, "leads")
-        mixed = post.join(lead, "t")
-        a = mixed.filter("component <> lead").select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-        b = mixed.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+        mixed = post.join(lead, "t").withColumn("led", F.col("component") == F.col("lead"))
         # so many shingles must be common, and no more can be than stand from here on
         need = t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
         can = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        near = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (can >= need) & (F.col("ca") != F.col("cb"))
-        return a.join(b, "t").filter(near).select("a", "b")
+        near = (F.col("na") >= t * F.col("nb") - 1e-9) & (can >= need) & (F.col("ca") != F.col("cb"))
+        return by_prefix(mixed).filter(near).select("a", "b")
+
+
+def by_prefix(post: DataFrame) -> DataFrame:
+    """Pairs (a, na, pa, ca, b, nb, pb, cb) of sets that share a shingle of the smaller one's short prefix.
+
+    post: (t, doc_id, n, pos, component, short, led).  Sets of a shingle's leading
+    component (``led``) meet the others only.  Of equal sizes the one of the smaller
+    id counts as smaller.
+    """
+    side = lambda x: ["t", "led", *(F.col(c).alias(k + x) for c, k in (("doc_id", ""), ("n", "n"), ("pos", "p"), ("component", "c")))]
+    small, large = post.filter("short").select(*side("a")), post.select(*side("b"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = lambda x, y: x.drop("led").join(y.drop("led"), "t").filter(ordered)
+    return met(small.filter("not led"), large).unionByName(met(small.filter("led"), large.filter("not led")))

@@ -75,6 +75,31 @@ def test_one_large_group_of_near_copies(docs):
     check(docs(rows), rows)
 
 
+def test_templates_pair_nobody(docs, monkeypatch):
+    """Pages of one template, alike to 0.67, make no quadratic number of rows."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(104)]
+    joined = []
+
+    def counting(post, plain=near_dup.by_prefix):
+        out = plain(post)
+        joined.append((post.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dup, "by_prefix", counting)
+    rows = [(i, " ".join(template + [f"o{rng.randrange(10**6)}" for _ in range(25)])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*template, *(f"p{k}" for k in range(20)), *(f"q{rng.randrange(10**6)}" for _ in range(3))])) for i in range(40)]
+    check(docs(rows), rows)
+    assert joined and all(pairs <= 4 * len(rows) for _, pairs in joined), joined
+
+
+def test_other_ids(spark):
+    rows = corpus(5, 40)
+    named = [(f"id{i:04}", t) for i, t in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(named, "doc_id string, text string")).collect()}
+    assert got == brute(named)
+
+
 def test_edges(docs):
     five = "a b c d e"
     rows = [(5, None), (4, ""), (3, " \n\t"), (9, "one two"), (2, "ONE  two"), (8, five), (7, "A B c D e"), (6, "a b c d e f g h"), (11, "é É"), (12, "é é"), (13, "z " * 30000)]
