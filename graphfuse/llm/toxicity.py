@@ -1,18 +1,26 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult (of a learnt weight), threat, target, negation,
-report, other.  Four small transducers read the symbols of a clause, and their
-composition is the grammar that scores it:
-
-* insult and threat pass their weights on;
-* target raises the weight of what follows or precedes it in the clause;
-* negation lowers the weight of the next few words;
-* reported speech lowers the weight of the rest of the clause.
+Words become symbols: insult (of a learnt weight), threat, intent, target,
+negation, report, other.  Small deterministic transducers read the symbols of a
+clause and give each a factor:
+
+* insult passes insults on;
+* threat passes threats on, in full only a few words behind an intent ("will kill");
+* target raises what follows a target in the clause;
+* negation lowers the next few words;
+* report lowers the rest of the clause;
+* object, which reads from the clause's end, raises what a target follows, most
+  within a few words ("kill you").
+
+Insult and threat are united (their factors add); the result is composed with
+the others (factors multiply), and with the one from the right to a bimachine,
+which is the grammar.  A clause's score is the sum of its weights times factors.
 
 A clause ends at a sentence or clause mark or a line break.  A document's
 features are the sum and the largest of its clause scores and the number of
 matched clauses, logistically calibrated.  The insult patterns (word beginnings
-with weights) are learnt from labelled rows; the other lists are fixed.
+with weights) are learnt from labelled rows; the calibration sees each of them
+under patterns learnt from the other half.  The other lists are fixed.
 """
 
 from __future__ import annotations
@@ -38,69 +46,137 @@ SAMPLE = 4_000
 SHORTEST, LONGEST = 3, 10
 #: A pattern needs this much evidence (G statistic) and this odds ratio.
 EVIDENCE, ODDS = 20.0, 20.0
-MOST_PATTERNS = 2_000
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(7)
+SYMBOLS = 7
 
 #: Words of each symbol, in English, French, German and Spanish.
 WORDS = {
     THREAT: "kill killing murder destroy hurt strangle stab shoot tuer tuerai frapper töten umbringen schlagen matar mataré matarte golpear",
+    INTENT: "will i'll we'll shall gonna going must vais va allons werde werden wird voy vamos vas",
     TARGET: "you your you're yourself u ur y'all toi vous votre ton ta dich dir euch dein deine usted ustedes tú tu vosotros",
-    NEGATION: "not no never isn't aren't wasn't don't doesn't nobody jamais nicht kein keine niemals nie nunca jamás ningún",
+    NEGATION: "not no never isn't aren't wasn't don't doesn't won't nobody jamais nicht kein keine niemals nie nunca jamás ningún",
     REPORT: "said says quoted quote wrote reported alleged claimed called dit disait déclare sagte sagt schrieb behauptete dijo dice escribió",
 }
 
 
 @dataclass
 class Transducer:
-    """A deterministic weighted transducer: step[state][symbol] = (next state, factor)."""
+    """A deterministic weighted transducer from state 0: to[state, symbol] and factor[state, symbol]."""
+
+    to: np.ndarray
+    factor: np.ndarray
 
-    step: list[list[tuple[int, float]]]
+    def _product(self, other: "Transducer", op) -> "Transducer":
+        n, m = len(self.to), len(other.to)
+        to = self.to[:, None] * m + other.to[None]
+        return Transducer(to.reshape(n * m, SYMBOLS), op(self.factor[:, None], other.factor[None]).reshape(n * m, SYMBOLS))
 
     def __matmul__(self, other: "Transducer") -> "Transducer":
         """Composition over the same symbols: both move, the factors multiply."""
-        n = len(other.step)
-        return Transducer(
-            [
-                [(p * n + q, f * g) for (p, f), (q, g) in zip(a, b, strict=True)]
-                for a in self.step
-                for b in other.step
-            ]
-        )
+        return self._product(other, np.multiply)
+
+    def __or__(self, other: "Transducer") -> "Transducer":
+        """Union: both move, the factors add."""
+        return self._product(other, np.add)
+
+    def others(self, most: int) -> np.ndarray:
+        """State after 0 to ``most`` other words from each state."""
+        out = [np.arange(len(self.to))]
+        for _ in range(most):
+            out.append(self.to[out[-1], OTHER])
+        return np.array(out)
+
+
+def machine(states: int, rule) -> Transducer:
+    """A transducer whose rule gives (next state, factor) of each state and symbol."""
+    cells = [[rule(q, s) for s in range(SYMBOLS)] for q in range(states)]
+    return Transducer(np.array([[c[0] for c in row] for row in cells]), np.array([[c[1] for c in row] for row in cells], float))
+
+
+#: So many words an intent, a negation and an object reach at most.
+REACH = 3
+_STRONG = (INSULT, THREAT)
+
+
+def _insult() -> Transducer:
+    return machine(1, lambda q, s: (0, float(s == INSULT)))
+
 
+def _threat(bare: float = 0.4) -> Transducer:
+    return machine(REACH + 1, lambda q, s: (REACH if s == INTENT else max(0, q - 1), (1.0 if q else bare) if s == THREAT else 0.0))
 
-def _targets(gain: float = 1.5) -> Transducer:
-    seen = [[(1 if s == TARGET or state else 0, gain if state and s in (INSULT, THREAT) else 1.0) for s in range(6)] for state in (0, 1)]
-    return Transducer(seen)
 
+def _target(gain: float = 1.5) -> Transducer:
+    return machine(2, lambda q, s: (int(q or s == TARGET), gain if q and s in _STRONG else 1.0))
 
-def _negation(reach: int = 3, loss: float = 0.3) -> Transducer:
-    rows = []
-    for left in range(reach + 1):
-        rows.append([(reach if s == NEGATION else max(0, left - 1), loss if left and s in (INSULT, THREAT) else 1.0) for s in range(6)])
-    return Transducer(rows)
+
+def _negation(loss: float = 0.3) -> Transducer:
+    return machine(REACH + 1, lambda q, s: (REACH if s == NEGATION else max(0, q - 1), loss if q and s in _STRONG else 1.0))
 
 
 def _report(loss: float = 0.5) -> Transducer:
-    return Transducer([[(1 if s == REPORT or state else 0, loss if state and s in (INSULT, THREAT) else 1.0) for s in range(6)] for state in (0, 1)])
+    return machine(2, lambda q, s: (int(q or s == REPORT), loss if q and s in _STRONG else 1.0))
+
+
+def _object(near: float = 1.5, far: float = 1.25) -> Transducer:
+    """From the right.  State 0: no target yet; 1: one stands further on; above: within REACH words."""
+    gain = lambda q: near if q > 1 else far if q else 1.0
+    return machine(REACH + 2, lambda q, s: (REACH + 1 if s == TARGET else max(1, q - 1) if q else 0, gain(q) if s in _STRONG else 1.0))
+
+
+#: The grammar: what reads from the left, and what reads from the right.
+LEFT = (_insult() | _threat()) @ _target() @ _negation() @ _report()
+RIGHT = _object()
 
 
-def _matches() -> Transducer:
-    return Transducer([[(0, 1.0 if s in (INSULT, THREAT) else 0.0) for s in range(6)]])
+def _factors(m: Transducer, first: np.ndarray, size: np.ndarray, gap: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Factors of the symbols of all clauses, which are read side by side.
+
+    first, size: where each clause's symbols begin and how many it has; gap: other
+    words before each symbol since the one read before it.
+    """
+    out = np.empty(len(symbol))
+    others = m.others(int(gap.max(initial=0)))
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    state = np.zeros(len(first), np.int64)
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # clauses of more than k symbols
+    for k, n in enumerate(live):
+        at = first[:n] + k
+        q = others[gap[at], state[:n]]
+        out[at] = m.factor[q, symbol[at]]
+        state[:n] = m.to[q, symbol[at]]
+    return out
 
 
-GRAMMAR = _matches() @ _targets() @ _negation() @ _report()
+def clause_scores(clause: np.ndarray, place: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Clauses and their scores under the grammar, from their words other than OTHER in order.
+
+    Time is linear in the words; a longer run of other words acts like one of
+    REACH + 2, after which no machine remembers how many there were.
+    """
+    ids, first, size = np.unique(clause, return_index=True, return_counts=True)
+    fresh = np.ones(len(clause), bool)
+    fresh[1:] = clause[1:] != clause[:-1]
+    gap = np.zeros(len(clause), np.int64)
+    gap[1:] = np.diff(place) - 1
+    gap = np.minimum(gap, REACH + 2)
+    gap[fresh] = 0
+    value = weight * _factors(LEFT, first, size, gap, symbol)
+    back = np.zeros(len(clause), np.int64)
+    back[1:] = gap[1:][::-1]
+    back_last = len(clause) - (first + size)  # a clause's last symbol comes first
+    back[back_last] = 0
+    value *= _factors(RIGHT, back_last, size, back, symbol[::-1])[::-1]
+    return ids, np.add.reduceat(value, first) if len(first) else value
 
 
 def clause_score(symbols: list[int], weights: list[float]) -> float:
-    """Weight of one clause under the grammar; a target after the insult counts as well."""
-    total = 0.0
-    state, late = 0, False
-    for i, (s, w) in enumerate(zip(symbols, weights, strict=True)):
-        state, f = GRAMMAR.step[state][s]
-        total += f * w
-        late = late or (s == TARGET and i > 0 and any(x in (INSULT, THREAT) for x in symbols[:i]))
-    return total * (1.25 if late else 1.0)
+    """Score of one clause."""
+    s, w = np.array(symbols, np.int64), np.array(weights, float)
+    at = np.flatnonzero(s != OTHER)
+    return float(clause_scores(np.zeros(len(at), np.int64), at, s[at], w[at])[1].sum())
 
 
 #: Whether a code point is a letter of _WORD; there are none beyond.
@@ -155,6 +231,7 @@ class Lexicon:
     """Pattern weights by byte length, and hashes of the fixed words."""
 
     patterns: dict[str, float]
+    words_of: dict[int, str] = field(default_factory=lambda: WORDS)
     by_length: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)
     fixed: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -165,13 +242,14 @@ class Lexicon:
             h = _hash(own)
             order = np.argsort(h)
             self.by_length.append((n, h[order], np.array([self.patterns[p] for p in own])[order]))
-        words = [(w, s) for s, text in WORDS.items() for w in text.split()]
+        words = [(w, s) for s, text in self.words_of.items() for w in text.split()]
         h = _hash([w for w, _ in words])
         order = np.argsort(h)
         self.fixed = h[order], np.array([s for _, s in words])[order]
 
-    def clauses(self, off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(document, score) of every clause of a run that holds an insult or a threat."""
+    def clauses(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of all clauses of a run that hold an insult or a threat."""
+        none = np.zeros(0, np.int64), np.zeros(0)
         letter = letters(data)
         runs = spans(letter, off)
         # runs that an apostrophe joins are one word; each of them can be an insult
@@ -180,7 +258,7 @@ class Lexicon:
         ink[joint[~np.isin(joint, off) & ~np.isin(joint + 1, off)]] = True
         s, e = spans(ink, off)
         if not len(s):
-            return
+            return none
         first = np.searchsorted(s, off)
         c = textbuf.prefix(textbuf.lower_latin(data), textbuf.BYTE_LOWER)
         symbol, weight = np.zeros(len(s), np.int8), np.zeros(len(s))
@@ -200,9 +278,9 @@ class Lexicon:
             hit = hashes[at] == h
             symbol[word[long[hit]]] = INSULT
             np.maximum.at(weight, word[long[hit]], values[at[hit]])
-        strong = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
-        if not len(strong):
-            return
+        strong = (symbol == INSULT) | (symbol == THREAT)
+        if not strong.any():
+            return none
         # a clause ends after a word that a clause mark follows, and with its document
         stops = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_STOP[data], out=stops[1:])
@@ -211,24 +289,20 @@ class Lexicon:
         ends[first[1:][first[1:] > 0] - 1] = True
         clause = np.zeros(len(s), np.int64)
         clause[1:] = np.cumsum(ends[:-1])
-        owner = np.searchsorted(first, strong, "right") - 1
-        begin = np.searchsorted(clause, clause[strong], "left")
-        stop = np.searchsorted(clause, clause[strong], "right")
-        last = -1
-        for i in range(len(strong)):
-            if begin[i] != last:
-                last = begin[i]
-                part = slice(begin[i], stop[i])
-                yield int(owner[i]), clause_score(symbol[part].tolist(), weight[part].tolist())
+        matched = np.zeros(clause[-1] + 1, bool)
+        matched[clause[strong]] = True
+        at = np.flatnonzero(matched[clause] & (symbol != OTHER))
+        ids, score = clause_scores(clause[at], at, symbol[at].astype(np.int64), weight[at])
+        return np.searchsorted(first, np.searchsorted(clause, ids), "right") - 1, score
 
 
 def document_features(lexicon: Lexicon, off: np.ndarray, data: np.ndarray) -> np.ndarray:
     """(bias, log sum, largest, log matched clauses) of each document of a run."""
-    total = np.zeros((len(off) - 1, 3))
-    for doc, score in lexicon.clauses(off, data):
-        total[doc] += (score, 0, 1)
-        total[doc, 1] = max(total[doc, 1], score)
-    return np.stack([np.ones(len(total)), np.log1p(total[:, 0]), total[:, 1], np.log1p(total[:, 2])], axis=1)
+    n = len(off) - 1
+    doc, score = lexicon.clauses(off, data)
+    top = np.zeros(n)
+    np.maximum.at(top, doc, score)
+    return np.stack([np.ones(n), np.log1p(np.bincount(doc, score, minlength=n)), top, np.log1p(np.bincount(doc, minlength=n))], axis=1)
 
 
 _WORD = re.compile(r"[^\W\d_][^\W\d_'’]*")  # what ``letters`` marks: training and scoring cut alike
@@ -243,43 +317,55 @@ def _beginnings(text: str | None) -> set[str]:
 
 
 def _pattern_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (pattern, bad, good): documents of each label that hold it."""
-    bad, good = Counter(), Counter()
+    """(label, text, half) to (pattern, half, bad, good): documents of each label that hold it."""
+    seen: Counter = Counter()
     for batch in it:
-        for label, text in zip(batch.column(0).to_pylist(), prepared(batch.column(1)).to_pylist(), strict=True):
-            own = bad if label == 1 else good
-            own.update(_beginnings(text))
-            own[""] += 1
-        if len(bad) + len(good) > 1 << 20:
-            yield _counted(bad, good)
-            bad, good = Counter(), Counter()
-    yield _counted(bad, good)
+        for label, text, half in zip(batch.column(0).to_pylist(), prepared(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            seen.update((half, label, p) for p in _beginnings(text))
+            seen[half, label, ""] += 1
+        if len(seen) > 1 << 20:
+            yield _counted(seen)
+            seen.clear()
+    yield _counted(seen)
 
 
-def _counted(bad: Counter, good: Counter) -> pa.RecordBatch:
-    keys = list({**bad, **good})
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([good[k] for k in keys], pa.int64())], names=["pattern", "bad", "good"])
+def _counted(seen: Counter) -> pa.RecordBatch:
+    keys = list({(half, p) for half, _, p in seen})
+    bad, good = ([seen.get((half, label, p), 0) for half, p in keys] for label in (1, 0))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p for _, p in keys], pa.string()), pa.array([half for half, _ in keys], pa.int32()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())],
+        names=["pattern", "half", "bad", "good"],
+    )
 
 
-def learn_patterns(rows: DataFrame) -> dict[str, float]:
-    """Word beginnings that mark documents of label 1, with log odds weights.
+def learn_patterns(rows: DataFrame) -> list[dict[str, float]]:
+    """Word beginnings that mark documents of label 1, with log odds weights: of all rows, and of either half.
 
-    rows: (label, text), bounded.  A longer pattern is dropped where a shorter
-    beginning of it is as sure.
+    rows: (label, text, half), bounded; half is 0 or 1.  A longer pattern is
+    dropped where a shorter beginning of it is as sure.
     """
-    counted = rows.select("label", "text").mapInArrow(_pattern_batches, "pattern string, bad long, good long").groupBy("pattern").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    size = counted.filter("pattern = ''").first()
-    if size is None or not size["bad"] or not size["good"]:
+    counted = rows.select("label", "text", "half").mapInArrow(_pattern_batches, "pattern string, half int, bad long, good long")
+    own = lambda c, k: F.sum(F.when(F.col("half") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    counted = counted.groupBy("pattern").agg(*(own(c, k) for k in (0, 1) for c in ("bad", "good")))
+    # what can't mark label 1 stays where it is
+    t = counted.filter("pattern = '' or bad0 + bad1 >= 3").toArrow()
+    names = np.array(t["pattern"].to_pylist(), object)
+    n = {c: t[c].to_numpy().astype(float) for c in ("bad0", "good0", "bad1", "good1")}
+    return [_weights(names, n["bad0"] + n["bad1"], n["good0"] + n["good1"]), *(_weights(names, n[f"bad{k}"], n[f"good{k}"]) for k in (0, 1))]
+
+
+def _weights(names: np.ndarray, bad: np.ndarray, good: np.ndarray) -> dict[str, float]:
+    whole = np.flatnonzero(names == "")
+    if not len(whole) or not bad[whole[0]] or not good[whole[0]]:
         return {}
-    n1, n0 = float(size["bad"]), float(size["good"])
-    p1, p0 = (F.col("bad") + 0.1) / n1, (F.col("good") + 0.1) / n0
-    seen = F.col("bad") + F.col("good")
+    n1, n0 = bad[whole[0]], good[whole[0]]
+    odds = (bad + 0.1) / n1 / ((good + 0.1) / n0)
     share = n1 / (n1 + n0)
-    g = 2 * (F.col("bad") * F.log((F.col("bad") + 1e-9) / (seen * share)) + F.col("good") * F.log((F.col("good") + 1e-9) / (seen * (1 - share))))
-    found = counted.filter("pattern <> '' and bad >= 3").withColumn("odds", p1 / p0).withColumn("g", g).filter((F.col("odds") >= ODDS) & (F.col("g") >= EVIDENCE))
-    top = found.orderBy(F.desc("g"), "pattern").limit(MOST_PATTERNS).collect()
-    weight = {r["pattern"]: min(float(np.log((r["bad"] + 0.1) / n1 / ((r["good"] + 0.1) / n0))), 8.0) for r in top}
-    return {p: w for p, w in weight.items() if not any(p[:n] in weight and weight[p[:n]] >= w - 1.0 for n in range(SHORTEST, len(p)))}
+    seen = np.maximum(bad + good, 1e-9)
+    g = 2 * (bad * np.log((bad + 1e-9) / (seen * share)) + good * np.log((good + 1e-9) / (seen * (1 - share))))
+    found = np.flatnonzero((names != "") & (bad >= 3) & (odds >= ODDS) & (g >= EVIDENCE))
+    weight = {names[i]: min(float(np.log(odds[i])), 8.0) for i in found}
+    return {p: w for p, w in weight.items() if not any(p[:k] in weight and weight[p[:k]] >= w - 1.0 for k in range(SHORTEST, len(p)))}
 
 
 @dataclass
@@ -288,25 +374,32 @@ class Model:
     weights: np.ndarray
 
 
-def _calibration_batches(it: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+def _calibration_batches(it: Iterator[pa.RecordBatch], halves: list[Lexicon]) -> Iterator[pa.RecordBatch]:
+    """(label, text, half) to the features under the patterns of the other half."""
     for batch in it:
+        half = batch.column(2).to_numpy()
         for lo, hi, off, data in textbuf.runs(prepared(batch.column(1))):
-            x = document_features(lexicon, off, data)
+            a, b = (document_features(x, off, data) for x in halves)
+            x = np.where((half[lo:hi] == 0)[:, None], b, a)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x[:, k]) for k in range(1, 4))], names=["label", "a", "b", "c"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: dict[int, str] = WORDS) -> Model:
     """Learn patterns and calibration from labelled rows that aren't held out.
 
-    The bounded sample of ids (2 * sample at most) is broadcast to the texts.  The
-    calibration weighs its rows so that labels count as in all learnable rows.
+    The bounded sample of ids (2 * sample at most) is broadcast to the texts, and
+    the patterns of these texts come to the driver.  The calibration weighs its
+    rows so that labels count as in all learnable rows.
     """
     ship(docs.sparkSession)
     marked = labels.select("doc_id", F.col("toxic").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
     ids = bounded(marked, "label", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    lexicon = Lexicon(learn_patterns(rows))
-    t = rows.mapInArrow(lambda it: _calibration_batches(it, lexicon), "label int, a double, b double, c double").toArrow().sort_by([(c, "ascending") for c in ("label", "a", "b", "c")])
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("label").cast("int").alias("label"), "text", half)
+    every, *halves = learn_patterns(rows)
+    lexicon = Lexicon(every, words)
+    parts = [Lexicon(p or every, words) for p in halves]
+    t = rows.mapInArrow(lambda it: _calibration_batches(it, parts), "label int, a double, b double, c double").toArrow().sort_by([(c, "ascending") for c in ("label", "a", "b", "c")])
     x = np.stack([np.ones(t.num_rows), *(t[c].to_numpy() for c in "abc")], axis=1)
     y = t["label"].to_numpy().astype(float)
     by_label = label_weights(marked, ids, "label")
@@ -333,4 +426,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Train on the labelled rows that may be learnt from, score every row."""
     return score(docs, train(docs, labels, sample))

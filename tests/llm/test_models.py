@@ -183,7 +183,7 @@ def test_quality_held_out(big):
 def test_toxicity_held_out(big):
     documents, labels = big
     rows = toxicity.toxicity(documents, labels).join(labels, "doc_id").filter("held_out").collect()
-    assert auc([r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]) > 0.75
+    assert auc([r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]) > 0.8
     assert all(r.predicted == int(r.score >= 0.5) for r in rows)
 
 
@@ -240,20 +240,65 @@ def test_bradley_terry_orders():
     assert abs((s < quality_classifier.CUT).mean() - (label == 0).mean()) < 0.02
 
 
+O, I, H, V, T, N, R = (getattr(toxicity, x) for x in ("OTHER", "INSULT", "THREAT", "INTENT", "TARGET", "NEGATION", "REPORT"))
+
+
+def plain_score(symbols, weights):
+    """The grammar in words: what stands before and behind each insult or threat."""
+    total = 0.0
+    for i, (s, w) in enumerate(zip(symbols, weights)):
+        if s not in (I, H):
+            continue
+        before, near, after = symbols[:i], symbols[max(0, i - toxicity.REACH) : i], symbols[i + 1 :]
+        f = 1.0 if s == I or V in near else 0.4
+        f *= 1.5 if T in before else 1
+        f *= 0.3 if N in near else 1
+        f *= 0.5 if R in before else 1
+        f *= 1.5 if T in after[: toxicity.REACH] else 1.25 if T in after else 1
+        total += f * w
+    return total
+
+
 def test_grammar():
-    o, i, t, n, r, h = toxicity.OTHER, toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT
-    s = lambda *x: toxicity.clause_score(list(x), [2.0 if k in (i, h) else 0.0 for k in x])
-    plain = s(o, i)
-    assert s(o, o) == 0 and plain == 2.0
-    assert s(t, o, i) > plain and s(i, o, t) > plain
-    assert s(n, i) < plain and s(n, o, o, i) < plain and s(n, o, o, o, i) == plain
-    assert s(r, o, o, o, i) == plain / 2
-    assert s(i, i) == 2 * plain and s(h) == 2.0
+    s = lambda *x: toxicity.clause_score(list(x), [2.0 if k in (I, H) else 0.0 for k in x])
+    plain = s(O, I)
+    assert s(O, O) == 0 and plain == 2.0
+    assert s(T, O, I) > plain and s(I, O, T) > plain
+    assert s(N, I) < plain and s(N, O, O, I) < plain and s(N, O, O, O, I) == plain
+    assert s(R, O, O, O, I) == plain / 2
+    assert s(I, I) == 2 * plain and s(H) < s(V, H) < s(V, H, T)
+    rng = random.Random(7)
+    clauses = [[rng.choice((O, O, O, I, H, V, T, N, R)) for _ in range(rng.randrange(1, 30))] for _ in range(300)]
+    weights = [[rng.random() if k in (I, H) else 0.0 for k in c] for c in clauses]
+    want = [plain_score(c, w) for c, w in zip(clauses, weights)]
+    assert np.allclose([toxicity.clause_score(c, w) for c, w in zip(clauses, weights)], want)
+    at = [(k, j) for k, c in enumerate(clauses) for j, x in enumerate(c) if x != O]
+    ids, got = toxicity.clause_scores(np.array([k for k, _ in at]), np.array([1000 * k + j for k, j in at]), np.array([clauses[k][j] for k, j in at]), np.array([weights[k][j] for k, j in at]))
+    assert np.allclose(got, [want[k] for k in ids])
+
+
+def test_long_clauses_take_linear_time():
+    import time
+
+    lex = toxicity.Lexicon({"idiot": 3.0})
+    took = []
+    for n in (20_000, 200_000):
+        data = np.frombuffer(b"you idiot or " * n, np.uint8)
+        began = time.perf_counter()
+        doc, score = lex.clauses(np.array([0, len(data)]), data)
+        took.append(time.perf_counter() - began)
+        assert doc.tolist() == [0] and score[0] == pytest.approx(3.0 * 1.5 * (1.5 * (n - 1) + 1))
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_words_make_clauses():
     lex = toxicity.Lexicon({"idiot": 3.0})
-    off = np.array([0, 30, 30, 41])
-    text = b"He is NOT an IDIOT!! you idiot" + b"pidiot idio"
-    found = list(lex.clauses(off, np.frombuffer(text, np.uint8)))
-    assert [d for d, _ in found] == [0, 0] and found[0][1] < found[1][1]
+    off = np.array([0, 30, 30, 41, 80])
+    text = b"He is NOT an IDIOT!! you idiot" + b"pidiot idio" + b"I will kill you. They kill time; ok" + b" it."
+    doc, score = lex.clauses(off, np.frombuffer(text, np.uint8))
+    assert doc.tolist() == [0, 0, 3, 3] and score[0] < score[1] and score[2] > 3 * score[3]
+    own = toxicity.Lexicon({}, {**toxicity.WORDS, toxicity.THREAT: "smash"})
+    assert own.clauses(np.array([0, 13]), np.frombuffer(b"smash or kill", np.uint8))[1].tolist() == [0.4]
 
 
 def test_scoring_cuts_words_as_training_does():
