@@ -52,7 +52,7 @@ def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.document_lengths(token_count.token_blocks(table(spark, sf_dir, "documents")))
+    return token_count.corpus_counts(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,31 +83,44 @@ def flat(lengths, end=7):
     return np.concatenate([np.r_[np.full(n - 1, 1), end] for n in lengths]) if lengths else np.zeros(0)
 
 
-@pytest.mark.parametrize("block", [1, 3, 64, 10_000])
-def test_separator_scan(spark, block):
+@pytest.mark.parametrize("block,group", [(1, 2), (3, 7), (64, 1024), (10_000, 1024)])
+def test_separator_scan(spark, tmp_path, monkeypatch, block, group):
+    """Every document of files of many shapes, against a plain walk."""
+    monkeypatch.setattr(token_count, "GROUP", group)
     rng = random.Random(block)
-    files = {"a": [rng.randrange(1, 20) for _ in range(50)], "b": [500], "c": [1] * 40, "empty": []}
-    rows, want = [], []
+    files = {"a": [rng.randrange(1, 20) for _ in range(50)], "b": [500], "c": [1] * 40, "d": [64] * 3, "empty": []}
+    want = []
     for f, lengths in files.items():
         ids = flat(lengths).astype("<u4")
-        rest = 0
-        if f == "a":
-            ids, rest = np.r_[ids, [1, 1, 1]].astype("<u4"), 3
-        rows += [(f, k, bytearray(ids[i : i + block].tobytes())) for k, i in enumerate(range(0, max(len(ids), 1), block))]
-        want += [(f, i, n, True) for i, n in enumerate(lengths)] + ([(f, len(lengths), rest, False)] if rest else [])
-    df = spark.createDataFrame(rows, "file string, block long, ids binary").repartition(3)
-    got = sorted(tuple(r) for r in token_count.document_lengths(df, end=7).collect())
+        rest = 3 if f in "ae" else 0
+        ids = np.r_[ids, [1] * rest].astype("<u4")
+        (tmp_path / f).write_bytes(ids.tobytes() + (b"x" if f == "c" else b""))
+        start = np.cumsum([0, *lengths])
+        want += [(f, i, start[i], n, True) for i, n in enumerate(lengths)] + ([(f, len(lengths), start[-1], rest, False)] if rest else [])
+    (tmp_path / "none").write_bytes(b"")
+    listed = token_count.token_files(spark, str(tmp_path))
+    got = sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.start, r.n_tokens, r.closed) for r in token_count.scan_files(listed, 7, 4, block).collect())
     assert got == sorted(want)
 
 
-def test_flat_files(spark, tmp_path):
-    flat([5, 9, 2], 7).astype("<u2").tofile(tmp_path / "x.bin")
-    blocks = token_count.read_token_files(spark, str(tmp_path), width=2, block=4)
-    assert sorted(r.n_tokens for r in token_count.document_lengths(blocks, 7, 2).collect()) == [2, 5, 9]
+def test_corpus_counts(docs, words, tmp_path):
+    rows = [(i, "alpha beta, Grüße 42 \U0001F600 " * i) for i in range(30)] + [(99, None), (98, ""), (97, "a <|endoftext|> b <|ENDOFTEXT|>"), (96, "ÿÀ\xff\x00 \n"), (99, None), (None, "x")]
+    df = docs(rows, extra=True).coalesce(3)
+    want = sorted(len(words.tokenizer.encode((t or "").replace("<|endoftext|>", "< |endoftext|>"), add_special_tokens=False).ids) + 1 for _, t in rows)
+    got = token_count.corpus_counts(df, block=16).collect()
+    assert sorted(r.n_tokens for r in got) == want and all(r.closed for r in got)
+    assert token_count.corpus_counts(docs([])).count() == 0
+    # the files hold the ids and nothing else
+    token_count.write_token_files(df, str(tmp_path / "flat"))
+    ids = np.concatenate([np.fromfile(p, "<u2") for p in sorted((tmp_path / "flat").glob("part-*"))])
+    texts = np.split(ids, np.flatnonzero(ids == token_count.END) + 1)[:-1]
+    plain = [words.tokenizer.encode((t or "").replace("<|endoftext|>", "< |endoftext|>"), add_special_tokens=False).ids for _, t in rows]
+    assert sorted(x[:-1].tolist() for x in texts) == sorted(plain)
 
 
-def test_corpus_counts(docs, words):
-    rows = [(i, "alpha beta " * i) for i in range(30)] + [(99, None)]
-    got = token_count.document_lengths(token_count.token_blocks(docs(rows), block=16)).collect()
-    assert sorted(r.n_tokens for r in got) == sorted(len(words.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
-    assert token_count.document_lengths(token_count.token_blocks(docs([]))).count() == 0
+def test_registered_counts(spark, sf_dir, words):
+    from graphfuse.llm.queries import queries
+
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = sorted(len(e.ids) + 1 for e in words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False))
+    assert sorted(r.n_tokens for r in queries()["op9_separator_scan"](spark, sf_dir).collect()) == want
