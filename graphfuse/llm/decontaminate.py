@@ -18,8 +18,12 @@ words, two walks and three tables each, so proposals miss it about never.
 
 Shorter items have too few windows for that.  They are cut into one piece more
 than they may have edits, one of which stands unchanged in every leak; every
-place of the text is looked up among the pieces, so none is missed.  A
-vectorised edit distance of an item's first 64 bytes thins these proposals out.
+place of the text is looked up among the pieces, so none is missed.
+
+A phrase that many items share proposes all of them wherever it stands.  So
+proposals are thinned out side by side first: an item's parts of 64 bytes each
+have some least edit distance near their place, and in a leak these add up to no
+more than the allowed edits.  What is left is searched exactly.
 
 Texts and items are compared with ASCII and Latin-1 letters lowered and white space run
 together.  The benchmark's keys are sent to the tasks in blocks of items of
@@ -28,6 +32,7 @@ bounded size, one pass over the corpus a block; the corpus is never shuffled.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -48,11 +53,13 @@ REPEATS = 2
 #: Items of fewer bytes are proposed by exact pieces of at most ``PIECE`` bytes.
 SHORT, PIECE = 128, 8
 #: Proposals that are thinned out at once.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 14
 #: Items and bytes of a block, about; keys take some ten times the bytes of the texts.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 #: Allowed edits as a share of an item's length.
 RATE = 0.1
+#: Proposals are told apart to so many bytes.
+CELL = 16
 #: Bits of the first filter in front of the key table.
 FILTER_BITS = 22
 
@@ -166,38 +173,47 @@ def search(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, row) for every row in lo[i] : hi[i]."""
+    many = hi - lo
+    i = np.repeat(np.arange(len(lo)), many)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+
+
+def apart(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows in order."""
+    rows = rows[np.lexsort(rows.T)]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[fresh]
+
+
 class Pieces:
     """Exact proposals of short items."""
 
     def __init__(self, items: list[tuple[int, bytes, int]]):
         """items: (item, normal text, most edits)."""
-        self.item = np.array([n for n, _, _ in items], np.int64)
-        self.most = np.array([k for _, _, k in items], np.int64)
-        self.width = np.array([min(64, len(t)) for _, t, _ in items], np.int64)
-        self.masks = np.zeros((len(items), 256), np.uint64)
         rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for i, (_, t, k) in enumerate(items):
+        for n, t, k in items:
             step = max(1, len(t) // (k + 1))
             size = min(PIECE, step)
             for p in range(0, min(step * (k + 1), len(t)), step):
-                rows[size].append((int.from_bytes(t[p : p + size], "little"), i, p))
-            for j in range(self.width[i]):
-                self.masks[i, t[j]] |= np.uint64(1 << j)
+                rows[size].append((int.from_bytes(t[p : p + size], "little"), n, p))
         self.tables = []
         for size in sorted(rows):
-            code, i, p = zip(*rows[size], strict=True)
+            code, n, p = zip(*rows[size], strict=True)
             order = np.argsort(np.array(code, np.uint64), kind="stable")
             keys = np.array(code, np.uint64)[order]
             f = np.zeros(1 << FILTER_BITS, bool)
             f[self._slot(keys)] = True
-            self.tables.append((size, keys, np.array(i)[order], np.array(p)[order], f))
+            self.tables.append((size, keys, np.array(n)[order], np.array(p)[order], f))
 
     @staticmethod
     def _slot(code: np.ndarray) -> np.ndarray:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
 
-    def proposals(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, document, about where it begins) of one run of normal text."""
+    def proposals(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of (item, document, about where it begins) of one run of normal text."""
         n = len(data)
         spare = np.concatenate([data, np.zeros(PIECE, np.uint8)])
         code, got = np.zeros(n, np.uint64), 0
@@ -207,42 +223,9 @@ class Pieces:
                 code |= spare[j : j + n].astype(np.uint64) << np.uint64(8 * j)
             got = size
             at = np.flatnonzero(f[self._slot(code)])
-            lo, hi = np.searchsorted(keys, code[at], "left"), np.searchsorted(keys, code[at], "right")
-            many = hi - lo
-            at = np.repeat(at, many)
-            row = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            found.append(np.stack([item[row], np.searchsorted(ends, at, "right") - 1, at - place[row]], axis=1))
-        rows = np.concatenate(found)
-        order = np.lexsort(rows.T)
-        rows = rows[order]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        rows = rows[fresh]
-        for k in range(0, len(rows), AT_ONCE):
-            part = rows[k : k + AT_ONCE]
-            for i, doc, begin in part[self._near(data, part)].tolist():
-                yield int(self.item[i]), doc, begin
-
-    def _near(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Whether the first bytes of the item stand about there with at most its edits (64-bit words of ``search``)."""
-        i, begin = rows[:, 0], rows[:, 2] - self.most[rows[:, 0]]
-        most, width = self.most[i], self.width[i]
-        top = np.uint64(1) << (width - 1).astype(np.uint64)
-        pv, mv = np.full(len(i), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(i), np.uint64)
-        score = width.copy()
-        best = score.copy()
-        for j in range(int((width + 2 * most).max(initial=0))):
-            at = begin + j
-            eq = self.masks[i, data[np.clip(at, 0, len(data) - 1)]]
-            eq[(at < 0) | (at >= len(data))] = 0
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
-            np.minimum(best, score, out=best)
-            ph, mh = ph << np.uint64(1), mh << np.uint64(1)
-            pv, mv = mh | ~(xv | ph), ph & xv
-        return best <= most
+            i, row = spread(np.searchsorted(keys, code[at], "left"), np.searchsorted(keys, code[at], "right"))
+            found.append(np.stack([item[row], np.searchsorted(ends, at[i], "right") - 1, at[i] - place[row]], axis=1))
+        return apart(np.concatenate(found))
 
 
 class Index:
@@ -274,6 +257,10 @@ class Index:
                 keys[w].append(walk.keys(spare, start).reshape(-1))
                 where[w].append(np.concatenate([pair] * TABLES))
         self.pieces = Pieces(short)
+        self.limit = np.array(self.most, np.int64)
+        self.length = np.array([len(t) for t in self.texts], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
         self.keys, self.where, self.filter = [], [], []
         for k in range(len(self.walks)):
             a = np.concatenate(keys[k]) if keys[k] else np.zeros(0, np.uint32)
@@ -285,9 +272,9 @@ class Index:
             f[a >> U(32 - FILTER_BITS)] = True
             self.filter.append(f)
 
-    def proposals(self, data: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, document, about where it begins in units of 16 characters) of one run of normal text, items of SHORT bytes or more."""
-        found: set[tuple[int, int, int]] = set()
+    def proposals(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of (item, document, about where it begins in units of CELL bytes) of one run of normal text, items of SHORT bytes or more."""
+        found = [np.zeros((0, 3), np.int64)]
         start = starts(data, ends)
         spare = np.concatenate([data, np.zeros(STEPS + 1, np.uint8)])
         for k, walk in enumerate(self.walks):
@@ -296,14 +283,53 @@ class Index:
                 continue
             for got in walk.keys(spare, start):
                 hit = np.flatnonzero(self.filter[k][got >> U(32 - FILTER_BITS)])
-                if not len(hit):
-                    continue
-                lo, hi = np.searchsorted(own, got[hit], "left"), np.searchsorted(own, got[hit], "right")
-                for i in np.flatnonzero(hi > lo):
-                    doc = int(np.searchsorted(ends, start[hit[i]], "right")) - 1
-                    for n, q in self.where[k][lo[i] : hi[i]]:
-                        found.add((int(n), doc, int(start[hit[i]] - q) >> 4))
-        return found
+                i, row = spread(np.searchsorted(own, got[hit], "left"), np.searchsorted(own, got[hit], "right"))
+                at = start[hit[i]]
+                n, q = self.where[k][row].T
+                found.append(np.stack([n, np.searchsorted(ends, at, "right") - 1, (at - q) // CELL], axis=1))
+        return apart(np.concatenate(found))
+
+    def likely(self, data: np.ndarray, item: np.ndarray, place: np.ndarray, slack: int) -> np.ndarray:
+        """Whether the parts of each item could stand about its place with the allowed edits in all."""
+        out = np.ones(len(item), bool)
+        for k in range(0, len(item), AT_ONCE):
+            part = slice(k, k + AT_ONCE)
+            edits = np.zeros(len(item[part]), np.int64)
+            live = np.arange(len(edits))
+            for begin in range(0, int(self.length[item[part]].max(initial=0)), 64):
+                live = live[edits[live] <= self.limit[item[part][live]]]
+                now = live[self.length[item[part][live]] > begin]
+                if not len(now):
+                    break
+                edits[now] += self._part(data, item[part][now], begin, place[part][now] + begin, slack)
+            out[part] = edits <= self.limit[item[part]]
+        return out
+
+    def _part(self, data: np.ndarray, item: np.ndarray, begin: int, place: np.ndarray, slack: int) -> np.ndarray:
+        """Least edit distance of item[begin : begin + 64] near each place (64-bit words of ``search``)."""
+        which, i = np.unique(item, return_inverse=True)
+        width = np.minimum(64, self.length[which] - begin)
+        row, at = spread(self.first[which] + begin, self.first[which] + begin + width)
+        masks = np.zeros((len(which), 256), np.uint64)
+        np.bitwise_or.at(masks, (row, self.flat[at]), np.uint64(1) << (at - self.first[which[row]] - begin).astype(np.uint64))
+        width, most = width[i], self.limit[item]
+        low = place - most
+        top = np.uint64(1) << (width - 1).astype(np.uint64)
+        pv, mv = np.full(len(i), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(i), np.uint64)
+        score = width.copy()
+        best = score.copy()
+        for j in range(int((width + 2 * most).max(initial=0)) + slack):
+            x = low + j
+            eq = masks[i, data[np.clip(x, 0, len(data) - 1)]]
+            eq[(x < 0) | (x >= len(data))] = 0
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
+            np.minimum(best, score, out=best)
+            ph, mh = ph << np.uint64(1), mh << np.uint64(1)
+            pv, mv = mh | ~(xv | ph), ph & xv
+        return best
 
 
 def leaks(index: Index, text: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, object, int, int, int]]:
@@ -313,9 +339,11 @@ def leaks(index: Index, text: np.ndarray, off: np.ndarray) -> Iterator[tuple[int
     # a boundary takes the place of the joint space of two documents
     raw = data.tobytes()
     best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-    cells = [(n, doc, cell * 16, 16) for n, doc, cell in index.proposals(data, ends)]
-    places = [(n, doc, place, 0) for n, doc, place in index.pieces.proposals(data, ends)]
-    for n, doc, place, slack in cells + places:
+    proposed = []
+    for rows, size, slack in ((index.proposals(data, ends), CELL, CELL), (index.pieces.proposals(data, ends), 1, 0)):
+        keep = index.likely(data, rows[:, 0], rows[:, 2] * size, slack)
+        proposed += [(n, doc, place * size, slack) for n, doc, place in rows[keep].tolist()]
+    for n, doc, place, slack in proposed:
         m, most = len(index.texts[n]), index.most[n]
         lo = max(int(ends[doc]), place - most)
         hi = min(int(ends[doc + 1]), place + slack + m + most)
@@ -338,25 +366,44 @@ def leaks(index: Index, text: np.ndarray, off: np.ndarray) -> Iterator[tuple[int
         yield doc, index.ids[n], int(at[begin] - off[doc]), int(at[end - 1] + 1 - off[doc]), edits
 
 
+_held: tuple[str, Index] | None = None
+
+
+def _index(key: str, part, rate: float) -> Index:
+    """The index of a block of items, made once a worker process and block."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = (key, Index(part.value, rate))
+    return _held[1]
+
+
+def _blocks(items: DataFrame, block: int) -> Iterator[tuple[str, object]]:
+    """(key, broadcast list of (item_id, text)) of each block of items; a block comes to the driver at a time."""
+    spark = items.sparkSession
+    usable = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
+    size = usable.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    n_blocks = max(1, -(-size["n"] // block), -(-(size["b"] or 0) // BLOCK_BYTES))
+    mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    for k in range(n_blocks):
+        part = [(r[0], r[1]) for r in usable.filter(mine == k).orderBy("item_id", "text").collect()]
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast(part)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK_ITEMS) -> DataFrame:
     """One row a leak: doc_id, item_id, start, stop (bytes of the text), edits.
 
     items: item_id and text.  An item leaks into a text that holds it with at
     most ``rate`` times its length edits, anywhere.  Null and empty texts hold
     nothing; null and empty items are passed over.  An item of under ten bytes is
-    held where it stands unchanged, be it inside a word.  Items come to the driver
-    a block at a time.
+    held where it stands unchanged, be it inside a word.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, stop long, edits int"
 
-    def passed(part: list[tuple[object, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(part)
-
+    def passed(key: str, part) -> DataFrame:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, rate)
+            index = _index(key, part, rate)
             for batch in it:
                 ids = batch.column(0)
                 for lo, _, off, data in textbuf.runs(batch.column(1), 1 << 18):
@@ -370,17 +417,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int
 
         return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
 
-    usable = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
-    size = usable.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    n_blocks = max(1, -(-size["n"] // block), -(-(size["b"] or 0) // BLOCK_BYTES))
-    mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    parts = [passed([(r[0], r[1]) for r in usable.filter(mine == k).orderBy("item_id", "text").collect()]) for k in range(n_blocks)]
+    parts = [passed(*x) for x in _blocks(items, block)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item; all columns stay."""
-    return docs.join(find_leaks(docs, items, rate).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows whose text holds no item; all columns stay.
+
+    A row is judged by its own text, whatever its id.  Rows pass through where they
+    are: nothing is joined or shuffled.
+    """
+    ship(docs.sparkSession)
+
+    def passed(rows: DataFrame, key: str, part) -> DataFrame:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index(key, part, rate)
+            for batch in it:
+                own = batch.column(0)
+                for lo, hi, off, data in textbuf.runs(own.field("text"), 1 << 18):
+                    held = np.zeros(hi - lo, bool)
+                    held[[doc for doc, *_ in leaks(index, data, off)]] = True
+                    yield pa.RecordBatch.from_arrays([own.slice(lo, hi - lo).filter(pa.array(~held))], names=["own"])
+
+        own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("own")
+        return rows.select(own).mapInArrow(run, f"own {docs.select(own).schema['own'].dataType.simpleString()}").select(*[F.col(f"own.`{c}`") for c in docs.columns])
+
+    for key, part in _blocks(items, block):
+        docs = passed(docs, key, part)
+    return docs
