@@ -10,6 +10,8 @@ length is that of no known notice are dropped before they are digested.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,28 @@ _BSD_TWO = """Redistribution and use in source and binary forms, with or without
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 """
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 #: Published licence texts and the notices that stand for them.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS),
@@ -30,6 +54,10 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _AUTHOR),
     ("BSD-2-Clause", _BSD_TWO + "\n" + _BSD_END),
     ("BSD-3-Clause", _BSD_TWO + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + _BSD_END),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -44,15 +72,18 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 #: A line that only says whose the work is; lower case, both dialects.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^a-z\n]|\(c\)[^a-z\n]*[0-9]{4}|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"^[^a-z0-9\n]*(copyright[^a-z\n]|\(c\)[^a-z\n]*[0-9]{4}|all rights reserved)[^\n]*$"
 #: Spellings that licences use for one another.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("https", "http"))
 MARKS = r"[^a-z0-9\n]+"
+BREAKS = r"\r\n?"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ©", "abcdefghijklmnopqrstuvwxyz "
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its line breaks; each line is trimmed."""
-    x = F.regexp_replace(F.lower(F.translate(text, "©", " ")), COPYRIGHT_LINE, "")
+    x = F.regexp_replace(F.translate(text, UPPER, LOWER), BREAKS, "\n")
+    x = F.regexp_replace(x, "(?md)" + COPYRIGHT_LINE, "")  # lines end in \n alone
     x = F.regexp_replace(x, MARKS, " ")
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -64,6 +95,11 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
+def texts_of(folder: str | Path) -> tuple[tuple[str, str], ...]:
+    """(name, text) of the whole licences in a folder of the driver, one a file named after its licence, for ``known``."""
+    return tuple((p.stem if p.suffix == ".txt" else p.name, p.read_text("utf-8", "replace")) for p in sorted(Path(folder).iterdir()) if p.is_file() and not p.is_symlink())
+
+
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """(digest, license, length) of the known texts; one row a digest."""
     rows = spark.createDataFrame(list(known), "license string, text string").withColumn("c", canonical(canonical_lines(F.col("text"))))
@@ -76,7 +112,8 @@ def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -
     digest: SHA-256 of the canonical text (null is empty); text_license: the
     licence that the whole text is, or null; n_notices: its lines that are a
     known text; notices: their licences, distinct, sorted, comma-separated, or
-    empty.  Repeated rows of one id with one text give equal rows.
+    empty.  Repeated rows of one id with one text give equal rows.  ``known`` can
+    be widened by the whole texts of a folder (``texts_of``).
     """
     spark = docs.sparkSession
     table = known_digests(spark, known)
@@ -97,7 +134,8 @@ def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
 
     def lines(col: str) -> str:
-        x = f"regexp_replace(regexp_replace(lower(translate({col}, '©', ' ')), {quote(COPYRIGHT_LINE)}, '', 'g'), {quote(MARKS)}, ' ', 'g')"
+        x = f"regexp_replace(translate({col}, '{UPPER}', '{LOWER}'), {quote(BREAKS)}, chr(10), 'g')"
+        x = f"regexp_replace(regexp_replace({x}, {quote('(?m)' + COPYRIGHT_LINE)}, '', 'g'), {quote(MARKS)}, ' ', 'g')"
         for a, b in SPELLINGS:
             x = f"replace({x}, {quote(a)}, {quote(b)})"
         return x
