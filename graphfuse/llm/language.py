@@ -55,7 +55,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
             h = h[: len(c) - k + 1] * _U(0x01000193) + c[k - 1 :] * _U(0x9E3779B1) + _U(k)
             x = h ^ (h >> _U(15))
             out.append((x * _U(0x85EBCA6B)) >> _U(32 - 15))
-    n = np.bincount(np.concatenate(out), minlength=DIM)
+    grams = np.concatenate(out)
+    if len(grams) < DIM // 8:  # a short text isn't worth a table of all features
+        return np.unique(grams.astype(np.int64), return_counts=True)
+    n = np.bincount(grams, minlength=DIM)
     at = np.flatnonzero(n)
     return at, n[at]
 
@@ -133,7 +136,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     df = np.zeros(DIM + 1)
     df[freq["feature"].to_numpy()] = freq["n"].to_numpy()
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
-    rows = bounded(known, "lang", sample).select("doc_id", "text", "lang").mapInArrow(_sample_batches, "doc_id long, lang string, at array<int>, n array<int>").toArrow().sort_by("doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = bounded(known, "lang", sample).select("doc_id", "text", "lang").mapInArrow(_sample_batches, f"doc_id {kind}, lang string, at array<int>, n array<int>").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "lang")])
     langs = sorted(set(rows["lang"].to_pylist()))
     model = Model(langs or ["und"], idf, np.zeros((DIM + 1, max(1, len(langs)))))
     if len(langs) < 2:
