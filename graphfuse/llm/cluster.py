@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,8 +12,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textbuf
-
 _shipped: set[str] = set()
 
 
@@ -22,10 +21,14 @@ def ship(spark: SparkSession) -> None:
     Python workers import the kernels by name, so a worker started elsewhere
     needs the code; Spark's own file server hands the archive out.
     """
-    textbuf.spark_settings(spark)
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
     if int(spark.version.split(".")[0]) >= 4:
         # a step's shuffle files go when the step has been written
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        own["spark.sql.classic.shuffleDependency.fileCleanup.enabled"] = "true"
+    told = spark._jsparkSession.sessionState().conf()
+    for key, value in own.items():
+        if not told.contains(key) and spark.conf.isModifiable(key):  # what the session says itself stays
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -42,11 +45,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's spark.checkpoint.dir; where that is unset, as in local
-    tests, one is made and set.
+    It is the session's spark.checkpoint.dir.  Where that is unset and driver and
+    executors are one process, a temporary one is made and set; on a cluster that
+    is an error, for executors don't see each other's folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="graphfuse-shared-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -57,16 +63,21 @@ class Scratch:
 
     ``save`` runs a plan once, writes it as Parquet and hands back a frame that
     reads the files, so later stages don't recompute it and the loss of an
-    executor costs no more than the running stage.
+    executor costs no more than the running stage.  Results are lazy and may read
+    them until the application ends; then the driver removes the folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.top = f"{shared_dir(spark)}/graphfuse-{name}-{uuid.uuid4().hex}"
+        self.known = False
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if not self.known:
+            top = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+            self.known = top.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(top)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -214,13 +214,3 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray,
                 x = x * odd[6] + h[first[d] + j] * odd[j]
             out[start[d]] = mix(np.array([x], np.uint64))[0]
     return out, start
-
-
-def spark_settings(spark) -> None:
-    """Arrow batches of bounded bytes, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    except Exception as e:  # the setting is static in some releases
-        if "CANNOT_MODIFY" not in str(e):
-            raise

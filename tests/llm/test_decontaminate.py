@@ -101,7 +101,25 @@ def test_license_digests(docs, spark, sf_dir):
     from graphfuse.llm.queries import queries
 
     same(queries()["op3_license_digests"](spark, sf_dir), duck(sf_dir), licenses.oracle_sql())
-    plan = licenses.scan_licenses(docs(rows))._jdf.queryExecution().toString()
+    # the dialects agree on line ends and letters beyond ASCII
+    import duckdb
+
+    odd = [(i, f"{a}Copyright 2020 Foo{b}hello{c}Released under the MİT License{b}Released under the mit licence.") for i, (a, b, c) in enumerate([("Hello\r", "\r", "\r"), ("x\r\n", "\r\n", "\n"), ("\u2028", "\u0085", "\u2029"), ("\u212a\n", "\n\r", "\v")])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", odd)
+    same(licenses.scan_licenses(docs(odd)), con, licenses.oracle_sql())
+
+
+def test_license_texts_of_a_folder(docs, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Take it.\nKeep this sentence.\n")
+    known = licenses.KNOWN + licenses.texts_of(tmp_path)
+    rows = [(1, "Copyright 1999 X\nTAKE IT -- keep this sentence"), (2, licenses._ZLIB)]
+    assert {r.doc_id: r.text_license for r in licenses.scan_licenses(docs(rows), known).collect()} == {1: "Own-1.0", 2: "Zlib"}
+
+
+def test_license_plan_is_native(docs):
+    plan = licenses.scan_licenses(docs([(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
@@ -181,3 +199,34 @@ def test_recall_by_length():
         assert hits >= least * 60, (size, hits)
     assert found(D.Index([(1, "tiny")]), ["no", "a TINY", "mytiny|tiny"]) == [(1, 1), (2, 1), (2, 1)]
     assert found(D.Index([(1, "  "), (2, "")]), ["a  b", ""]) == []
+
+
+def test_a_shared_phrase_is_thinned_out():
+    """A phrase of a thousand items proposes them all, and few of them are searched."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    phrase = "which of the following statements about the given passage of text is the only one that is true " * 2
+    long = [(i, phrase + prose(30)) for i in range(400)]
+    short = [(1000 + i, phrase[:50] + prose(12)[:60]) for i in range(400)]
+    index = D.Index(long + short)
+    text = f"{prose(30)} {phrase} {prose(200)} {spoiled(rng, long[7][1], 9)} {prose(20)} {short[9][1]}"
+    data, _ = D.normal(np.frombuffer(text.encode(), np.uint8))
+    ends = np.array([0, len(data)])
+    cells, places = index.proposals(data, ends), index.pieces.proposals(data, ends)
+    assert len(set(cells[:, 0])) == 400 and len(set(places[:, 0])) == 400
+    left = index.likely(data, cells[:, 0], cells[:, 2] * D.CELL, D.CELL).sum() + index.likely(data, places[:, 0], places[:, 2], 0).sum()
+    assert left < 60, left
+    assert {n for _, n in found(index, [text])} == {7, 1009}
+
+
+def test_clean_judges_rows_not_ids(docs, spark):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    items = spark.createDataFrame([(1, item), (2, "another item of some twenty bytes"), (None, None)], "item_id long, text string")
+    rows = [(1, "x " + item), (1, "clean"), (None, item + " y"), (None, "clean too"), (None, None), (2, ""), (3, "so another item of some twenty bytes.")]
+    for block in (20_000, 1):
+        out = D.clean(docs(rows, extra=True), items, block=block)
+        assert out.columns == docs(rows, extra=True).columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("1", "clean"), ("2", ""), ("None", "None"), ("None", "clean too")]
+    assert D.clean(docs([]), items).count() == 0 and D.clean(docs(rows), items.limit(0)).count() == len(rows)
