@@ -52,8 +52,8 @@ TABLES = 3
 REPEATS = 2
 #: Items of fewer bytes are proposed by exact pieces of at most ``PIECE`` bytes.
 SHORT, PIECE = 128, 8
-#: Proposals that are thinned out at once.
-AT_ONCE = 1 << 14
+#: Proposals that are thinned out at once; of fewer than FEW in a run each is searched.
+AT_ONCE, FEW = 1 << 14, 48
 #: Items and bytes of a block, about; keys take some ten times the bytes of the texts.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 #: Allowed edits as a share of an item's length.
@@ -292,6 +292,8 @@ class Index:
     def likely(self, data: np.ndarray, item: np.ndarray, place: np.ndarray, slack: int) -> np.ndarray:
         """Whether the parts of each item could stand about its place with the allowed edits in all."""
         out = np.ones(len(item), bool)
+        if len(item) < FEW:
+            return out
         for k in range(0, len(item), AT_ONCE):
             part = slice(k, k + AT_ONCE)
             edits = np.zeros(len(item[part]), np.int64)
@@ -406,7 +408,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int
             index = _index(key, part, rate)
             for batch in it:
                 ids = batch.column(0)
-                for lo, _, off, data in textbuf.runs(batch.column(1), 1 << 18):
+                for lo, _, off, data in textbuf.runs(batch.column(1)):
                     rows = list(leaks(index, data, off))
                     if rows:
                         doc, item, start, stop, edits = zip(*rows, strict=True)
@@ -437,7 +439,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BL
             index = _index(key, part, rate)
             for batch in it:
                 own = batch.column(0)
-                for lo, hi, off, data in textbuf.runs(own.field("text"), 1 << 18):
+                for lo, hi, off, data in textbuf.runs(own.field("text")):
                     held = np.zeros(hi - lo, bool)
                     held[[doc for doc, *_ in leaks(index, data, off)]] = True
                     yield pa.RecordBatch.from_arrays([own.slice(lo, hi - lo).filter(pa.array(~held))], names=["own"])

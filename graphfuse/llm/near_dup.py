@@ -79,6 +79,7 @@ def chance(n: np.ndarray | float, m: np.ndarray | float) -> np.ndarray | float:
     return np.minimum(n, m) / np.maximum(np.maximum(n, m), 1) * 2.0**-MANTISSA / 3
 
 
+@textbuf.lean
 def sketch_batches(it: Iterator[pa.RecordBatch], threshold_words: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n_shingles, d1, d2, regs)."""
     for batch in it:
@@ -105,6 +106,7 @@ def shingle_sets(off: np.ndarray, data: np.ndarray, k: int) -> Iterator[np.ndarr
         yield u[np.concatenate(([True], u[1:] != u[:-1]))] if len(u) else u
 
 
+@textbuf.lean
 def set_batches(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, hashes): full sets of candidates."""
     for batch in it:
@@ -114,6 +116,7 @@ def set_batches(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
 
+@textbuf.lean
 def spread_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, hashes) to one row a shingle: (doc_id, n, t)."""
     for batch in it:
@@ -126,6 +129,7 @@ def spread_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)).take(pa.array(at)), pa.array(n[at]), pa.array(flat)], names=["doc_id", "n", "t"])
 
 
+@textbuf.lean
 def prefix_batches(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, [(df, t)]) to (t, doc_id, n, pos, short) for the prefix of each set.
 
@@ -153,6 +157,7 @@ def prefix_batches(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 )
 
 
+@textbuf.lean
 def estimate_batches(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb, ra, rb): keeps pairs whose estimated similarity is at least ``least``."""
     for batch in it:
@@ -168,6 +173,7 @@ def estimate_batches(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
+@textbuf.lean
 def verify_batches(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, ha, hb): keeps pairs with 100 * intersection >= percent * union of the full sets."""
     for batch in it:

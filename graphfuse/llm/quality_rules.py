@@ -49,7 +49,7 @@ LEAST, FREQUENT = 5e-7, 1e-5
 #: A pair is kept from so many different words before it on, and from LEAST of all evidence.
 EVIDENCE = 3
 #: Tokens of a shard, about, and keys that a task holds before it sends them.
-SHARD, HELD = 1 << 21, 1 << 22
+SHARD, HELD = 1 << 21, 1 << 21
 
 #: Bands of at most so many languages are broadcast.
 MOST_BANDS = 10_000
@@ -88,6 +88,11 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
 class Blocks:
     """Keys of a task, summed, cut by shard and sent as blocks."""
 
@@ -98,33 +103,41 @@ class Blocks:
         self.n = 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, c = summed(keys)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.n += len(k)
+        if self.counted:
+            keys, c = summed(keys)
+            self.counts.append(c)
+        else:
+            keys = distinct(keys)
+        self.keys.append(keys)
+        self.n += len(keys)
         if self.n >= HELD:
             self._shrink()
             if self.n >= HELD // 2:
                 yield from self.flush()
 
     def _shrink(self) -> None:
-        k, c = summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.keys, self.counts, self.n = [k], [c], len(k)
+        if self.counted:
+            k, c = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+            self.counts = [c]
+        else:
+            k = distinct(np.concatenate(self.keys))
+        self.keys, self.n = [k], len(k)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
         self._shrink()
-        k, c = self.keys[0], self.counts[0]
+        k = self.keys[0]
         # keys of one group (all but the lowest ``group`` bits) meet in one shard
         shard = textbuf.mix((k >> self.group) + U(1)) % U(self.shards)
         order = np.argsort(shard, kind="stable")
-        k, c = k[order], c[order]
+        k = k[order]
+        c = self.counts[0][order] if self.counted else None
         at = np.searchsorted(shard[order], np.arange(self.shards + 1, dtype=np.uint64))
         for i in np.flatnonzero(np.diff(at)):
             own = k[at[i] : at[i + 1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([self.kind], pa.int32()), pa.array([i], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([pack(np.diff(own, prepend=U(0)))], pa.binary()), pa.array([pack(c[at[i] : at[i + 1]]) if self.counted else None], pa.binary())],
+                [pa.array([self.kind], pa.int32()), pa.array([i], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([pack(np.diff(own, prepend=U(0)))], pa.binary()), pa.array([pack(c[at[i] : at[i + 1]]) if c is not None else None], pa.binary())],
                 names=["kind", "shard", "n", "keys", "counts"],
             )
         self.keys, self.counts, self.n = [], [], 0
@@ -140,6 +153,7 @@ def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.int64))], names=["kind", "key", "n"])
 
 
+@textbuf.lean
 def merge_batches(it: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
     """Blocks in the order of (kind, shard) to what ``finish`` makes of each shard's sums."""
     now, held = None, []
@@ -187,6 +201,7 @@ def tokens(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return textbuf.span_hash(textbuf.prefix(data, textbuf.BYTE_LOWER), s, e), first
 
 
+@textbuf.lean
 def word_batches(it: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     blocks = Blocks(WORD, shards, 0, True)
     for batch in it:
@@ -237,6 +252,7 @@ class Vocabulary:
         return at, before[at].astype(np.uint64) * U(self.size) + w.astype(np.uint64)
 
 
+@textbuf.lean
 def pair_batches(it: Iterator[pa.RecordBatch], vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
     """Blocks of (word, word before) and of (pair, word before it), each key once a task."""
     v = vocabulary.value
@@ -421,6 +437,7 @@ def base_counts(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     return n_words, word_chars, n_symbols, n_dup, n_rep
 
 
+@textbuf.lean
 def score_batches(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """(doc_id, lang, text) to the counts and the log perplexity."""
     m: Model = model.value

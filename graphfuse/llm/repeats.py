@@ -91,6 +91,7 @@ def anchors(off: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, n
     return doc, p - off[doc], name[p], around
 
 
+@textbuf.lean
 def anchor_batches(it: Iterator[pa.RecordBatch], size: int, full: bool) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text) to one row an anchor: its name, and if ``full`` its surroundings and place."""
     for batch in it:
@@ -118,6 +119,7 @@ def _same(batch: pa.RecordBatch, i: int, n: int) -> list[pa.Array]:
     return [pa.repeat(batch.column(k)[i], n) for k in (0, 1)]
 
 
+@textbuf.lean
 def cell_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text, pos list) to (k1, k2, cell, name): cells by the bytes that its windows share."""
     for batch in it:
@@ -136,6 +138,7 @@ def cell_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             )
 
 
+@textbuf.lean
 def window_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text, cell list) to (k1, k2, start, n1, n2) for the windows of those cells."""
     half = size // 2
@@ -166,6 +169,7 @@ def strip(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return ~gone, edge.reshape(-1, 2)
 
 
+@textbuf.lean
 def strip_batches(it: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, lo list, hi list) to the digest, or to the remaining text and the removed runs."""
     for batch in it:

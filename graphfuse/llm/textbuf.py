@@ -9,7 +9,9 @@ Memory is bounded by cutting a batch into runs of documents of ``RUN_BYTES``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,31 +42,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _B)
 BYTE_LOWER = BYTE[LOWER]
 
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``B**i`` and ``B**-i`` modulo 2**64 for i <= n."""
-    global _pow, _inv
-    if len(_pow) <= n:
-        size = max(n + 1, RUN_BYTES + 1)
-        with np.errstate(over="ignore"):
-            a = np.full(size, _B)
-            a[0] = 1
-            b = np.full(size, _BINV)
-            b[0] = 1
-            _pow, _inv = np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
-    return _pow, _inv
-
-
 #: The second fingerprint works modulo this prime; a polynomial modulo 2**64 alone has strings that always collide.
 PRIME = (1 << 31) - 1
 _B2 = 1_220_703_125
 _byte2 = mix(np.arange(1001, 1257, dtype=np.uint64)) % _U(PRIME)
 _byte2_lower = _byte2[LOWER]
-_pow2 = np.ones(1, np.uint64)
-_inv2 = np.ones(1, np.uint64)
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
@@ -72,23 +54,52 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return (x & _U(PRIME)) + (x >> _U(31))
 
 
-def _table2(base: int, size: int) -> np.ndarray:
-    out = np.ones(size, np.uint64)
-    have = 1
-    while have < size:
-        more = min(have, size - have)
-        out[have : have + more] = out[:more] * _U(pow(base, have, PRIME)) % _U(PRIME)
-        have += more
-    return out
+class _Powers:
+    """Powers of a base by a table of LOW of them and one of every LOW-th, so that long texts need no long tables."""
 
+    LOW = 1 << 16
+
+    def __init__(self, base: int, modulus: int):
+        self.base, self.modulus = base, modulus
+        self.low = self._table(base, self.LOW)
+        self.high = np.ones(1, np.uint64)
+
+    def _table(self, base: int, size: int) -> np.ndarray:
+        out = np.ones(size, np.uint64)
+        have = 1
+        while have < size:
+            more = min(have, size - have)
+            out[have : have + more] = self._times(out[:more], _U(pow(base, have, self.modulus)))
+            have += more
+        return out
+
+    def _times(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return a * b if self.modulus == 1 << 64 else a * b % _U(PRIME)
 
-def powers2(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the second base and of its inverse modulo PRIME for i <= n."""
-    global _pow2, _inv2
-    if len(_pow2) <= n:
-        size = max(n + 1, RUN_BYTES + 1)
-        _pow2, _inv2 = _table2(_B2, size), _table2(pow(_B2, -1, PRIME), size)
-    return _pow2, _inv2
+    def block(self, k: int) -> np.ndarray:
+        """The powers k * LOW to (k + 1) * LOW."""
+        if not k:
+            return self.low
+        self._reach(k)
+        return self._times(self.low, self.high[k])
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        top = int(i.max()) >> 16
+        if not top:
+            return self.low[i]
+        self._reach(top)
+        return self._times(self.low[i & (self.LOW - 1)], self.high[i >> 16])
+
+    def _reach(self, k: int) -> None:
+        if len(self.high) <= k:
+            self.high = self._table(pow(self.base, self.LOW, self.modulus), max(k + 1, 64))
+
+
+_POW, _INV = (_Powers(b, 1 << 64) for b in (0x9E3779B97F4A7C15, int(_BINV)))
+_POW2, _INV2 = (_Powers(b, PRIME) for b in (_B2, pow(_B2, -1, PRIME)))
 
 
 def prefix(data: np.ndarray, table: np.ndarray = BYTE, sure: bool = True) -> np.ndarray:
@@ -97,30 +108,46 @@ def prefix(data: np.ndarray, table: np.ndarray = BYTE, sure: bool = True) -> np.
     One row is enough for strings under a thousand bytes.
     """
     n = len(data)
-    p, _ = powers(n)
     c = np.zeros((2 if sure else 1, n + 1), np.uint64)
+    table2 = _byte2_lower if table is BYTE_LOWER else _byte2
     with np.errstate(over="ignore"):
-        np.cumsum(table[data] * p[:n], out=c[0, 1:])
-    if not sure:
-        return c[0]
-    p2, _ = powers2(n)
-    np.cumsum(_fold((_byte2_lower if table is BYTE_LOWER else _byte2)[data] * p2[:n]), out=c[1, 1:])
-    return c
+        for k, lo in enumerate(range(0, n, _Powers.LOW)):
+            part = data[lo : lo + _Powers.LOW]
+            own = slice(lo + 1, lo + 1 + len(part))
+            np.cumsum(table[part] * _POW.block(k)[: len(part)], out=c[0, own])
+            c[0, own] += c[0, lo]
+            if sure:
+                np.cumsum(_fold(table2[part] * _POW2.block(k)[: len(part)]), out=c[1, own])
+                c[1, own] += c[1, lo]
+    return c if sure else c[0]
 
 
 def span_hash(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Fingerprints of data[s:e], equal for equal bytes wherever they stand."""
-    _, inv = powers(c.shape[-1] - 1)
     one = c if c.ndim == 1 else c[0]
     with np.errstate(over="ignore"):
-        h = mix((one[e] - one[s]) * inv[s] + (e - s).astype(np.uint64) * _U(0xA24BAED4963EE407))
+        h = mix((one[e] - one[s]) * _INV.at(s) + (e - s).astype(np.uint64) * _U(0xA24BAED4963EE407))
         if c.ndim == 1:
             return h
-        _, inv2 = powers2(c.shape[-1] - 1)
-        two = (c[1][e] - c[1][s]) % _U(PRIME) * inv2[s] % _U(PRIME)
+        two = (c[1][e] - c[1][s]) % _U(PRIME) * _INV2.at(s) % _U(PRIME)
         return mix(h ^ two * _U(0x9FB21C651E98DF25))
 
 
+def lean(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A batch function whose worker gives free memory back at its end; workers outlive their tasks."""
+
+    @functools.wraps(f)
+    def run(*args, **kw) -> Iterator[pa.RecordBatch]:
+        yield from f(*args, **kw)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets (n + 1, from 0) and bytes of a string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):
