@@ -439,7 +439,7 @@ def base_counts(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 @textbuf.lean
 def score_batches(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """(doc_id, lang, text) to the counts and the log perplexity."""
+    """(doc_id, lang, text, …) to the counts and the log perplexity; further columns pass through."""
     m: Model = model.value
     for batch in it:
         for lo, hi, off, data in textbuf.runs(batch.column(2), 1 << 19):
@@ -448,8 +448,8 @@ def score_batches(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             n = np.diff(first)
             ppl = -by_document(m.log_probs(word, before), first) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(np.asarray(x, np.int64)) for x in counts), pa.array(np.where(n > 0, ppl, np.nan))],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
+                [*(batch.column(k).slice(lo, hi - lo) for k in (0, 1, *range(3, batch.num_columns))), *(pa.array(np.asarray(x, np.int64)) for x in counts), pa.array(np.where(n > 0, ppl, np.nan))],
+                names=["doc_id", "lang", *batch.schema.names[3:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
             )
 
 
@@ -476,7 +476,7 @@ def bands(scored: DataFrame, below: float, above: float, least_width: float) ->
     return q.select("lang", (F.col("q1") - width(below)).alias("low"), (F.col("q3") + width(above)).alias("high"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, below: float = 8.0, above: float = 2.0, least_width: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, below: float = 8.0, above: float = 2.0, least_width: float = 0.3, with_rows: bool = False) -> DataFrame:
     """Counts, perplexity and verdict of every document of (doc_id, text, lang).
 
     The band of a language reaches from ``below`` quartile distances under the
@@ -486,25 +486,29 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     near copies share is easier to foretell, and which copy stays isn't for this
     rule to say.  A null language has a band
     of its own, apart from any that is named.  Null and empty texts have no words
-    and fail the counting rules.  One row a row of ``docs``.
+    and fail the counting rules.  One row a row of ``docs``; with_rows adds own, a
+    struct of all columns of docs.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "quality")
     model = spark.sparkContext.broadcast(train(docs, scratch))  # at most 1 / LEAST words and pairs
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "lang", "text").mapInArrow(
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")] if with_rows else []
+    rows = docs.select("doc_id", "lang", "text", *own)
+    passed = f"own {rows.schema['own'].dataType.simpleString()}, " if with_rows else ""
+    scored = rows.mapInArrow(
         lambda it: score_batches(it, model),
-        f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double",
+        f"doc_id {kind}, lang string, {passed}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double",
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = scratch.save(scored.withColumn("base_failed", failed), "scored")
-    own = scratch.save(bands(scored.filter(~F.col("base_failed")), below, above, least_width), "bands").withColumnRenamed("lang", "_lang")
-    if own.count() <= MOST_BANDS:  # one small row a language
-        own = F.broadcast(own)
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    limits = scratch.save(bands(scored.filter(~F.col("base_failed")), below, above, least_width), "bands").withColumnRenamed("lang", "_lang")
+    if limits.count() <= MOST_BANDS:  # one small row a language
+        limits = F.broadcast(limits)
+    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.coalesce(kept, F.lit(False)).alias("kept"), "log_perplexity", "low", "high",
+        F.coalesce(kept, F.lit(False)).alias("kept"), "log_perplexity", "low", "high", *(["own"] if with_rows else []),
     )
