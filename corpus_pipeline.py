@@ -14,20 +14,23 @@ from graphfuse.llm import decontaminate, near_dup, packing, quality_rules, repea
 from graphfuse.llm.cluster import Scratch
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id, null included, is among ``ids``."""
-    d, i = docs.alias("d"), ids.select(F.col("doc_id").alias("kept_id")).alias("i")
-    return d.join(i, F.col("d.doc_id").eqNullSafe(F.col("i.kept_id")), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counting rules or the perplexity band reject go."""
-    return _only(docs, quality_rules.quality_rules(docs).filter("kept"))
+    """Documents that the counting rules or the perplexity band reject go; rows stay where they are."""
+    kept = quality_rules.quality_rules(docs, with_rows=True).filter("kept")
+    return kept.select(*[F.col(f"own.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each linked group stays, a repeated row once."""
-    return _only(docs, near_dup.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
+    """The document of the smallest id of each linked group stays, a repeated row once.
+
+    Rows without an id stay where one of them is its group's smallest.
+    """
+    ids = near_dup.near_duplicates(docs).filter("kept").select("doc_id")
+    ids = Scratch(spark, "kept").save(ids.distinct(), "ids")
+    known = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi")
+    if not ids.filter("doc_id is null").isEmpty():
+        known = known.unionByName(docs.filter("doc_id is null"))
+    return known.select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
