@@ -3,33 +3,43 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ask as asking
 from . import ingest as ingesting
 from . import providers, security
-from .functions import jsonx, stem, text, vector
+from .functions import jsonx, onnx, stem, text, vector
 from .operators import fusion, lanes
 from .operators import tables as T
-from .schema import DEFAULT_BUDGET, TABLES, InvalidConfig, NamespaceNotFound, ProviderNotFound, Settings, profile_concurrency
+from .schema import DEFAULT_BUDGET, TABLES, Conflict, InvalidConfig, NamespaceNotFound, ProviderNotFound, Settings, profile_concurrency
 from .sources import files, fixture
 from .sources.store import Store
 from .streaming import jobs
 
 
+#: Jobs that a worker claims at once.
+JOBS_AT_ONCE = 64
+
+
 class Engine:
     """Retrieval, ingest and administration over a store of Parquet tables.
 
-    Providers and their credentials stay on the driver and are never stored in
-    tables; a credential is decrypted at the moment of use.
+    Providers are rows of the store.  A credential is stored encrypted if there is
+    a master key, and is decrypted at the moment of use; without a key it stays
+    with this driver and is never stored.
     """
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), master_key: bytes | None = None):
         self.spark, self.store, self.settings = spark, Store(spark, path), settings
         self._key = master_key
-        self._providers: dict[str, dict] = {}
+        self._secrets: dict[str, str] = {}
         self._path = path.rstrip("/")
         if not self.store.versions():
             self.store.commit(replace={"namespaces": self._namespace_rows("default")})
@@ -63,24 +73,68 @@ class Engine:
     # providers
 
     def provider_create(self, name: str, provider: str, kind: str = "llm", model: str | None = None, base_url: str | None = None, credential: str | None = None) -> None:
+        """kind ``llm``, or ``embedding`` (``hash``, or ``onnx`` with the model's path as model and the tokeniser's as base_url)."""
         if kind not in ("llm", "embedding"):
             raise InvalidConfig("a provider is of kind llm or embedding")
+        if kind == "embedding" and provider not in ("hash", "onnx"):
+            raise InvalidConfig(f"unknown embedding provider {provider!r}; known: hash, onnx")
+        self._secrets.pop(name, None)
         if credential and self._key:
             credential = security.encrypt(self.spark, credential, self._key)
-        self._providers[name] = {"name": name, "kind": kind, "provider": provider, "model": model, "base_url": base_url, "credential": credential}
+        elif credential:
+            self._secrets[name], credential = credential, None
+        row = self.spark.createDataFrame([(name, kind, provider, model, base_url, credential)], TABLES["providers"])
+        self.store.commit(replace={"providers": T.upsert(self.store.read("providers"), row, ("name",), [])})
 
     def provider_drop(self, name: str) -> bool:
-        return self._providers.pop(name, None) is not None
+        known = self.store.read("providers")
+        if known.filter(F.col("name") == name).isEmpty():
+            return False
+        self._secrets.pop(name, None)
+        self.store.commit(replace={"providers": known.filter(F.col("name") != name)})
+        return True
+
+    def _provider_rows(self) -> list[dict]:
+        rows = [r.asDict() for r in self.store.read("providers").orderBy("name").collect()]
+        return [p | {"credential": p["credential"] or self._secrets.get(p["name"])} for p in rows]
 
     def provider_list(self) -> list[dict]:
         shown = lambda c: None if c is None else security.redact(c)
-        return [p | {"credential": shown(p["credential"])} for _, p in sorted(self._providers.items())]
+        return [p | {"credential": shown(p["credential"])} for p in self._provider_rows()]
 
-    def _provider(self, name: str) -> providers.Provider:
-        if name not in self._providers:
+    def _provider(self, explicit: str | None, ns: dict | None) -> providers.Provider:
+        rows = self._provider_rows()
+        name = providers.resolve(explicit, ns and ns["llm_provider"], rows)
+        row = next((p for p in rows if p["name"] == name), None)
+        if row is None:
             raise ProviderNotFound(name)
         key = self._key
-        return providers.build(self._providers[name], (lambda t: security.decrypt(self.spark, t, key)) if key else None)
+        return providers.build(row, (lambda t: security.decrypt(self.spark, t, key)) if key else None)
+
+    def _extractor(self, ns: dict | None) -> providers.Provider:
+        """The namespace's provider, or one that extracts nothing where there is none."""
+        try:
+            return self._provider(None, ns)
+        except ProviderNotFound:
+            return providers.Mock()
+
+    def _embedder(self, ns: dict | None) -> Callable[[str], Column]:
+        """What makes vectors in a namespace: its setting ``embedding_provider``, else the hash embedding."""
+        dim = self.settings.embed_dim
+        name = json.loads(ns["settings"] or "{}").get("embedding_provider") if ns else None
+        if name is None:
+            return lambda c: vector.hash_embed(c, dim)
+        row = next((p for p in self._provider_rows() if p["name"] == name and p["kind"] == "embedding"), None)
+        if row is None:
+            raise ProviderNotFound(name)
+        if row["provider"] == "hash":
+            return lambda c: vector.hash_embed(c, dim)
+        return lambda c: onnx.onnx_embed(c, row["model"], row["base_url"], dim)
+
+    def _settings(self, ns: dict | None) -> Settings:
+        """The engine's settings with the namespace's ingest profile."""
+        profile = json.loads(ns["settings"] or "{}").get("ingest_profile") if ns else None
+        return self.settings if profile is None else replace(self.settings, extract_concurrency=profile_concurrency(profile))
 
     # ingest
 
@@ -99,24 +153,19 @@ class Engine:
         bad = sources.filter("error is not null").select("source", "error").first()
         if bad:
             raise InvalidConfig(f"{bad['source']}: {bad['error']}")
-        try:
-            provider = self._provider(providers.resolve(None, ns and ns["llm_provider"], list(self._providers.values())))
-        except ProviderNotFound:
-            provider = providers.Mock()
         rows = sources.withColumns({"namespace": F.lit(namespace), "seq": F.xxhash64("source")}).drop("content", "error")
-        shared = self._saver()
-        add = ingesting.plan(self.spark, rows, self.store.tables(), strategy, provider, self.settings, shared)
+        save = self._saver()
+        add = ingesting.plan(self.spark, rows, self.store.tables(), strategy, self._extractor(ns), self._settings(ns), save, self._embedder(ns))
+        none = [r[0] for r in add.pop("empty").select("source").limit(10).collect()]
+        if none:
+            raise InvalidConfig(f"no chunks came from the content of {', '.join(none)}")
         if add["documents"].isEmpty():
             return "skipped"
-        if add["chunks"].isEmpty():
-            raise InvalidConfig("no chunks came from the content")
         self.store.commit(add=self._indexed(add), batch=batch)
         return "completed"
 
     def _saver(self):
         """Cuts lineage by a table in the store's own folder."""
-        import uuid
-
         top = f"{self._path}/_tmp/{uuid.uuid4().hex}"
         n = iter(range(1_000_000))
 
@@ -159,7 +208,7 @@ class Engine:
 
     def query(self, q: str, filter: dict | str | None = None, top_k: int = 10, namespace: str = "default", hops: int = 1, weights: dict | None = None, mode: str = "hybrid") -> DataFrame:
         """(chunk_id, document_id, text, score, signals) for one question."""
-        one = self.spark.createDataFrame([(0, q, namespace)], "query_id int, q string, namespace string").withColumn("q_emb", vector.hash_embed("q", self.settings.embed_dim))
+        one = self.spark.createDataFrame([(0, q, namespace)], "query_id int, q string, namespace string").withColumn("q_emb", self._embedder(self._namespace(namespace))("q"))
         return self.query_batch(one, filter, top_k, hops, weights, mode).drop("query_id")
 
     def query_batch(self, queries: DataFrame, filter: dict | str | None = None, top_k: int = 10, hops: int = 1, weights: dict | None = None, mode: str = "hybrid", batch: bool = False) -> DataFrame:
@@ -169,7 +218,7 @@ class Engine:
     def ask(self, q: str, filter: dict | str | None = None, top_k: int = 10, namespace: str = "default", hops: int = 1, llm_provider: str | None = None) -> dict:
         """{answer, citations, signals, mode_used}; without any provider an error."""
         ns = self._namespace(namespace)
-        provider = self._provider(providers.resolve(llm_provider, ns and ns["llm_provider"], list(self._providers.values())))
+        provider = self._provider(llm_provider, ns)
         hits = self.query(q, filter, top_k, namespace, hops).join(self.store.read("chunks").select(F.col("id").alias("chunk_id"), "token_count"), "chunk_id")
         rows = [r.asDict() for r in hits.orderBy(F.col("score").desc(), "chunk_id").collect()]
         told = json.loads(ns["settings"] or "{}").get("ask_token_budget") if ns else None
@@ -178,41 +227,96 @@ class Engine:
     # jobs
 
     def enqueue(self, rows: DataFrame) -> None:
-        jobs.enqueue(rows, f"{self._path}/_queue")
+        """Put jobs (id, source, namespace, chunk_strategy, payload, enqueued_at) in the queue."""
+        self.store.commit(add={"ingest_jobs": jobs.queued(rows, F.current_timestamp())})
 
     def submit(self, source: str, content: str | bytes | None = None, namespace: str = "default", strategy: str | None = None) -> str:
         """Put one job in the queue and return its id; without content the source is a path."""
-        import uuid
-
         job = str(uuid.uuid4())
         raw = None if content is None else bytearray(content.encode() if isinstance(content, str) else content)
-        one = self.spark.createDataFrame([(job, source, namespace, strategy, raw)], "id string, source string, namespace string, chunk_strategy string, payload binary")
-        self.enqueue(one.withColumn("enqueued_at", F.current_timestamp()))
+        self.enqueue(self.spark.createDataFrame([(job, source, namespace, strategy, raw)], "id string, source string, namespace string, chunk_strategy string, payload binary"))
         return job
 
-    def run_queue(self) -> None:
-        """Work off what is queued, each job once; a batch's changes are one commit."""
+    def take_in(self, folder: str, once: bool = True):
+        """Queue the jobs of files dropped into a folder, each file once; returns the stream unless ``once``."""
 
         def handle(batch: DataFrame, batch_id: int) -> None:
-            tag = f"queue-{batch_id}"
-            if tag in self.store.manifest()["batches"]:
-                return
-            now = F.current_timestamp()
-            save = self._saver()
-            claimed = save(claim_all(batch, now))
-            src = save(self._with_files(jobs.to_sources(claimed)))
-            ok = src.filter("error is null and text is not null").withColumn("seq", F.unix_micros("seq"))
-            add: dict[str, DataFrame] = {}
-            for strategy in sorted(r[0] for r in ok.select("chunk_strategy").distinct().collect()):
-                part = ok.filter(F.col("chunk_strategy") == strategy).select("namespace", "source", "text", "seq")
-                held = {t: df if t not in add else df.unionByName(add[t].select(*df.columns) if set(df.columns) <= set(add[t].columns) else _as(add[t], df)) for t, df in self.store.tables().items()}
-                more = self._indexed(ingesting.plan(self.spark, part, held, strategy, None, self.settings, save))
-                add = {t: save(_as(df, self.store.read(t))) if t not in add else add[t].unionByName(save(_as(df, self.store.read(t)))) for t, df in more.items()}
-            failed = src.select("id", F.coalesce("error", F.when(F.col("text").isNull(), F.lit("no content"))).alias("why"))
-            done = jobs.finish(claimed.drop("error").join(failed, "id"), now, F.col("why")).drop("why")
-            self.store.commit(add={**add, "ingest_jobs": done}, batch=tag)
-
-        jobs.worker(self.spark, f"{self._path}/_queue", f"{self._path}/_queue_checkpoint", handle).awaitTermination()
+            self.store.commit(add={"ingest_jobs": jobs.queued(batch, F.current_timestamp())}, batch=f"{folder} {batch_id}")
+
+        stream = jobs.worker(self.spark, folder, f"{self._path}/_intake/{uuid.uuid5(uuid.NAMESPACE_URL, folder)}", handle, once)
+        if once:
+            stream.awaitTermination()
+        return None if once else stream
+
+    def claim(self, most: int = JOBS_AT_ONCE) -> DataFrame | None:
+        """Set the oldest queued jobs running, for this worker alone; None if there are none."""
+        while True:
+            version = self.store.versions()[-1]
+            log = jobs.latest(self.store.read("ingest_jobs", version))
+            got = self._saver()(jobs.claim(log, F.current_timestamp(), most))
+            if got.isEmpty():
+                return None
+            try:
+                self.store.commit(add={"ingest_jobs": got}, expect=version)
+                return got
+            except Conflict:
+                continue
+
+    def run_queue(self, most: int = JOBS_AT_ONCE) -> int:
+        """Work off what is queued, stale jobs of lost workers too; returns the number of jobs."""
+        done = 0
+        self.reap()
+        while (claimed := self.claim(most)) is not None:
+            self._work(claimed)
+            done += claimed.count()
+        return done
+
+    def serve(self, stop: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep) -> None:
+        """Work until ``stop`` says so: poll, back off while idle, and reap now and then."""
+        idle, reaped = 0, 0.0
+        while not stop():
+            if time.monotonic() - reaped >= self.settings.job_reaper_interval:
+                self.reap()
+                reaped = time.monotonic()
+            claimed = self.claim()
+            if claimed is None:
+                sleep(jobs.backoff(idle))
+                idle += 1
+                continue
+            idle = 0
+            self._work(claimed)
+
+    def _work(self, claimed: DataFrame) -> None:
+        """Ingest claimed jobs; their rows and their final states are one commit.
+
+        Jobs of one namespace and strategy go together, with that namespace's
+        providers and profile; if they fail they fail together, and nothing of
+        theirs is added.
+        """
+        save = self._saver()
+        src = save(self._with_files(jobs.to_sources(claimed)))
+        ok = src.filter("error is null and text is not null").withColumn("seq", F.unix_micros("seq"))
+        add: dict[str, list[DataFrame]] = {}
+        failed = [src.select("id", F.coalesce("error", F.when(F.col("text").isNull(), F.lit("no content"))).alias("why")).filter("why is not null")]
+        stored = self.store.tables()
+        for namespace, strategy in sorted(map(tuple, ok.select("namespace", "chunk_strategy").distinct().collect())):
+            own = ok.filter((F.col("namespace") == namespace) & (F.col("chunk_strategy") == strategy))
+            held = {t: reduce(DataFrame.unionByName, [df, *add.get(t, [])]) for t, df in stored.items()}
+            try:
+                ns = self._namespace(namespace)
+                more = ingesting.plan(self.spark, own.select("namespace", "source", "text", "seq"), held, strategy, self._extractor(ns), self._settings(ns), save, self._embedder(ns))
+                empty = more.pop("empty").select("content_hash")
+                more = {t: save(_as(df, stored[t])) for t, df in self._indexed(more).items()}
+            except Exception as e:  # a provider's or a setting's fault is these jobs' error, not the worker's
+                failed.append(save(own.select("id", F.lit(f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"[:500]).alias("why"))))
+                continue
+            hashed = own.select("id", text.content_hash("text").alias("content_hash"))
+            failed.append(hashed.join(empty, "content_hash", "left_semi").select("id", F.lit("no chunks came from the content").alias("why")))
+            for t, df in more.items():
+                add.setdefault(t, []).append(df)
+        why = reduce(DataFrame.unionByName, failed)
+        done = jobs.finish(claimed.drop("error").join(why, "id", "left"), F.current_timestamp(), F.col("why")).drop("why")
+        self.store.commit(add={**{t: reduce(DataFrame.unionByName, dfs) for t, dfs in add.items()}, "ingest_jobs": done})
 
     def _with_files(self, src: DataFrame) -> DataFrame:
         """Texts of the jobs that name a path; a path that isn't there is an error."""
@@ -256,13 +360,6 @@ class Engine:
         return jobs.health(jobs.latest(self.store.read("ingest_jobs")), self.settings)
 
 
-def claim_all(batch: DataFrame, now) -> DataFrame:
-    """Every job of a micro-batch, running, with the columns of the job table."""
-    have = set(batch.columns)
-    whole = batch.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["ingest_jobs"]])
-    return whole.withColumns({"status": F.lit("running"), "attempt_count": F.coalesce("attempt_count", F.lit(0)) + 1, "started_at": now, "updated_at": now})
-
-
 def _as(df: DataFrame, like: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])

@@ -24,6 +24,7 @@ TABLES: dict[str, T.StructType] = {
     "relationships": _table(id=_S, namespace=_S, src_id=_S, dst_id=_S, kind=_S, description=_S, weight=_D),
     "chunk_entities": _table(chunk_id=_S, entity_id=_S, confidence=_D, classification=_S),
     "postings": _table(namespace=_S, lexeme=_S, chunk_id=_S, tf=_L, positions=T.ArrayType(_I)),
+    "providers": _table(name=_S, kind=_S, provider=_S, model=_S, base_url=_S, credential=_S),
     "ingest_jobs": _table(
         id=_S, status=_S, source=_S, namespace=_S, chunk_strategy=_S, error=_S, attempt_count=_I, payload=T.BinaryType(),
         enqueued_at=_TS, started_at=_TS, finished_at=_TS, updated_at=_TS,
@@ -36,6 +37,7 @@ SORTED: dict[str, tuple[str, ...]] = {"postings": ("namespace", "lexeme"), "chun
 #: Columns that a table may hold only once; null parts never conflict.
 UNIQUE: dict[str, tuple[str, ...]] = {
     "namespaces": ("name",),
+    "providers": ("name",),
     "documents": ("namespace", "content_hash"),
     "chunks": ("document_id", "ord"),
     "entities": ("namespace", "name", "kind"),
@@ -98,6 +100,10 @@ class InvalidConfig(CoreError):
     pass
 
 
+class Conflict(CoreError):
+    """Another writer published first."""
+
+
 class CryptoError(CoreError):
     pass
 

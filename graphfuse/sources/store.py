@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import SORTED, TABLES
+from ..schema import SORTED, TABLES, Conflict
 
 
 class Store:
@@ -31,10 +31,10 @@ class Store:
 
     def manifest(self, version: int | None = None) -> dict:
         """{"tables": {name: [paths]}, "batches": [ids]} of a version, by default the newest."""
-        known = self.versions()
-        if not known:
+        version = (self.versions() or [0])[-1] if version is None else version
+        if not version:
             return {"tables": {}, "batches": []}
-        text = self.spark.read.text(f"{self.path}/_manifests/{(version or known[-1]):012d}.json", wholetext=True).first()[0]
+        text = self.spark.read.text(f"{self.path}/_manifests/{version:012d}.json", wholetext=True).first()[0]
         return json.loads(text)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
@@ -45,16 +45,19 @@ class Store:
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in TABLES}
 
-    def commit(self, add: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, batch: str | None = None) -> int:
+    def commit(self, add: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, batch: str | None = None, expect: int | None = None) -> int:
         """Publish rows to add and tables to replace; a batch id that was committed adds nothing.
 
-        Two writers at once: the second rename fails and its commit with it.
+        Of two writers at once the second finds its version taken.  A commit that only
+        adds then follows the other with the files it has staged; one that replaces a
+        table, or that ``expect``s a version, is a Conflict and changes nothing.
         """
-        now = self.manifest()
+        before = (self.versions() or [0])[-1] if expect is None else expect
+        now = self.manifest(before)
         if batch is not None and batch in now["batches"]:
-            return self.versions()[-1]
+            return before
         name = f"_data/{uuid.uuid4().hex}"
-        tables = dict(now["tables"])
+        staged: list[tuple[bool, str]] = []
         for keep, frames in ((True, add or {}), (False, replace or {})):
             for t, df in frames.items():
                 schema = TABLES[t]
@@ -63,10 +66,27 @@ class Store:
                 if t in SORTED:
                     whole = whole.repartitionByRange(*SORTED[t]).sortWithinPartitions(*SORTED[t])
                 whole.write.parquet(f"{self.path}/{name}/{t}")
+                staged.append((keep, t))
+        while True:
+            tables = dict(now["tables"])
+            for keep, t in staged:
                 tables[t] = [*(tables.get(t, []) if keep else []), f"{name}/{t}"]
-        version = (self.versions() or [0])[-1] + 1
-        self._publish(version, {"tables": tables, "batches": [*now["batches"], *([batch] if batch else [])]})
-        return version
+            try:
+                self._publish(before + 1, {"tables": tables, "batches": [*now["batches"], *([batch] if batch else [])]})
+                return before + 1
+            except Conflict:
+                if expect is not None or replace:
+                    raise
+                before = self.versions()[-1]
+                now = self.manifest(before)
+                if batch is not None and batch in now["batches"]:
+                    return before
+
+    def compact(self) -> int:
+        """Rewrite every table that has many parts as one; rows stay as they are."""
+        before = (self.versions() or [0])[-1]
+        parts = self.manifest(before)["tables"]
+        return self.commit(replace={t: self.read(t, before) for t, p in parts.items() if len(p) > 1}, expect=before)
 
     def _publish(self, version: int, manifest: dict) -> None:
         staged = self._Path(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
@@ -76,4 +96,4 @@ class Store:
         final = self._Path(f"{self.path}/_manifests/{version:012d}.json")
         if self._fs.exists(final) or not self._fs.rename(staged, final):
             self._fs.delete(staged, False)
-            raise RuntimeError(f"version {version} was published by another writer")
+            raise Conflict(f"version {version} was published by another writer")

@@ -1,9 +1,12 @@
-"""Ingest jobs: a log of state changes, a streaming worker, the reaper, status and health.
+"""Ingest jobs: a log of state changes, claims, the reaper, status and health, and a folder intake.
 
-The queue is a folder of job files read as a stream.  The stream's checkpoint
-takes the place of row locks: each file is claimed by exactly one micro-batch,
-and a batch that is replayed after a crash carries the same id, which the
-store's manifest knows.
+The queue is the log of states in the store's job table; a job's newest row is
+its state.  A claim is a commit that expects the version it was read from, so of
+two workers that want the same jobs one has to look again.
+
+Jobs may also be dropped as files into a folder, which is read as a stream: the
+stream's checkpoint sees to it that each file is taken in once, and a batch that
+is replayed after a crash carries the same id, which the store's manifest knows.
 """
 
 from __future__ import annotations
@@ -86,17 +89,23 @@ def backoff(idle: int) -> int:
 
 
 def enqueue(rows: DataFrame, queue: str) -> None:
-    """Append jobs to the queue folder; nothing else is done here."""
+    """Append jobs to an intake folder; nothing else is done here."""
     spark = rows.sparkSession
     want = spark.createDataFrame([], JOB_SCHEMA).schema
     have = set(rows.columns)
     rows.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").parquet(queue)
 
 
+def queued(rows: DataFrame, now: Column) -> DataFrame:
+    """New jobs as they enter the log."""
+    at = F.coalesce(F.col("enqueued_at"), now) if "enqueued_at" in rows.columns else now
+    return rows.withColumns({"status": F.lit(Status.QUEUED.value), "attempt_count": F.lit(0), "enqueued_at": at, "updated_at": now})
+
+
 def worker(spark: SparkSession, queue: str, checkpoint: str, handle: Callable[[DataFrame, int], None], once: bool = True, every: str = "1 second", files_a_batch: int = 8) -> StreamingQuery:
-    """Start a worker: ``handle(jobs, batch_id)`` gets each micro-batch of claimed jobs.
+    """Start the intake of a folder: ``handle(jobs, batch_id)`` gets each micro-batch of job files.
 
-    once: take what is queued and stop; else poll.
+    once: take what is there and stop; else poll.
     """
     stream = spark.readStream.schema(JOB_SCHEMA).option("maxFilesPerTrigger", files_a_batch).parquet(queue)
     out = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -72,6 +72,9 @@ def test_failure_leaves_nothing(engine, monkeypatch):
     with pytest.raises(Exception, match="no service"):
         engine.ingest_text("a", "Some text.")
     assert engine.store.read("documents").count() == 0
+    job = engine.submit("a", "Some text.")
+    assert engine.run_queue() == 1
+    assert engine.status(job).first().status == "failed" and engine.store.read("documents").count() == 0
 
 
 def test_commit_is_atomic_and_batches_are_idempotent(engine, spark):
@@ -140,6 +143,111 @@ def test_queue_runs_each_job_once(engine, spark):
     assert engine.store.read("documents").count() == 50
 
 
+def test_queue_states_are_seen_and_stale_jobs_run_again(spark, tmp_path):
+    """Submit, claim, lose the worker, reap, run: every state stands in the store, also for another engine on it."""
+    path = f"file://{tmp_path}/store"
+    engine = Engine(spark, path, Settings(embed_dim=64, job_reaper_interval=10))
+    engine.provider_create("x", "mock-extractor")
+    engine.namespace_create("n", "x", {"ingest_profile": "max"})
+    a, b = engine.submit("a", "Alice knows Bob.", "n"), engine.submit("b", "   ", "n")
+    other = Engine(spark, path, Settings(embed_dim=64, job_reaper_interval=10))
+    states = lambda: dict(map(tuple, other.status().collect()))
+    assert states()["queued"] == 2 and other.health().first().queue_depth == 2 and other.status(a).first().status == "queued"
+    assert [r.id for r in engine.claim(1).collect()] == [a] and states()["running"] == 1
+    assert [r.id for r in other.claim(5).collect()] == [b] and engine.claim() is None
+    assert engine.run_queue() == 0  # both are another worker's
+    old = jobs.latest(engine.store.read("ingest_jobs")).withColumn("updated_at", F.col("updated_at") - F.expr("interval 1 hour"))
+    engine.store.commit(replace={"ingest_jobs": old})  # that worker was lost an hour ago
+    assert other.reap() == 2 and states()["queued"] == 2
+    assert other.run_queue() == 2
+    assert states() == {"queued": 0, "running": 0, "completed": 1, "failed": 1}
+    done = engine.status(a).first()
+    assert (done.status, done.attempt_count) == ("completed", 2) and engine.status(b).first().error == "no chunks came from the content"
+    # the queue extracts with the namespace's provider, known to every engine on the store
+    assert {r.name for r in engine.store.read("entities").collect()} == {"Alice", "Bob"}
+    assert [p["name"] for p in other.provider_list()] == ["x"] and other.provider_drop("x") and not engine.provider_drop("x")
+    assert other._settings(other._namespace("n")).extract_concurrency == 16
+    assert engine.store.compact() and states()["completed"] == 1
+
+
+def test_serving_backs_off_and_reaps(engine, monkeypatch):
+    monkeypatch.setattr(engine, "_work", lambda claimed: worked.extend(r.id for r in claimed.collect()))
+    worked, waits, jobs_in = [], [], iter([None, "late"])
+
+    def sleep(seconds):
+        waits.append(seconds)
+        if (name := next(jobs_in, None)) is not None:
+            engine.submit(name, "text")
+
+    first = engine.submit("first", "text")
+    engine.serve(stop=lambda: len(waits) >= 4, sleep=sleep)
+    assert worked[0] == first and len(worked) == 2 and waits == [1, 5, 1, 5]
+
+
+def test_two_writers(engine, spark):
+    from graphfuse.schema import Conflict
+
+    rows = spark.createDataFrame([("c", "e", 1.0, "x")], "chunk_id string, entity_id string, confidence double, classification string")
+    v = engine.store.versions()[-1]
+    plain, seen = engine.store._publish, []
+
+    def late(version, manifest):
+        if not seen:
+            seen.append(version)
+            plain(version, engine.store.manifest(v))  # another writer comes first
+        return plain(version, manifest)
+
+    engine.store._publish = late
+    assert engine.store.commit(add={"chunk_entities": rows}) == v + 2 and engine.store.read("chunk_entities").count() == 1
+    with pytest.raises(Conflict):
+        engine.store.commit(add={"chunk_entities": rows}, expect=v)
+    assert engine.store.read("chunk_entities").count() == 1
+
+
+def test_folder_intake(engine, spark, tmp_path):
+    folder = f"file://{tmp_path}/drop"
+    jobs.enqueue(spark.createDataFrame([("j1", "s", "default", bytearray(b"Dropped words."))], "id string, source string, namespace string, payload binary"), folder)
+    engine.take_in(folder)
+    engine.take_in(folder)
+    assert engine.run_queue() == 1 and engine.status("j1").first().status == "completed"
+
+
+def test_one_empty_file_is_an_error_of_its_own(engine, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Words here.")
+    (tmp_path / "in" / "b.txt").write_text(" \n")
+    with pytest.raises(InvalidConfig, match="b.txt"):
+        engine.ingest(str(tmp_path / "in"))
+    assert engine.store.read("documents").count() == 0
+
+
+def test_credentials_in_the_store(spark, tmp_path):
+    path, key = f"file://{tmp_path}/s", bytes(range(32))
+    Engine(spark, path, Settings(embed_dim=64), key).provider_create("o", "openai", model="m", credential="top-secret")
+    row = Engine(spark, path, Settings(embed_dim=64), key)._provider_rows()[0]
+    assert row["credential"].startswith("enc:") and Engine(spark, path, Settings(embed_dim=64), key)._provider("o", None)
+    plain = Engine(spark, f"{path}2", Settings(embed_dim=64))
+    plain.provider_create("o", "openai", model="m", credential="top-secret")
+    assert plain.store.read("providers").first().credential is None and plain.provider_list()[0]["credential"] == "top***"
+
+
+def test_embedding_provider(engine, monkeypatch):
+    from graphfuse.functions import onnx
+    from graphfuse.functions.vector import hash_embed
+
+    made = []
+    monkeypatch.setattr(onnx, "onnx_embed", lambda c, *a: made.append(a) or hash_embed(F.lower(c if not isinstance(c, str) else F.col(c)), 64))
+    engine.provider_create("e", "onnx", "embedding", model="/m.onnx", base_url="/t.json")
+    engine.namespace_create("v", settings={"embedding_provider": "e"})
+    engine.ingest_text("a", "SOME WORDS", "v")
+    assert ("/m.onnx", "/t.json", 64) in made
+    hit = engine.query("some words", namespace="v", mode="vector").first()
+    assert hit.text == "SOME WORDS"
+    engine.namespace_create("w", settings={"embedding_provider": "nobody"})
+    with pytest.raises(ProviderNotFound):
+        engine.ingest_text("a", "x", "w")
+
+
 def test_job_states(spark):
     t0 = datetime(2026, 1, 1)
     rows = [("a", "running", 1, t0, None), ("b", "running", 3, t0, None), ("c", "completed", 1, t0, None), ("d", "running", 1, t0 + timedelta(seconds=900), None)]
