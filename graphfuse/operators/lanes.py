@@ -71,11 +71,14 @@ def vector_lane_batch(chunks: DataFrame, queries: DataFrame, metadata_filter: st
     c = allowed(chunks, metadata_filter).select(F.col("id").alias("chunk_id"), "namespace", "embedding")
     id_type = c.schema["chunk_id"].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
-    rows = [(r["query_id"], r["namespace"], r["q_emb"]) for r in queries.select("query_id", "namespace", "q_emb").collect()]
+    q = queries.select("query_id", "namespace", "q_emb")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
     spark = chunks.sparkSession
     out = None
-    for k in range(0, max(len(rows), 1), QUERY_BLOCK):
-        shared = spark.sparkContext.broadcast(rows[k : k + QUERY_BLOCK])
+    for k in range(blocks):
+        # a block of queries comes to the driver at a time
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
         def score(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             by_ns: dict[str, tuple[list, np.ndarray]] = {}

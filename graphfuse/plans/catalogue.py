@@ -61,9 +61,13 @@ def vector_topk(spark, d):
     return _shown(lanes.vector_lane(B.chunks(spark, d), _one(spark, d)))
 
 
-@registered(_vector_sql("true", "true"))
+@registered(graph_sql("""
+, d AS (SELECT q.id AS query_id, c.id, CASE WHEN c.embedding IS NULL THEN NULL ELSE 1 - list_cosine_similarity(c.embedding, q.embedding) END AS dist
+  FROM g_chunks c JOIN g_chunks q ON q.namespace = c.namespace WHERE q.id % 50 = 0 AND q.embedding IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9) ASC NULLS LAST, id) AS rk FROM d)
+SELECT query_id, id AS chunk_id, rk::INT AS rk, round(abs(dist), 6) AS distance FROM r WHERE rk <= 50"""))
 def vector_topk_batch(spark, d):
-    return _shown(lanes.vector_lane_batch(B.chunks(spark, d), B.queries(spark, d)))
+    return lanes.vector_lane_batch(B.chunks(spark, d), B.row_queries(spark, d)).select("query_id", "chunk_id", "rk", SIX(F.abs("distance")).alias("distance"))
 
 
 @registered(_vector_sql("c.source = 'src3'"))
@@ -243,6 +247,17 @@ def fts_cover_density(spark, d):
     return lanes.text_lane(B.chunks(spark, d), B.queries(spark, d), ranker="cover")
 
 
+@registered(graph_sql(_TEXT + """
+, pos AS (SELECT t.query_id, u.id AS chunk_id, u.p, u.lexeme FROM (SELECT id, namespace, unnest(w) AS lexeme, generate_subscripts(w, 1) AS p FROM tok) u JOIN terms t ON t.lexeme = u.lexeme WHERE u.namespace = 'en'),
+ev AS (SELECT *, lag(p) OVER o AS p0, lag(lexeme) OVER o AS l0 FROM pos WINDOW o AS (PARTITION BY query_id, chunk_id ORDER BY p))
+SELECT query_id, chunk_id, round(CASE WHEN any_value(n) = 1 THEN count(*) ELSE sum(CASE WHEN l0 <> lexeme THEN least(1.0, 16.0 / (p - p0 + 1)) ELSE 0 END) END::DOUBLE, 6) AS rank
+FROM ev JOIN need USING (query_id) WHERE n <= 2 GROUP BY 1, 2 HAVING count(DISTINCT lexeme) = any_value(n)"""))
+def fts_cover_density_scores(spark, d):
+    """Scores of the default ranker; with two terms at most a cover is two neighbouring places, which SQL can say."""
+    q = B.queries(spark, d).filter(F.size(F.split("q", " ")) <= 2)
+    return lanes.text_lane(B.chunks(spark, d), q, ranker="cover", limit=2_000_000_000).select("query_id", "chunk_id", SIX("rank").alias("rank"))
+
+
 @registered()
 def fts_english(spark, d):
     return lanes.text_lane(B.chunks(spark, d), B.queries(spark, d), ranker="cover", english=True)
@@ -638,5 +653,5 @@ def latency_percentile_formula(spark, d):
 @registered()
 def vector_ivf(spark, d):
     c = B.chunks(spark, d)
-    centroids = ivf.train(c)
-    return ivf.search(ivf.assign(c, centroids), B.queries(spark, d), centroids, probes=8)
+    centroids = ivf.train(c, ivf.lists_for(c.count()))
+    return ivf.search(ivf.assign(c, centroids), B.row_queries(spark, d), centroids, ivf.probes_for(c, centroids))

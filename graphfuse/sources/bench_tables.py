@@ -67,6 +67,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").cast("int").alias("query_id"), F.element_at(texts, F.col("label").cast("int") % len(QUERY_TEXTS) + 1).alias("q"), "q_emb", F.lit("en").alias("namespace"))
 
 
+def row_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedded chunk whose id is divisible by 50, as a query in its namespace."""
+    own = chunks(spark, sf_dir).filter((F.col("id") % 50 == 0) & F.col("embedding").isNotNull())
+    return own.select(F.col("id").alias("query_id"), F.col("embedding").alias("q_emb"), "namespace")
+
+
 #: The same tables in DuckDB SQL.
 SQL = (
     """

@@ -199,3 +199,21 @@ def test_settings_and_evaluation(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "query_id int, chunk_id string")
     b = spark.createDataFrame([(1, "x"), (3, "q")], a.schema)
     assert {r.query_id: r.jaccard for r in evalx.agreement(a, b).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+
+
+def test_similar_names_are_those_of_all_pairs(spark):
+    """The prefix join against every pair, by namespace."""
+    import random
+
+    from graphfuse.operators import resolve
+
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 9)))
+    side = lambda k, n: [(f"{k}{i}", rng.choice("xy"), name()) for i in range(n)]
+    m, e = side("m", 60), side("e", 80)
+    grams = lambda t: {f"  {t.lower()}  "[i : i + 3] for i in range(len(t) + 2)}
+    jac = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    frame = lambda rows: spark.createDataFrame(rows, "id string, namespace string, name string")
+    for t in (0.3, 0.5, 0.85):
+        got = {(r.mention_id, r.entity_id): round(r.similarity, 9) for r in resolve.similar(frame(m), frame(e), t).collect()}
+        assert got == {(a[0], b[0]): round(jac(a[2], b[2]), 9) for a in m for b in e if a[1] == b[1] and jac(a[2], b[2]) >= t}

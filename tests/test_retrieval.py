@@ -150,3 +150,14 @@ def test_ivf_recall(spark):
     exact = {(r.query_id, r.chunk_id) for r in lanes.vector_lane(chunks, qs, limit=10).collect()}
     found = {(r.query_id, r.chunk_id) for r in ivf.search(index, qs, c, 4, 10).collect()}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_registered_index_reaches_its_recall(spark, sf):
+    """The registered index search against the exact one, over all its queries."""
+    from graphfuse.plans.catalogue import QUERIES
+
+    d = f"/root/testdata/sf{sf}"
+    want = QUERIES["vector_topk_batch"](spark, d).filter("distance is not null").select("query_id", "chunk_id")
+    got = QUERIES["vector_ivf"](spark, d).select("query_id", "chunk_id")
+    assert want.join(got, ["query_id", "chunk_id"]).count() >= 0.9 * want.count()
