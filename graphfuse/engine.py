@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,9 @@ from . import ask as asking
 from . import ingest as ingesting
 from . import providers, security
 from .functions import jsonx, onnx, stem, text, vector
-from .operators import fusion, lanes
+from .operators import fusion, ivf, lanes
 from .operators import tables as T
-from .schema import DEFAULT_BUDGET, TABLES, Conflict, InvalidConfig, NamespaceNotFound, ProviderNotFound, Settings, profile_concurrency
+from .schema import DEFAULT_BUDGET, LANE_LIMIT, TABLES, Conflict, InvalidConfig, NamespaceNotFound, ProviderNotFound, Settings, profile_concurrency
 from .sources import files, fixture
 from .sources.store import Store
 from .streaming import jobs
@@ -200,6 +201,37 @@ class Engine:
         t = self.store.tables()
         return fusion.Graph(t["chunks"], t["entities"], t["relationships"], t["chunk_entities"], t["postings"])
 
+    def build_index(self) -> int:
+        """Store an inverted-file index of all chunks; returns its number of lists.
+
+        Used by queries where the setting ``exact`` is off.  Chunks that come later
+        are searched exactly beside it, until it is built anew.
+        """
+        chunks = self.store.read("chunks")
+        centroids = ivf.train(chunks, ivf.lists_for(chunks.count()))
+        if not len(centroids):
+            return 0
+        probes = ivf.probes_for(chunks, centroids)
+        rows = self.spark.createDataFrame([(k, [float(v) for v in c], probes) for k, c in enumerate(centroids)], TABLES["centroids"])
+        self.store.commit(replace={"vector_lists": ivf.assign(chunks, centroids), "centroids": rows})
+        return len(centroids)
+
+    def _near(self) -> Callable[..., DataFrame] | None:
+        """The vector lane by the stored index, where there is one and answers needn't be exact."""
+        rows = [] if self.settings.exact else self.store.read("centroids").orderBy("list").collect()
+        if not rows:
+            return None
+        centroids, probes, index = np.array([r.centroid for r in rows]), rows[0].probes, self.store.read("vector_lists")
+
+        def lane(chunks: DataFrame, queries: DataFrame, metadata_filter=None, limit: int = LANE_LIMIT) -> DataFrame:
+            own = lanes.allowed(chunks, metadata_filter)
+            held = index.join(own.select("id"), "id", "left_semi")  # rows may have gone since
+            late = lanes.vector_lane(own.join(index.select("id"), "id", "left_anti"), queries, None, limit)
+            found = ivf.search(held, queries, centroids, probes, limit)
+            return lanes.ranked(found.unionByName(late).drop("rk"), [F.col("distance").asc_nulls_last()], limit)
+
+        return lane
+
     def _indexed(self, add: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """The postings of the chunks that are added."""
         chunks = add["chunks"]
@@ -213,7 +245,7 @@ class Engine:
 
     def query_batch(self, queries: DataFrame, filter: dict | str | None = None, top_k: int = 10, hops: int = 1, weights: dict | None = None, mode: str = "hybrid", batch: bool = False) -> DataFrame:
         """(query_id, …) for a frame of questions (query_id, q, q_emb, namespace)."""
-        return fusion.retrieve(self.graph(), queries, mode, top_k, hops, weights, filter, english=True, batch=batch)
+        return fusion.retrieve(self.graph(), queries, mode, top_k, hops, weights, filter, english=True, batch=batch, near=self._near())
 
     def ask(self, q: str, filter: dict | str | None = None, top_k: int = 10, namespace: str = "default", hops: int = 1, llm_provider: str | None = None) -> dict:
         """{answer, citations, signals, mode_used}; without any provider an error."""

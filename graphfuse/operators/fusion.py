@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,17 +60,18 @@ class Graph:
 def retrieve(
     graph: Graph, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, hops: int = 1, weights: dict | None = None,
     metadata_filter: str | dict | None = None, ranker: str = "cover", english: bool = False, batch: bool = False, seed_threshold: float = SEED_DISTANCE,
+    near: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
     """Answer a batch of queries (query_id, q, q_emb, namespace).
 
     Returns query_id, chunk_id, document_id, text, score, signals; at most top_k
     rows a query, by falling score and rising chunk id.  Lanes that the mode
-    closes aren't built.
+    closes aren't built.  near: another vector lane than the exact one.
     """
     ranked: dict[str, DataFrame] = {}
     for lane in Mode.parse(mode).lanes:
         if lane == "vec":
-            ranked[lane] = (L.vector_lane_batch if batch else L.vector_lane)(graph.chunks, queries, metadata_filter)
+            ranked[lane] = (near or (L.vector_lane_batch if batch else L.vector_lane))(graph.chunks, queries, metadata_filter)
         elif lane == "bm25":
             ranked[lane] = L.text_lane(graph.chunks, queries, metadata_filter, ranker=ranker, english=english, index=graph.index)
         else:

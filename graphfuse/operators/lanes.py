@@ -28,7 +28,7 @@ QUERY_BLOCK = 2_000
 MOST_WORDS = 1_000
 
 
-def _ranked(rows: DataFrame, order: list[Column], limit: int, key: str = "chunk_id") -> DataFrame:
+def ranked(rows: DataFrame, order: list[Column], limit: int, key: str = "chunk_id") -> DataFrame:
     w = W.partitionBy("query_id").orderBy(*order, F.col(key).asc())
     return rows.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= limit)
 
@@ -59,7 +59,7 @@ def vector_lane(chunks: DataFrame, queries: DataFrame, metadata_filter: str | di
     c = allowed(chunks, metadata_filter).select(F.col("id").alias("chunk_id"), "namespace", "embedding")
     pairs = _against(c, queries)
     d = pairs.select("query_id", "chunk_id", cosine_distance("embedding", "q_emb").alias("distance"))
-    return _ranked(d, [F.col("distance").asc_nulls_last()], limit)
+    return ranked(d, [F.col("distance").asc_nulls_last()], limit)
 
 
 def vector_lane_batch(chunks: DataFrame, queries: DataFrame, metadata_filter: str | dict | None = None, limit: int = LANE_LIMIT) -> DataFrame:
@@ -108,7 +108,7 @@ def vector_lane_batch(chunks: DataFrame, queries: DataFrame, metadata_filter: st
         # NaN stands for no embedding on the way through Arrow
         got = c.mapInPandas(score, f"query_id {q_type}, chunk_id {id_type}, distance double").withColumn("distance", F.when(F.isnan("distance"), F.lit(None)).otherwise(F.col("distance")))
         out = got if out is None else out.unionByName(got)
-    return _ranked(out, [F.col("distance").asc_nulls_last()], limit)
+    return ranked(out, [F.col("distance").asc_nulls_last()], limit)
 
 
 def postings(chunks: DataFrame, vocabulary: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ def text_lane(
                 yield s.map(cover_density).astype(float)
 
         full = full.withColumn("rank", cover("places")).drop("places")
-    return _ranked(full.select("query_id", "chunk_id", "rank"), [F.col("rank").desc()], limit)
+    return ranked(full.select("query_id", "chunk_id", "rank"), [F.col("rank").desc()], limit)
 
 
 def seeds(entities: DataFrame, queries: DataFrame, threshold: float = SEED_DISTANCE, limit: int = SEED_LIMIT) -> DataFrame:
@@ -216,7 +216,7 @@ def seeds(entities: DataFrame, queries: DataFrame, threshold: float = SEED_DISTA
     e = entities.filter(F.col("name_emb").isNotNull()).select(F.col("id").alias("entity_id"), "namespace", "name_emb")
     pairs = _against(e, queries)
     near = pairs.select("query_id", "entity_id", cosine_distance("name_emb", "q_emb").alias("distance")).filter(F.col("distance") < threshold)
-    return _ranked(near, [F.col("distance").asc()], limit, "entity_id").drop("rk")
+    return ranked(near, [F.col("distance").asc()], limit, "entity_id").drop("rk")
 
 
 def symmetrized(relationships: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def graph_lane(
     reached = walk(seeds(entities, queries, seed_threshold), relationships, hops).groupBy("query_id", "entity_id").agg(F.sum("cnt").alias("cnt"))
     own = allowed(chunks, metadata_filter).select(F.col("id").alias("chunk_id"), "namespace")
     hits = mentions.join(reached, "entity_id").join(queries.select("query_id", "namespace"), "query_id").join(own, ["chunk_id", "namespace"])
-    return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.sum("cnt").alias("walks")), [F.col("walks").desc()], limit)
+    return ranked(hits.groupBy("query_id", "chunk_id").agg(F.sum("cnt").alias("walks")), [F.col("walks").desc()], limit)
 
 
 def degree(entities: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ TABLES: dict[str, T.StructType] = {
     "relationships": _table(id=_S, namespace=_S, src_id=_S, dst_id=_S, kind=_S, description=_S, weight=_D),
     "chunk_entities": _table(chunk_id=_S, entity_id=_S, confidence=_D, classification=_S),
     "postings": _table(namespace=_S, lexeme=_S, chunk_id=_S, tf=_L, positions=T.ArrayType(_I)),
+    "vector_lists": _table(list=_I, id=_S, namespace=_S, embedding=_VEC),
+    "centroids": _table(list=_I, centroid=T.ArrayType(_D), probes=_I),
     "providers": _table(name=_S, kind=_S, provider=_S, model=_S, base_url=_S, credential=_S),
     "ingest_jobs": _table(
         id=_S, status=_S, source=_S, namespace=_S, chunk_strategy=_S, error=_S, attempt_count=_I, payload=T.BinaryType(),
@@ -32,7 +34,7 @@ TABLES: dict[str, T.StructType] = {
 }
 
 #: Order of a table's files, so that their statistics let scans skip most of them.
-SORTED: dict[str, tuple[str, ...]] = {"postings": ("namespace", "lexeme"), "chunks": ("namespace", "document_id"), "chunk_entities": ("entity_id",)}
+SORTED: dict[str, tuple[str, ...]] = {"vector_lists": ("namespace", "list"), "postings": ("namespace", "lexeme"), "chunks": ("namespace", "document_id"), "chunk_entities": ("entity_id",)}
 
 #: Columns that a table may hold only once; null parts never conflict.
 UNIQUE: dict[str, tuple[str, ...]] = {

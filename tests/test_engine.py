@@ -323,3 +323,23 @@ def test_onnx_encoder():
     assert v.shape == (2, 4) and np.allclose(np.linalg.norm(v, axis=1), 1)
     with pytest.raises(InvalidConfig):
         Encoder("", "", 5, run=run, tokenizer=Tok())(["ab"])
+
+
+def test_stored_index(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    exact, near = Engine(spark, path, Settings(embed_dim=64)), Engine(spark, path, Settings(embed_dim=64, exact=False))
+    rows = [(f"s{i}", f"Sentence number {i} about things.") for i in range(60)]
+    from graphfuse.sources import files
+
+    assert exact._ingest(files.inline(spark, rows), "default", None) == "completed"
+    assert near._near() is None  # nothing is built yet
+    assert exact.build_index() == 8 and exact._near() is None and near._near() is not None
+    near.ingest_text("late", "A late sentence.")
+    for q in ("Sentence number 7 about things.", "A late sentence."):
+        assert near.query(q, mode="vector", top_k=1).first().text == q
+    want = {r.chunk_id for r in exact.query("Sentence number 7 about things.", mode="vector", top_k=20).collect()}
+    got = {r.chunk_id for r in near.query("Sentence number 7 about things.", mode="vector", top_k=20).collect()}
+    assert len(want & got) >= 16
+    doc = exact.store.read("documents").filter("source = 's7'").first().id
+    exact.delete_document(doc)
+    assert near.query("Sentence number 7 about things.", mode="vector", top_k=1).first().text != "Sentence number 7 about things."
