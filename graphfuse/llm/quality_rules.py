@@ -155,25 +155,34 @@ def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch
 
 @textbuf.lean
 def merge_batches(it: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
-    """Blocks in the order of (kind, shard) to what ``finish`` makes of each shard's sums."""
-    now, held = None, []
+    """Blocks in the order of (kind, shard) to what ``finish`` makes of each shard's keys and sums (None where not counted).
+
+    Blocks are merged as they come, so a shard needs the room of its distinct keys and HELD others.
+    """
+    now, keys, counts, n_held = None, [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray | None]:
+        if counts:
+            return summed(np.concatenate(keys), np.concatenate(counts))
+        return distinct(np.concatenate(keys)), None
+
     for batch in it:
         for i in range(batch.num_rows):
             at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-            if at != now and held:
-                yield from finish(now[0], *_merged(held))
-                held = []
+            if at != now and keys:
+                yield from finish(now[0], *merged())
+                keys, counts, n_held = [], [], 0
             now = at
             n = batch.column(2)[i].as_py()
-            keys = np.cumsum(unpack(batch.column(3)[i].as_py(), n), dtype=np.uint64)
-            raw = batch.column(4)[i].as_py()
-            held.append((keys, unpack(raw, n).astype(np.int64) if raw is not None else np.ones(n, np.int64)))
-    if held:
-        yield from finish(now[0], *_merged(held))
-
-
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            keys.append(np.cumsum(unpack(batch.column(3)[i].as_py(), n), dtype=np.uint64))
+            if (raw := batch.column(4)[i].as_py()) is not None:
+                counts.append(unpack(raw, n).astype(np.int64))
+            n_held += n
+            if n_held >= HELD:
+                k, c = merged()
+                keys, counts, n_held = [k], [] if c is None else [c], 0
+    if keys:
+        yield from finish(now[0], *merged())
 
 
 def counted(texts: DataFrame, emit, finish) -> DataFrame:
@@ -278,7 +287,7 @@ def pair_batches(it: Iterator[pa.RecordBatch], vocabulary, shards: int) -> Itera
     yield from pairs.flush()
 
 
-def finish_pairs(kind: int, keys: np.ndarray, n: np.ndarray, bits: int, size: int) -> Iterator[pa.RecordBatch]:
+def finish_pairs(kind: int, keys: np.ndarray, n: None, bits: int, size: int) -> Iterator[pa.RecordBatch]:
     """Different words before each word and before each pair; sums of the latter by context, and how many have 1 to 4."""
     own, c = summed(keys >> U(bits))
     if kind == WORD:
