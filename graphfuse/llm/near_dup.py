@@ -3,8 +3,11 @@
 A document's distinct 5-word shingles are hashed to 64 bits.  The first bits
 choose a bucket; the bucket keeps, of its smallest value, the number of leading
 zeros and the bits after the first one (Yu & Weber, "HyperMinHash", 2017), 16
-bits a register.  Four registers make a band; documents that agree on a band
-are candidates, whose Jaccard similarity is first estimated from the registers
+bits a register.  Four registers make a band, in which an empty bucket shows the
+register of another one (Shrivastava, "Optimal densification", 2017): few
+shingles leave most buckets empty, and bands of empty registers would agree by
+chance, so often as the square of the number of short texts.  Documents that
+agree on a band are candidates, whose Jaccard similarity is first estimated from the registers
 (less the agreement that chance gives) and then confirmed on the full sets.
 
 Shape of the job, none of it quadratic in a group of copies:
@@ -48,6 +51,8 @@ BUCKETS = 128
 BAND = 4
 #: Bands of at most so many classes pair all of them; others go by leaders and prefixes.
 SMALL = 8
+#: Where an empty bucket looks for a full one: all others, each bucket in an order of its own.
+LENDERS = np.stack([np.append(b, np.random.default_rng(b).permutation(np.delete(np.arange(BUCKETS), b))) for b in range(BUCKETS)])
 #: Below this estimate no pair can reach the threshold (six standard errors).
 MARGIN = 0.25
 
@@ -79,6 +84,40 @@ def chance(n: np.ndarray | float, m: np.ndarray | float) -> np.ndarray | float:
     return np.minimum(n, m) / np.maximum(np.maximum(n, m), 1) * 2.0**-MANTISSA / 3
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Band keys of register rows, none of them all empty.
+
+    A register agrees with a probability of the similarity, lent ones too: the
+    first full bucket of either set in a bucket's order lends to both or to one only.
+    """
+    lender = np.tile(np.arange(BUCKETS), (len(regs), 1))
+    row, at = np.nonzero(regs == EMPTY)
+    for step in range(1, BUCKETS):
+        if not len(row):
+            break
+        other = LENDERS[at, step]
+        full = regs[row, other] != EMPTY
+        lender[row[full], at[full]] = other[full]
+        row, at = row[~full], at[~full]
+    shown = np.take_along_axis(regs, lender, axis=1).astype(np.uint64) | lender.astype(np.uint64) << U(16)
+    with np.errstate(over="ignore"):
+        key = np.tile(textbuf.mix(np.arange(1, BUCKETS // BAND + 1, dtype=np.uint64)), (len(regs), 1))
+        for k in range(BAND):
+            key = textbuf.mix(key + shown[:, k::BAND])
+    return key
+
+
+@textbuf.lean
+def band_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, regs) to one row a band: (rep, band)."""
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
+        at = np.repeat(np.arange(batch.num_rows), key.shape[1])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(key.reshape(-1).view(np.int64))], names=["rep", "band"])
+
+
 @textbuf.lean
 def sketch_batches(it: Iterator[pa.RecordBatch], threshold_words: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n_shingles, d1, d2, regs)."""
@@ -209,13 +248,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     )
     regs = classes.select("rep", "n_shingles", "regs")
 
-    # bands of equal registers; all-empty bands say nothing
-    empty = F.unhex(F.lit("FF" * 2 * BAND))
-    bands = (
-        regs.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda i: F.struct(i.alias("i"), F.substring("regs", i * 2 * BAND + 1, F.lit(2 * BAND)).alias("r")))).alias("x"))
-        .filter(F.col("x.r") != empty)
-        .select("rep", F.xxhash64("x.i", "x.r").alias("band"))
-    )
+    # a set of n shingles is alike to another one by n / (n + 1) at most, so smaller ones are linked with equal sets only
+    bands = regs.filter(F.col("n_shingles") * (100 - percent) >= percent).select("rep", "regs").mapInArrow(band_batches, f"rep {kind}, band long")
     coarse = scratch.save(_shared(bands, scratch), "coarse")
     rounds = _Rounds(scratch, regs, percent, kind)
 

@@ -119,6 +119,34 @@ def test_registers_and_estimate():
     assert far.mean() < 0.05
 
 
+def test_short_texts_make_no_candidates_by_chance(docs, monkeypatch):
+    """Unrelated short texts have mostly empty registers, which agreed before."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 5, 6, 9, 20, 40])))) for i in range(3000)]
+    rows += [(5000 + i, t + " end") for i, t in rows[:60] if len(t.split()) > 9]
+    pairs = []
+
+    def counting(self, new, plain=near_dup._Rounds.add):
+        pairs.append(new.distinct().count())
+        return plain(self, new)
+
+    monkeypatch.setattr(near_dup._Rounds, "add", counting)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(rows)).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert sum(pairs) < 200, pairs
+
+
+def test_bands_find_small_sets():
+    """Sets of any size at the threshold share a band."""
+    rng = np.random.default_rng(1)
+    for common, own in ((3, 1), (6, 2), (18, 6), (60, 20), (240, 80), (3000, 1000)):
+        for _ in range(60):
+            both = rng.integers(0, 1 << 63, common, dtype=np.uint64) * np.uint64(2)
+            more = rng.integers(0, 1 << 63, own, dtype=np.uint64) * np.uint64(2)
+            keys = near_dup.band_keys(np.stack([near_dup.registers(np.sort(x), near_dup.BUCKETS) for x in (both, np.concatenate([both, more]))]))
+            assert (keys[0] == keys[1]).any()
+
+
 def test_sql_twin(spark, sf_dir):
     from graphfuse.llm.queries import queries
 
