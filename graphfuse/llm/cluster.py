@@ -7,11 +7,18 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many edges are joined up in one task; more of them by star steps, with the same result.
+FEW = 1 << 20
+
 _shipped: set[str] = set()
 
 
@@ -88,16 +95,51 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def settle(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of the nodes 0 to n - 1 reaches over the edges (a, b)."""
+    low = np.arange(n)
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def settle_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (u, v) to (node, component)."""
+    edges = list(it)
+    if not sum(x.num_rows for x in edges):
+        return
+    t = pa.Table.from_batches(edges)
+    ends = pa.concat_arrays([c for k in range(2) for c in t.column(k).chunks])
+    nodes = pc.unique(ends)
+    nodes = nodes.take(pc.sort_indices(nodes))
+    at = pc.index_in(ends, value_set=nodes).to_numpy().astype(np.int64)
+    low = settle(at[: t.num_rows], at[t.num_rows :], len(nodes))
+    for k in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([nodes[k : k + (1 << 16)], nodes.take(pa.array(low[k : k + (1 << 16)]))], names=["node", "component"])
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(node, component) of an undirected edge list (a, b): the smallest reachable node.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014): each is
-    one grouped minimum and one join, edges never outgrow their first number by
-    more than the nodes, and the number of rounds is logarithmic in practice.
-    Minima are pre-aggregated before the shuffle and written before they are
-    joined, so that Spark can split the edges of a hot node over tasks.
+    At most FEW edges, of ids that Arrow orders as Spark does, are joined up in
+    one task: each star step shuffles several times, whose tasks cost more than
+    a few edges do.  More of them take alternating large-star and small-star steps
+    (Kiveris et al. 2014): each is one grouped minimum and one join, edges never
+    outgrow their first number by more than the nodes, and the number of rounds is
+    logarithmic in practice.  Minima are pre-aggregated before the shuffle and
+    written before they are joined, so that Spark can split the edges of a hot
+    node over tasks.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{tag}-0")
+    kind = e.schema["u"].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint", "string", "date") and e.count() <= FEW:
+        return e.coalesce(1).mapInArrow(settle_batches, f"node {kind}, component {kind}")
     for step in range(1, 200):
         # large star: every larger neighbour of u is linked with u's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -173,3 +173,19 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()))
     assert got == {n: top(n) for e in edges for n in e if e[0] != e[1]}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").count() == 0
+
+
+def test_few_edges_are_joined_up_in_one_task(spark, monkeypatch):
+    """The same components as by star steps, without their many shuffles."""
+    from graphfuse.llm import cluster
+
+    rng = random.Random(8)
+    ends = [f"n{rng.randrange(400):03}" for _ in range(600)] + [f"p{i:03}" for i in range(300) for _ in (0, 1)][1:-1]
+    edges = spark.createDataFrame(list(zip(ends[::2], ends[1::2])), "a string, b string")
+    saved = []
+    monkeypatch.setattr(cluster.Scratch, "save", lambda self, df, name, plain=cluster.Scratch.save: saved.append(name) or plain(self, df, name))
+    one = sorted(map(tuple, cluster.components(edges, cluster.Scratch(spark, "t"), "c").collect()))
+    assert len(saved) == 1, saved
+    monkeypatch.setattr(cluster, "FEW", 0)
+    assert one == sorted(map(tuple, cluster.components(edges, cluster.Scratch(spark, "t"), "d").collect()))
+    assert len(saved) > 4
