@@ -79,14 +79,20 @@ class Scratch:
         self.top = f"{shared_dir(spark)}/graphfuse-{name}-{uuid.uuid4().hex}"
         self.known = False
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``by``: a column whose values have folders of their own; their files are packed closer."""
         path = f"{self.top}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=by, compression="zstd" if by else None)
         if not self.known:
             top = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
             self.known = top.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(top)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self) -> str:
+        """The tables' folder with its file system's name."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()

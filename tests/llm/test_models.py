@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,34 @@ def test_model_words():
     assert first.tolist() == [0, 7] and h[0] == h[4] and h[1] == h[5] and len(set(h.tolist())) == 5
 
 
+def test_rare_words_are_in_the_model_of_a_large_corpus(docs):
+    """Scores are those of the plain count, whatever share of the corpus a word or a pair has; chunks are scored apart."""
+    rng = random.Random(7)
+    filler = [" ".join(rng.choice(("the", "of", "and", "to")) for _ in range(60_000)) for _ in range(6)]
+    texts = filler + [f"{w} rare pair of{k % 3}" for k, w in enumerate("abcdefg")] + model_texts(5, 30)
+    log_p, _ = brute_model(texts)
+    frame = docs([(i, t) for i, t in enumerate(texts)])
+    rows = quality_rules.quality_rules(frame.repartition(4)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        w = (texts[r.doc_id] or "").lower().split()
+        if w:
+            assert abs(r.log_perplexity + np.mean([log_p(a, b) for a, b in zip([None, *w], w)])) < 1e-9, texts[r.doc_id][:80]
+
+
+def test_chunks_are_those_of_the_texts(monkeypatch):
+    """However rows come in batches, chunks have the same names and documents."""
+    monkeypatch.setattr(quality_rules, "CHUNK", 50)
+    rng = random.Random(1)
+    texts = [None if rng.random() < 0.1 else "é" * rng.randrange(60) for _ in range(200)]
+    found = []
+    for step in (1, 7, 200):
+        batches = (pa.RecordBatch.from_arrays([pa.array(texts[k : k + step], pa.string())], names=["text"]) for k in range(0, 200, step))
+        found.append([(name, [t for b in held for t in b.column(0).to_pylist()]) for name, held in quality_rules.chunks(batches)])
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+    assert [t for _, held in found[0] for t in held] == texts
+
+
 def test_copies_teach_a_pair_once(docs):
     texts = model_texts(3)
     m = quality_rules.train(docs(list(enumerate(texts))))
