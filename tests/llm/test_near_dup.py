@@ -93,6 +93,41 @@ def test_templates_pair_nobody(docs, monkeypatch):
     assert joined and all(pairs <= 4 * len(rows) for _, pairs in joined), joined
 
 
+@pytest.mark.parametrize("edits", [(3,), (2, 3)])
+def test_families_below_the_threshold_list_no_pairs(docs, monkeypatch, edits):
+    """Copies of one text with own words in two or three places each: alike to 0.66 to 0.76, all with common prefixes."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(250):
+        w = [f"x{k}" for k in range(150)]
+        for at in rng.sample(range(150), rng.choice(edits)):
+            w[at] = f"y{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    pairs = []
+
+    def counting(self, new, plain=near_dup._Rounds.add):
+        pairs.append(new.distinct().count())
+        return plain(self, new)
+
+    monkeypatch.setattr(near_dup._Rounds, "add", counting)
+    check(docs(rows), rows)
+    assert pairs[-1] <= 4 * len(rows), pairs  # of 31,125
+
+
+def test_parities_bound_the_difference():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for common, own in ((0, 1), (100, 20), (140, 30), (900, 100), (5000, 2000)):
+        both, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (common, own, own + 3))
+        sets = [np.unique(np.concatenate([both, z])) for z in (x, y)]
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "component", "hashes"])
+        out = pa.Table.from_batches(near_dup.parity_batches(iter([batch])))
+        assert out.column("n").to_pylist() == [len(s) for s in sets]
+        apart = sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in (out.column(w).to_pylist() for w in near_dup.PARITY))
+        assert apart <= len(np.setxor1d(*sets)) and (apart >= 0.85 * (2 * own + 3) or own > 50)
+
+
 def test_other_ids(spark):
     rows = corpus(5, 40)
     named = [(f"id{i:04}", t) for i, t in rows]
